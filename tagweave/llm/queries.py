@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, langid, media, mixing, packing, simhash, substrings, urls
+from . import chat, fingerprints, langid, media, mixing, packing, passages, simhash, substrings, urls
 from .common import table
 
 
@@ -49,6 +49,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", held.alias("held_out")), model, keep_text=False).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op7_language_id": op7_language_id,
+    "op8_passage_dedup": op8_passage_dedup,
     "op9_media_columns": op9_media_columns,
     "op10_chat_formatting": op10_chat_formatting,
 }
