@@ -1,0 +1 @@
+"""Querying and transforming HTML and XML at scale, as DataFrame operations."""

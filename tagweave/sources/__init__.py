@@ -1,0 +1,6 @@
+"""Where markup comes from: any reader's column, files of text or bytes, crawl tables."""
+
+from .files import html_files, html_streams
+from .html import node_table, parse_html, prefilter
+
+__all__ = ["html_files", "html_streams", "node_table", "parse_html", "prefilter"]
