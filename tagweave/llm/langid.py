@@ -72,7 +72,8 @@ def binned(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts = np.flatnonzero(cp == 0)[:-1]
     x = np.where(cp == 0, 32, cp).astype(np.uint32)
     single = (x * np.uint32(0x9E3779B1)) >> np.uint32(23)
-    a, b = np.concatenate([[np.uint32(32)], x[:-1]]).astype(np.uint32), np.concatenate([x[1:], [np.uint32(32)]]).astype(np.uint32)
+    # What stands before a text's first space is no part of it.
+    a, b = np.where(cp == 0, 32, np.concatenate([[32], x[:-1]])).astype(np.uint32), np.concatenate([x[1:], [np.uint32(32)]]).astype(np.uint32)
     mixed = (a * np.uint32(0x85EBCA6B)) ^ (x * np.uint32(0xC2B2AE35) + (b * np.uint32(0x27D4EB2F)))
     triple = ((mixed * np.uint32(0x9E3779B1)) >> np.uint32(20)) + np.uint32(SINGLES)
     return single, triple, starts
