@@ -33,46 +33,78 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: ASCII marks that stand at the end of words; the tokenizer splits them from letters.
 MARKS = ".,;:!?%*$&#)"
 #: Words kept with their ids by each worker before it starts anew, and characters packed at once.
-CACHE, BLOCK_CHARS = 150_000, 6_000_000
+CACHE, BLOCK_CHARS = 1_300_000, 3_000_000
 
 
-class WordIds(dict):
-    """Ids, as little-endian 32-bit bytes, of texts without a space: a tokenizer that never joins over white space needs each only once."""
+class WordIds:
+    """Ids, as little-endian 32-bit bytes, of documents.
+
+    The tokenizer never joins over white space and splits letters from marks,
+    so each text without a space is encoded once. Words of letters, of which
+    each gives one run of ids up to an end-of-word id, are encoded together.
+    """
 
     def __init__(self, path: str):
+        import numpy as np
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.cores: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def encode(self, text: str) -> bytes:
         import numpy as np
 
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def core(self, text: str) -> bytes:
-        got = self.cores.get(text)
-        if got is None:
-            got = self.cores[text] = self.encode(text)
-        return got
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-            self.cores.clear()
-        bare = word.rstrip(MARKS)
-        # Letters below U+0250 fold to lower case one by one, as the tokenizer folds them.
-        if bare and bare.isalpha() and max(bare) < "İ":
-            got = self.core(bare.lower()) + (self.core(word[len(bare) :]) if len(bare) < len(word) else b"")
-        else:
-            got = self.encode(word) if word else b""
-        self[word] = got
-        return got
+    def learn_letters(self, some: list[str]) -> None:
+        import numpy as np
 
-    def document(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        for at in range(0, len(some), 500):
+            part = some[at : at + 500]
+            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) == len(part):
+                data, start = ids.tobytes(), 0
+                for word, end in zip(part, ends.tolist()):
+                    self.words[word] = data[start:end]
+                    start = end
+            else:  # a tokenizer without ends of words
+                for word in part:
+                    self.words[word] = self.encode(word)
+
+    def documents(self, texts: list[str]) -> list[bytes]:
+        try:  # Latin-1 has neither letters that fold in company nor marks that join others
+            "".join(texts).encode("latin-1")
+        except UnicodeEncodeError:
+            simple = False
+            split = [t.replace("\n", " ").split(" ") for t in texts]
+        else:
+            simple = True
+            split = [t.lower().replace("\n", " ").split(" ") for t in texts]
+        if len(self.words) > CACHE:
+            self.words = {"": b""}
+        words = self.words
+        new = set().union(*split).difference(words)
+        if simple:
+            letters = {w for w in new if w.isalpha()}
+            new -= letters
+            marked = [(w, bare) for w in new if (bare := w.rstrip(MARKS)).isalpha()]
+            letters.update(bare for _, bare in marked if bare not in words)
+            self.learn_letters(list(letters))
+            for w, bare in marked:
+                marks = w[len(bare) :]
+                if marks not in words:
+                    words[marks] = self.encode(marks)
+                words[w] = words[bare] + words[marks]
+            new.difference_update(w for w, _ in marked)
+        for w in new:
+            words[w] = self.encode(w)
+        return [b"".join(map(words.__getitem__, x)) for x in split]
 
 
 def plan_block(lengths: list[int], longest: int, shortest: int) -> list[tuple[int, list[tuple[int, int, int]]]]:
@@ -123,8 +155,9 @@ def pack_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, long
     sequence, step_of = partition << 36, {}
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
-    def flush(ids: list, docs: list) -> pa.RecordBatch:
+    def flush(ids: list, texts: list[str]) -> pa.RecordBatch:
         nonlocal sequence
+        docs = [x + end for x in words.documents(texts)]
         cols: list[list] = [[] for _ in names]
         for length, pieces in plan_block([len(x) >> 2 for x in docs], longest, shortest):
             # A step group holds windows of one length and step_tokens tokens.
@@ -139,13 +172,13 @@ def pack_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, long
         return pa.record_batch([pa.array(c, pa.int64()) for c in cols], names)
 
     ids: list = []
-    docs: list[bytes] = []
+    docs: list[str] = []
     held = 0
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             text = text.as_py() or ""
             ids.append(doc_id)
-            docs.append(words.document(text) + end)
+            docs.append(text)
             held += len(text) + 64
             if held >= BLOCK_CHARS:
                 yield flush(ids, docs)
