@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as H
+from ..functions import lists as L
+from ..functions import lookup as K
 from ..operators.serialize import Output
+from ..operators.tags import BLOCK
 from ..sources.html import node_table, parse_html, prefilter
 from . import local, relational
 
@@ -430,3 +433,132 @@ def edit_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = nation_lists(spark, sf_dir).withColumn("html", H.edit_html(F.col("html"), [("add_class", "li", "new"), ("remove_attr", "li", "data-key"), ("remove", "p")]))
     rows = matches(parse_html(df, fields=()), "li:not([data-key])", "n_regionkey")
     return rows.select("n_regionkey", F.col("n")["attr_map"]["title"].alias("name"), F.array_join("n.classes", " ").alias("classes"))
+
+
+# -- lookups, lists and axes -------------------------------------------------------------
+
+
+def nation_query(name: str, which: str, find, fields=()):
+    """find: dom -> elements of a nation list."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = parse_html(nation_lists(spark, sf_dir), fields=fields)
+        return df.select("n_regionkey", F.explode(find(F.col("dom"))).alias("n")).select("n_regionkey", F.col("n")["attr_map"]["title"].alias("name"))
+
+    query(name, numbered(which))(run)
+
+
+def li(dom: Column) -> Column:
+    return local.select(dom, "li")
+
+
+nation_query("by_tag", "true", lambda d: K.by_tag(d, "LI"))
+nation_query("by_id", "n_nationkey = 7", lambda d: K.by_id(d, "n7"))
+nation_query("by_class", "n_nationkey % 3 = 2", lambda d: K.by_class(d, "K2"))
+nation_query("by_attribute", "true", lambda d: K.by_attribute(d, "Data-Key"))
+nation_query("by_attribute_starting", "true", lambda d: K.by_attribute_starting(d, "data-"))
+nation_query("by_attribute_value", "name = 'NATION_3' OR name = 'FRANCE'", lambda d: L.union(d, K.by_attribute_value(d, "title", "nation_3"), K.by_attribute_value(d, "title", "france")))
+nation_query("by_attribute_value_not", "name <> 'NATION_3'", lambda d: F.filter(K.by_attribute_value(d, "title", "NATION_3", "!="), lambda n: n["norm"] == "li"))
+nation_query("by_attribute_value_ending", "name LIKE '%3'", lambda d: K.by_attribute_value(d, "title", "3", "$="))
+nation_query("by_attribute_matching", "regexp_matches(name, '[0-4]$')", lambda d: K.by_attribute_matching(d, "title", "[0-4]$"))
+nation_query("by_index_lt", "i <= 2", lambda d: F.filter(K.by_index(d, 2, "lt"), lambda n: n["norm"] == "li"))
+nation_query("containing_own_text", "contains(name, '_1')", lambda d: K.containing_text(d, "_1", True), ("own_text",))
+nation_query("matching_own_text", "regexp_matches(name, '_[0-9]$')", lambda d: K.matching_text(d, "_[0-9]$", True), ("own_text",))
+nation_query("custom_condition", "n_nationkey > 11", lambda d: K.where(d, lambda n: n["attr_map"]["data-key"].cast("int") > 11))
+nation_query("list_difference", "n_nationkey % 3 <> 0", lambda d: L.difference(d, li(d), K.by_class(d, "k0")))
+nation_query("list_eq", "i = 3", lambda d: L.eq(li(d), 2))
+nation_query("list_first_last", "i = 1 OR j = 1", lambda d: L.nodes(d, F.array_distinct(F.array(L.first(li(d))["pre"], L.last(li(d))["pre"]))))
+nation_query("select_from_list", "n_nationkey % 3 = 1", lambda d: L.select_from(d, local.select(d, "ul, body, li"), "li.k1"), ("anc",))
+
+
+@query("list_tests", "SELECT n_regionkey, bool_or(n_nationkey % 3 = 0) AS some, count(*) FILTER (n_nationkey % 3 = 0) > 0 AS meets, TRUE AS inside FROM nation GROUP BY n_regionkey")
+def list_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = parse_html(nation_lists(spark, sf_dir), fields=())
+    d = F.col("dom")
+    return df.select("n_regionkey", L.any_class(li(d), "K0").alias("some"), L.intersects(li(d), K.by_class(d, "k0")).alias("meets"), L.is_subset(K.by_class(d, "k0"), li(d)).alias("inside"))
+
+
+@query("sibling_ends", "SELECT n_regionkey, n_name AS name, first_value(n_name) OVER w AS first, last_value(n_name) OVER w AS last FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+def sibling_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = matches(parse_html(nation_lists(spark, sf_dir), fields=()), "li", "n_regionkey", "dom")
+    named = lambda m: m["attr_map"]["title"]
+    return rows.select("n_regionkey", named(F.col("n")).alias("name"), named(L.first_sibling(F.col("dom"), F.col("n"))).alias("first"), named(L.last_sibling(F.col("dom"), F.col("n"))).alias("last"))
+
+
+@query("sibling_nodes", "WITH t AS (SELECT l_orderkey, l_linenumber % 2 AS odd FROM lineitem) SELECT l_orderkey, ' odd' AS following, count(*) AS n FROM t WHERE odd = 1 GROUP BY l_orderkey")
+def sibling_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = matches(parse_html(order_trees(spark, sf_dir), fields=()), "b", "l_orderkey", "dom")
+    return rows.select("l_orderkey", L.next_node(F.col("dom"), F.col("n"))["content"].alias("following")).groupBy("l_orderkey", "following").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("raw_text", "SELECT item_id, text FROM benchmark")
+def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """White space as it stands."""
+    df = table(spark, sf_dir, "benchmark").select("item_id", element("p", H.escape(F.col("text"))).alias("html"))
+    return matches(parse_html(df, fields=()), "p", "item_id", "dom").select("item_id", L.raw_text(F.col("dom"), F.col("n")).alias("text"))
+
+
+@query("attribute_edits", """SELECT n_regionkey, ' class="x" title="' || n_name || '" new' AS html, 'x' AS class FROM nation""")
+def attribute_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets, drops and adds attributes without leaving the JVM."""
+    attrs = L.put(L.put(L.drop(F.col("n")["attrs"], "id", "DATA-KEY", ignore_case=True), "class", F.lit("x")), "new", None)
+    rows = matches(parse_html(nation_lists(spark, sf_dir), fields=()), "li", "n_regionkey")
+    in_order = F.concat(F.filter(attrs, lambda a: a["k"] == "class"), F.filter(attrs, lambda a: a["k"] != "class"))
+    return rows.select("n_regionkey", L.as_html(in_order).alias("html"), L.get(attrs, "CLASS", True).alias("class"))
+
+
+@query("traversal", "SELECT n_regionkey, 2 * (6 + 2 * count(*) + 1)::BIGINT AS steps, TRUE AS nested FROM nation GROUP BY n_regionkey")
+def traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node is entered and left: document, html, head, body, p with its text, ul, and items with theirs."""
+    steps = L.traversal(F.col("dom"))
+    df = parse_html(nation_lists(spark, sf_dir), fields=()).select("n_regionkey", steps.alias("s"))
+    first, last = F.get("s", F.lit(0)), F.get("s", F.size("s") - 1)
+    return df.select("n_regionkey", F.size("s").cast("long").alias("steps"), ((first["pre"] == 0) & ~first["tail"] & (last["pre"] == 0) & last["tail"]).alias("nested"))
+
+
+@query("whitespace_helpers", r"SELECT doc_id, regexp_replace(text, '[\t\n\r\f \x{00A0}]+', ' ', 'g') AS flat, trim(regexp_replace(text, '[\t\n\r\f]', ' ', 'g')) = '' AS blank, regexp_matches(text, '^[0-9]+$') AS digits FROM documents")
+def whitespace_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", H.normalise_whitespace(t).alias("flat"), H.is_blank(t).alias("blank"), H.is_numeric(t).alias("digits"))
+
+
+@query("fragment_parse", "SELECT n_regionkey, n_name AS name FROM nation")
+def fragment_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a table body, parsed in its context."""
+    n = table(spark, sf_dir, "nation")
+    df = listing(n, "n_regionkey", "n_nationkey", element("tr", element("td", H.escape(F.col("n_name")))), "", "")
+    return matches(parse_html(df, mode="fragment:tbody", fields=("text",)), "tr > td", "n_regionkey").select("n_regionkey", F.col("n.text").alias("name"))
+
+
+@query("tag_traits", "SELECT n_regionkey, 5::BIGINT AS blocks, count(*) AS items FROM nation GROUP BY n_regionkey")
+def tag_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """html, head, body, p and ul are blocks, and so are the items."""
+    nodes = node_table(parse_html(nation_lists(spark, sf_dir), fields=()), "n_regionkey").where(F.col("kind") == "element")
+    is_block = F.col("norm").isin(*BLOCK)
+    return nodes.groupBy("n_regionkey").agg(F.count(F.when(is_block & (F.col("norm") != "li"), 1)).alias("blocks"), F.count(F.when(is_block & (F.col("norm") == "li"), 1)).alias("items"))
+
+
+@query("validate", "SELECT item_id FROM benchmark WHERE item_id % 2 = 0")
+def validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = F.when(F.col("item_id") % 2 == 1, F.lit(' style="x"')).otherwise(F.lit(""))
+    df = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("<p"), bad, F.lit(">"), H.escape(F.col("text")), F.lit("</p>")).alias("html"))
+    return df.where(H.is_valid_html(F.col("html"), "basic")).select("item_id")
+
+
+@query("decode_references", "SELECT n_nationkey, n_name || ' & <' || chr(169) || '> &nope; A' AS text FROM nation")
+def decode_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select("n_nationkey", H.unescape(F.concat(F.col("n_name"), F.lit(" &amp; &lt;&copy;&#62; &nope; &#x41;"))).alias("text"))
+
+
+@query("escape_ascii", "SELECT n_nationkey, n_name || '&eacute;&#x65b0;&lt;' AS text FROM nation")
+def escape_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select("n_nationkey", H.escape_for(F.concat(F.col("n_name"), F.lit("é新<"))).alias("text"))
+
+
+@query("sql_functions", "SELECT n_nationkey, n_name AS title, '<p>' || n_name || '</p>' AS clean FROM nation")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from SQL text."""
+    H.register(spark)
+    html = F.concat(F.lit("<title>"), F.col("n_name"), F.lit("</title><p onclick=x>"), F.col("n_name"), F.lit("</p>"))
+    df = table(spark, sf_dir, "nation").select("n_nationkey", html.alias("html"), F.concat(F.lit("<p onclick=x>"), F.col("n_name")).alias("part"))
+    return df.selectExpr("n_nationkey", "html_title(html) AS title", "html_clean_basic(part) AS clean")
