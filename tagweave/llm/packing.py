@@ -33,7 +33,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: ASCII marks that stand at the end of words; the tokenizer splits them from letters.
 MARKS = ".,;:!?%*$&#)"
 #: Words kept with their ids by each worker before it starts anew, and characters packed at once.
-CACHE, BLOCK_CHARS = 1_300_000, 3_000_000
+CACHE, BLOCK_CHARS = 1_300_000, 6_000_000
 
 
 class WordIds:
@@ -77,23 +77,13 @@ class WordIds:
                 for word in part:
                     self.words[word] = self.encode(word)
 
-    def documents(self, texts: list[str]) -> list[bytes]:
-        try:  # Latin-1 has neither letters that fold in company nor marks that join others
-            "".join(texts).encode("latin-1")
-        except UnicodeEncodeError:
-            simple = False
-            split = [t.replace("\n", " ").split(" ") for t in texts]
-        else:
-            simple = True
-            split = [t.lower().replace("\n", " ").split(" ") for t in texts]
-        if len(self.words) > CACHE:
-            self.words = {"": b""}
+    def learn(self, new: list[str], simple: bool) -> None:
         words = self.words
-        new = set().union(*split).difference(words)
+        rest = set(new)
         if simple:
-            letters = {w for w in new if w.isalpha()}
-            new -= letters
-            marked = [(w, bare) for w in new if (bare := w.rstrip(MARKS)).isalpha()]
+            letters = {w for w in rest if w.isalpha()}
+            rest -= letters
+            marked = [(w, bare) for w in rest if (bare := w.rstrip(MARKS)).isalpha()]
             letters.update(bare for _, bare in marked if bare not in words)
             self.learn_letters(list(letters))
             for w, bare in marked:
@@ -101,10 +91,36 @@ class WordIds:
                 if marks not in words:
                     words[marks] = self.encode(marks)
                 words[w] = words[bare] + words[marks]
-            new.difference_update(w for w, _ in marked)
-        for w in new:
+            rest.difference_update(w for w, _ in marked)
+        for w in rest:
             words[w] = self.encode(w)
-        return [b"".join(map(words.__getitem__, x)) for x in split]
+
+    def documents(self, texts: list[str]) -> list[bytes]:
+        """Arrow splits and numbers the words; numpy lays their ids out."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        try:  # Latin-1 has neither letters that fold in company nor marks that join others
+            "".join(texts).encode("latin-1")
+            simple = True
+        except UnicodeEncodeError:
+            simple = False
+        plain = pa.array([(t.lower() if simple else t).replace("\n", " ") for t in texts], pa.string())
+        split = pc.split_pattern(plain, " ")
+        coded = split.values.dictionary_encode()
+        distinct, number = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self.words) > CACHE:
+            self.words = {"": b""}
+        words = self.words
+        self.learn([w for w in distinct if w not in words], simple)
+        ids = [words[w] for w in distinct]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        first, flat = np.cumsum(size) - size, np.frombuffer(b"".join(ids), "<u4")
+        sizes = size[number]
+        ends = np.cumsum(sizes)
+        laid = flat[np.repeat(first[number] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        edges = np.concatenate([[0], ends])[split.offsets.to_numpy()].tolist()
+        return [laid[a:b].tobytes() for a, b in zip(edges, edges[1:])]
 
 
 def plan_block(lengths: list[int], longest: int, shortest: int) -> list[tuple[int, list[tuple[int, int, int]]]]:
@@ -196,4 +212,5 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     def work(batches):
         yield from pack_batches(batches, tokenizer, end_id, longest, shortest, step_tokens)
 
+
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(work, SCHEMA)
