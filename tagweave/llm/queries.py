@@ -28,7 +28,7 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return urls.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score", "threshold")
+    return urls.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,36 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_records(chat.gather(rows.unionByName(extra))))
 
 
+def url_sql() -> str:
+    """The rules, the two models order by order, and the verdicts."""
+    fit = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for h, p, _ in sorted(URL_RULES, key=lambda r: -len(r[0] + r[1])))
+    said = " ".join(f"WHEN '{h}{p}' THEN '{v}'" for h, p, v in URL_RULES)
+    steps, last = [], "w"
+    for k in range(1, urls.ORDER + 1):
+        steps.append(f"n{k} AS (SELECT substr(gram, {urls.ORDER + 1 - k}) AS tail, sum(a) AS a, sum(b) AS b FROM c GROUP BY tail)")
+        steps.append(f"x{k} AS (SELECT substr(tail, 1, {k - 1}) AS context, sum(a) AS na, count(*) FILTER (a > 0) AS ta, sum(b) AS nb, count(*) FILTER (b > 0) AS tb FROM n{k} GROUP BY context)")
+        one = lambda m: f"CASE WHEN coalesce(n{m}, 0) > 0 THEN (coalesce({m}, 0) + t{m} * p{m}) / (n{m} + t{m}) ELSE p{m} END"
+        steps.append(f"p{k} AS (SELECT gram, {one('a')} AS pa, {one('b')} AS pb FROM {last} LEFT JOIN n{k} ON tail = substr(gram, {urls.ORDER + 1 - k}) LEFT JOIN x{k} ON context = substr(gram, {urls.ORDER + 1 - k}, {k - 1}))")
+        last = f"p{k}"
+    held = ", ".join(f"'{x}'" for x in urls.HELD)
+    return f"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+r AS (SELECT *, CASE {fit} END AS rule, host || path AS text FROM h),
+v AS (SELECT *, CASE rule {said} END AS said FROM r),
+t AS (SELECT text, any_value(said) AS said, count(*) AS n, md5(text)[1] IN ({held}) AS held FROM v GROUP BY text),
+g AS (SELECT text, said, n, held, substr(repeat(chr(2), {urls.ORDER - 1}) || text || chr(3), i::INT, {urls.ORDER}) AS gram FROM (SELECT *, unnest(range(1, length(text) + 2)) AS i FROM t)),
+c AS (SELECT gram, sum(CASE WHEN said = 'allow' THEN n ELSE 0 END) AS a, sum(CASE WHEN said = 'block' THEN n ELSE 0 END) AS b FROM g WHERE said IS NOT NULL AND NOT held GROUP BY gram),
+w AS (SELECT DISTINCT gram, {1.0 / urls.ALPHABET}::DOUBLE AS pa, {1.0 / urls.ALPHABET}::DOUBLE AS pb FROM g WHERE said IS NULL OR held),
+{", ".join(steps)},
+s AS (SELECT text, any_value(said) AS said, avg(ln(pa) - ln(pb)) AS score FROM g JOIN {last} USING (gram) WHERE said IS NULL OR held GROUP BY text),
+m AS (SELECT avg(score) FILTER (said = 'allow') AS a, stddev_pop(score) FILTER (said = 'allow') AS da, avg(score) FILTER (said = 'block') AS b, stddev_pop(score) FILTER (said = 'block') AS db FROM s),
+e AS (SELECT CASE WHEN a IS NULL OR b IS NULL THEN 0 WHEN da + db > 0 THEN (a * db + b * da) / (da + db) ELSE (a + b) / 2 END AS edge FROM m)
+SELECT page_id, host, path, rule, coalesce(v.said, CASE WHEN score >= (SELECT edge FROM e) THEN 'allow' ELSE 'block' END) AS verdict
+FROM v LEFT JOIN s ON v.text = s.text"""
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -78,6 +108,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_url_filters": url_sql(),
     "op6_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,

@@ -32,8 +32,8 @@ ALLOW, BLOCK = "allow", "block"
 ORDER, ALPHABET = 5, 256
 #: More distinct n-grams than this (some 40 MB) are joined by a shuffle in place of a broadcast.
 BROADCAST_GRAMS = 400_000
-#: One example in so many calibrates the threshold in place of being counted.
-HELD = 4
+#: Examples whose digest begins with one of these, a quarter, calibrate the threshold in place of being counted.
+HELD = ("0", "1", "2", "3")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -81,7 +81,7 @@ def judge(urls: DataFrame, rules, *, url_col: str = "url") -> DataFrame:
     ruled = with_rules(urls.drop("verdict", "score", "threshold", "text"), url_col, rules).withColumn("text", F.concat("host", "path"))
     # One row a distinct text; all rows of a text have the same rule.
     texts = cut(ruled.groupBy("text").agg(F.first("rule_verdict").alias("rule_verdict"), F.count(F.lit(1)).alias("rows")))
-    is_held = F.pmod(F.xxhash64("text"), F.lit(HELD)) == 0
+    is_held = F.substring(F.md5("text"), 1, 1).isin(*HELD)
     example = grams(texts.where(F.col("rule_verdict").isNotNull() & ~is_held), "rule_verdict", "rows")
     counts = cut(example.groupBy("gram").agg(*[F.sum(F.when(F.col("rule_verdict") == c, F.col("rows")).otherwise(0)).alias(c) for c in (ALLOW, BLOCK)]))
     # Texts that rules decide are only scored where they calibrate.

@@ -1,8 +1,7 @@
+import hashlib
 import math
 import random
 
-import xxhash
-
 from tagweave.llm import urls as U
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -59,7 +58,7 @@ def test_against_brute_force(spark):
     for _, u in rows:
         h, p = split(u)
         texts.setdefault(h + p, [rule_of(h, p)[1], 0])[1] += 1
-    held = {t for t in texts if signed(xxhash.xxh64_intdigest(t.encode(), seed=42)) % U.HELD == 0}
+    held = {t for t in texts if hashlib.md5(t.encode()).hexdigest()[0] in U.HELD}
     examples = {"allow": {}, "block": {}}
     for t, (v, n) in texts.items():
         if v and t not in held:
@@ -81,10 +80,6 @@ def test_against_brute_force(spark):
     assert got == sorted(want, key=str)
 
 
-def signed(x):
-    return x - (1 << 64) if x >> 63 else x
-
-
 def test_no_examples_and_no_rows(spark):
     df = spark.createDataFrame([(1, "http://a.com/"), (2, None)], "page_id long, url string")
     assert {x.verdict for x in U.judge(df, RULES).collect()} == {"allow"}
