@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 
 from ..schema import INTS, PA_NODE, STRINGS
-from .textual import data_of, has_text, own_text, text_of
+from .textual import all_texts, data_of, own_text
 from .tree import Document, Node
 
 CONTENT = ("text", "data", "element")
@@ -28,6 +28,13 @@ class Columns:
         c, base = self.cols, len(self.cols["pre"])
         pre_of: dict[int, int] = {}
         post = 0
+        texts = all_texts(root) if self.fields & {"text", "has_text"} else {}
+        with_data: set[int] = set()
+        for n in root.walk() if "data" in self.fields else ():
+            up = n.parent if n.kind == "data" else None
+            while up is not None and id(up) not in with_data:
+                with_data.add(id(up))
+                up = up.parent
         # (node, parent's pre, depth, place among siblings, place among elements, element before, ancestors)
         todo: list = [(root, -1, 0, 0, 0, -1, ())]
         while todo:
@@ -52,7 +59,7 @@ class Columns:
             f = self.fields
             for name, value in zip(STRINGS, (
                 node.kind, node.name, node.norm, lower.get("id") if is_element else None, None if textual else node.content,
-                text_of(node) if "text" in f and textual else None, own_text(node) if "own_text" in f and textual else None, data_of(node) if "data" in f and textual else None,
+                texts[id(node)][0] if "text" in f and textual else None, (own_text(node) if any(k.kind == "text" for k in node.kids) else "") if "own_text" in f and textual else None, (data_of(node) if id(node) in with_data else "") if "data" in f and textual else None,
             )):
                 c[name].append(value)
             c["attrs"].append([{"k": k, "v": v or "", "b": v is None} for k, v in node.attrs.items()])
@@ -60,7 +67,7 @@ class Columns:
             c["classes"].append(classes)
             c["classes_lc"].append([x.lower() for x in classes])
             c["anc"].append(list(anc) if "anc" in f else None)
-            c["has_text"].append(has_text(node) if "has_text" in f and textual else None)
+            c["has_text"].append(texts[id(node)][1] if "has_text" in f and textual else None)
             if node.kids:
                 todo.append((pre, -2))
                 up = (pre, *anc) if "anc" in f else ()

@@ -51,6 +51,34 @@ def text_of(node: Node) -> str:
     return out.done()
 
 
+def all_texts(root: Node) -> dict[int, tuple[str, bool]]:
+    """id(node) -> (text_of, has_text) of all elements below and at root, in one walk.
+
+    An element's text is its stretch of the whole's: what stands before it
+    only decides on white space at its beginning, which is stripped.
+    """
+    out: dict[int, tuple[str, bool]] = {}
+    whole, ink = Joined(), 0
+    parts = whole.parts
+    todo: list = [root]
+    while todo:
+        n = todo.pop()
+        if type(n) is tuple:
+            n, start, before = n
+            out[id(n)] = ("".join(parts[start:]).strip("\t\n\r\f ") if len(parts) > start else "", ink > before)
+            continue
+        if n.kind == "text":
+            whole.add(n)
+            if n.content.strip("\t\n\r\f "):
+                ink += 1
+        elif n.kind == "element" or n.kind == "document":
+            if n.kind == "element" and (n.norm == "br" or is_block(n.norm)):
+                whole.space()
+            todo.append((n, len(parts), ink))
+            todo += reversed(n.kids)
+    return out
+
+
 def own_text(node: Node) -> str:
     out = Joined()
     for n in node.kids:

@@ -117,3 +117,16 @@ def test_structs_and_back():
     posts = [r["post"] for r in rows]
     assert sorted(posts) == list(range(len(rows))) and posts[0] == len(rows) - 1
     assert document_html(from_structs(rows)) == document_html(doc)
+
+
+def test_texts_of_one_walk_are_those_of_each_node():
+    from tagweave.operators.textual import all_texts, has_text
+
+    rng = random.Random(7)
+    parts = ["<p>", "</p>", "<b>", "</b>", " a ", "b", "\n", "&nbsp;", "<br>", "<div> ", "</div>", "<pre>  x </pre>", "<textarea> y</textarea>", "<ul><li>", "<!-- c -->", "<script>s</script>"]
+    for _ in range(300):
+        root = parse_html("".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))).root
+        found = all_texts(root)
+        for n in root.walk():
+            if n.kind in ("element", "document"):
+                assert found[id(n)] == (text_of(n), has_text(n))
