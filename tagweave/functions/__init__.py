@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import edits as E
 from ..operators.flatten import from_structs
 from ..operators.sanitize import POLICIES, Policy, clean, is_valid
-from ..operators.serialize import Output, document_html, outer_html
+from ..operators.serialize import Output, document_html, inner_html, outer_html
 from ..operators.serialize import escape as escape_text
 from ..operators.tokens import decode
 from ..plans.local import condition, select
@@ -216,8 +216,26 @@ def serialize(dom: Column, pre: Column | None = None, out: Output = Output()) ->
             texts.append(document_html(doc, out) if p <= 0 else outer_html(list(doc.root.walk())[int(p)], out))
         return pd.Series(texts, dtype=object)
 
-    needed = F.transform(dom, lambda n: F.struct(n["pre"].alias("pre"), n["parent"].alias("parent"), n["kind"].alias("kind"), n["name"].alias("name"), n["attrs"].alias("attrs"), n["content"].alias("content")))
-    return apply(needed, pre if pre is not None else F.lit(0))
+    return apply(structure(dom), pre if pre is not None else F.lit(0))
+
+
+def html_of(dom: Column, pres: Column, inner: bool = False, out: Output = Output()) -> Column:
+    """array<string>: outer or inner HTML of the nodes with these numbers."""
+
+    @F.pandas_udf("array<string>")
+    def apply(doms: pd.Series, lists: pd.Series) -> pd.Series:
+        texts = []
+        for d, ps in zip(doms, lists):
+            nodes = list(from_structs([dict(s) for s in d]).root.walk()) if d is not None else []
+            texts.append([(inner_html if inner else outer_html)(nodes[int(p)], out) for p in ps] if d is not None and ps is not None else None)
+        return pd.Series(texts, dtype=object)
+
+    return apply(structure(dom), pres)
+
+
+def structure(dom: Column) -> Column:
+    """The fields that a tree is built from again."""
+    return F.transform(dom, lambda n: F.struct(*[n[x].alias(x) for x in ("pre", "parent", "kind", "name", "attrs", "content")]))
 
 
 def css_selectors(html: Column, mode: str = "auto") -> Column:

@@ -112,6 +112,7 @@ class Policy:
         return None
 
 
+# The ready-made policies.
 NONE = Policy()
 SIMPLE_TEXT = NONE.add_tags("b", "em", "i", "strong", "u")
 BASIC = (
@@ -130,6 +131,7 @@ RELAXED = (
     .add_protocols("a", "href", "ftp", "http", "https", "mailto").add_protocols("blockquote", "cite", "http", "https").add_protocols("cite", "cite", "http", "https")
     .add_protocols("img", "src", "http", "https").add_protocols("q", "cite", "http", "https")
 )
+# End of fixed values.
 POLICIES = {"none": NONE, "simple_text": SIMPLE_TEXT, "basic": BASIC, "basic_with_images": BASIC_WITH_IMAGES, "relaxed": RELAXED}
 
 UNSAFE_STYLE = re.compile(r"expression\s*\(|@import|url\s*\(|javascript:|\\", re.I)

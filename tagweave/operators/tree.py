@@ -73,9 +73,9 @@ def blank(data: str) -> bool:
     return not data.strip("\t\n\r\f ")
 
 
+# Tags that the rules of tree construction name.
 SCOPE = frozenset("applet caption html table td th marquee object".split())
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-FORMATTING_END = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 IMPLIED = frozenset("dd dt li option optgroup p rp rt".split())
 TABLE_PARTS = frozenset("table tbody tfoot thead tr".split())
 CELLS = ("td", "th")
@@ -126,6 +126,9 @@ BODY_END = groups(
 )
 
 
+# End of fixed values.
+
+
 class HtmlBuilder:
     """One parse. mode names a method that takes a token and says whether the token was of use."""
 
@@ -154,8 +157,8 @@ class HtmlBuilder:
 
     pending_close = False
 
-    def process(self, token, mode: str | None = None) -> bool:
-        return getattr(self, f"on_{mode or self.mode}")(token)
+    def process(self, token) -> bool:
+        return getattr(self, f"on_{self.mode}")(token)
 
     def start(self, name: str, attrs: dict | None = None) -> bool:
         return self.process(Start(name, attrs or {}))

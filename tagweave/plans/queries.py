@@ -191,15 +191,14 @@ def nav_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", H.attr(F.col("n"), "href").alias("href"), F.col("n")["text"].alias("text"), H.abs_url(F.col("n"), F.col("base_uri"), "href").alias("abs_url"))
 
 
-@query("page_language", r"SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, regexp_extract(html, '<meta charset=\"([^\"]*)\"', 1) AS charset, count(*) OVER () AS pages FROM pages".replace('\\"', '"'))
+@query("page_language", """SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, regexp_extract(html, '<meta charset="([^"]*)"', 1) AS charset FROM pages""")
 def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = pages(spark, sf_dir, cols=("page_id",))
     first = lambda css, key: H.first_attr(local.select(F.col("dom"), css), key)
-    rows = df.select("page_id", first("html", "lang").alias("lang"), first("meta[charset]", "charset").alias("charset"))
-    return rows.join(F.broadcast(df.sparkSession.read.parquet(f"{sf_dir}/pages.parquet").agg(F.count(F.lit(1)).alias("pages"))))
+    return df.select("page_id", first("html", "lang").alias("lang"), first("meta[charset]", "charset").alias("charset"))
 
 
-@query("ads", r"SELECT page_id, count(*) AS ads FROM (SELECT page_id, unnest(regexp_extract_all(html, '<div class=\"ad\">')) FROM pages) GROUP BY page_id".replace('\\"', '"'))
+@query("ads", """SELECT page_id, count(*) AS ads FROM (SELECT page_id, unnest(regexp_extract_all(html, '<div class="ad">')) FROM pages) GROUP BY page_id""")
 def ads(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = pages(spark, sf_dir, "div.ad")
     return df.select("page_id", F.size(local.select(F.col("dom"), "div.ad")).cast("long").alias("ads")).where("ads > 0")
@@ -562,3 +561,45 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.concat(F.lit("<title>"), F.col("n_name"), F.lit("</title><p onclick=x>"), F.col("n_name"), F.lit("</p>"))
     df = table(spark, sf_dir, "nation").select("n_nationkey", html.alias("html"), F.concat(F.lit("<p onclick=x>"), F.col("n_name")).alias("part"))
     return df.selectExpr("n_nationkey", "html_title(html) AS title", "html_clean_basic(part) AS clean")
+
+
+@query("outer_html", """SELECT n_regionkey, string_agg('<li id="n' || n_nationkey || '" title="' || n_name || '" class="nat k' || n_nationkey % 3 || '" data-key="' || n_nationkey || '">' || n_name || '</li>', chr(10) ORDER BY n_nationkey) AS html, string_agg(n_name, '|' ORDER BY n_nationkey) AS inner_html FROM nation GROUP BY n_regionkey""")
+def outer_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = parse_html(nation_lists(spark, sf_dir), fields=())
+    pres = L.numbers(li(F.col("dom")))
+    return df.select("n_regionkey", F.array_join(H.html_of(F.col("dom"), pres), "\n").alias("html"), F.array_join(H.html_of(F.col("dom"), pres, inner=True), "|").alias("inner_html"))
+
+
+@query("joined_text", "SELECT l_orderkey, string_agg(CASE WHEN l_linenumber % 2 = 1 THEN l_returnflag || ' odd' ELSE 'even ' || l_returnflag END, ' ' ORDER BY l_linenumber, l_linestatus, l_returnflag) AS text FROM lineitem GROUP BY l_orderkey")
+def joined_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = parse_html(order_trees(spark, sf_dir), fields=("text",))
+    return df.select("l_orderkey", H.joined_text(li(F.col("dom"))).alias("text"))
+
+
+@query("body_fragment", "SELECT item_id, 4::BIGINT AS nodes, text FROM benchmark")
+def body_fragment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fragment stands in a shell of html, head and body."""
+    df = table(spark, sf_dir, "benchmark").select("item_id", element("pre", H.escape(F.col("text"))).alias("html"))
+    parsed = parse_html(df, mode="fragment", fields=())
+    elements = F.size(F.filter("dom", lambda n: n["kind"] == "element")).cast("long")
+    return parsed.select("item_id", elements.alias("nodes"), L.raw_text(F.col("dom"), H.first_by_tag(F.col("dom"), "pre")).alias("text"))
+
+
+@query("doctype_and_quirks", "SELECT page_id, 'html' AS doctype, 'no' AS quirks FROM pages")
+def doctype_and_quirks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = pages(spark, sf_dir)
+    return df.select("page_id", L.first(F.filter("dom", lambda n: n["kind"] == "doctype"))["name"].alias("doctype"), "quirks")
+
+
+@query("page_titles", r"""SELECT page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages WHERE NOT regexp_matches(html, '&[a-z]*<')""")
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose text ends in a reference that was cut off are left to tests."""
+    whole = table(spark, sf_dir, "pages").where(~F.col("html").rlike("&[a-z]*<")).select("page_id", "html")
+    return parse_html(whole, fields=("text",)).select("page_id", H.title(F.col("dom")).alias("title"))
+
+
+@query("clean_policies", """SELECT item_id, '<p>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>' AS basic, '<b>x</b>' AS simple, '<img src="http://h/a.png" />' AS images FROM benchmark""")
+def clean_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = Output(pretty=False)
+    df = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("<div><p class=a>"), H.escape(F.col("text")), F.lit("</p></div>")).alias("html"))
+    return df.select("item_id", H.clean_html(F.col("html"), "basic", out=flat).alias("basic"), H.clean_html(F.lit("<p><b onclick=y>x</b></p>"), "simple_text", out=flat).alias("simple"), H.clean_html(F.lit("<img src='http://h/a.png' onerror=x>"), "basic_with_images", out=flat).alias("images"))
