@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release_memory
+
 #: Bytes of text a block is planned for.
 BLOCK_BYTES = 2_000_000
 #: A hash in more blocks than this is hot: what hangs on it is spread over shards in finer parts.
@@ -108,12 +110,18 @@ def is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def map_blocks(blocks: DataFrame, work: Callable[[int, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    return blocks.groupBy("block").applyInPandas(lambda key, f: work(int(key[0]), f), schema)
+    return blocks.groupBy("block").applyInPandas(lambda key, f: tidy(work(int(key[0]), f)), schema)
 
 
 def map_blocks_with(blocks: DataFrame, more: DataFrame, work: Callable[[int, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Each block with its rows of more."""
-    return blocks.groupBy("block").cogroup(more.groupBy("block")).applyInPandas(lambda key, f, g: work(int(key[0]), f, g), schema)
+    return blocks.groupBy("block").cogroup(more.groupBy("block")).applyInPandas(lambda key, f, g: tidy(work(int(key[0]), f, g)), schema)
+
+
+def tidy(result: pd.DataFrame) -> pd.DataFrame:
+    """A group's result, once what it took to make it has gone back to the system."""
+    release_memory()
+    return result
 
 
 def empty(schema: str) -> pd.DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES = 4_000_000
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -40,6 +44,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes: texts are long, and each batch stands in the JVM and in Python at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def release_memory() -> None:
+    """Gives a worker's freed memory back to the system, where the C library can: workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row, also inside lambdas."""
     return F.transform(F.array(value), body)[0]

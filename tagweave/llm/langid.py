@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import modest_batches, release_memory
+
 UNKNOWN = "und"
 #: Labelled rows that the machines are fitted on at most, and languages told apart at most (the most frequent).
 SAMPLE_ROWS, LANGUAGES = 2400, 48
@@ -95,9 +97,10 @@ def has_letter(text: str | None) -> bool:
 
 def fit_pair(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float]:
     """A linear machine, hinge loss, by dual coordinate descent. y: 1 or -1."""
-    scale = np.float32(1 / max(1e-9, np.sqrt((x * x).sum(1)).mean()))
-    x = np.concatenate([x * scale, np.ones((len(x), 1), np.float32)], 1)
-    w, alpha, norms = np.zeros(x.shape[1], np.float64), np.zeros(len(x)), (x * x).sum(1)
+    scale = np.float32(1 / max(1e-9, np.sqrt(np.einsum("ij,ij->i", x, x)).mean()))
+    scaled = np.ones((len(x), x.shape[1] + 1), np.float32)
+    x = np.multiply(x, scale, out=scaled[:, :-1]).base
+    w, alpha, norms = np.zeros(x.shape[1], np.float64), np.zeros(len(x)), np.einsum("ij,ij->i", x, x)
     # Rare classes weigh as much as frequent ones.
     most = np.where(y > 0, cost * len(y) / (2 * max(1, (y > 0).sum())), cost * len(y) / (2 * max(1, (y < 0).sum()))) * 10
     order = np.random.default_rng(7)
@@ -202,17 +205,25 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
     def work(batches):
         for batch in batches:
-            x = [features(t.as_py()).tobytes() for t in batch.column("text")]
+            x = [features(t.as_py()).astype(np.float16).tobytes() for t in batch.column("text")]
             yield pa.record_batch([batch.column("lang"), batch.column("spot"), pa.array(x, pa.binary())], ["lang", "spot", "x"])
 
+    modest_batches(docs.sparkSession)
     got = rows.withColumn("spot", spot).where(F.col("spot") < share[F.col("lang")]).select("lang", "spot", "text").mapInArrow(work, "lang string, spot double, x binary").collect()
     taken: dict[str, list] = {}
     for r in sorted(got, key=lambda r: (r["spot"], r["lang"], bytes(r["x"]))):
         taken.setdefault(r["lang"], [])
         if len(taken[r["lang"]]) < each:
             taken[r["lang"]].append(r["x"])
+    del got
     langs = [g for g, xs in sorted(taken.items()) for _ in xs]
-    return Model.fit(np.stack([np.frombuffer(x, np.float32) for _, xs in sorted(taken.items()) for x in xs]), langs)
+    x = np.empty((len(langs), BINS), np.float32)
+    for row, data in zip(x, (x for _, xs in sorted(taken.items()) for x in xs)):
+        row[:] = np.frombuffer(data, np.float16)
+    del taken
+    model = Model.fit(x, langs)
+    release_memory()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep_text: bool = True) -> DataFrame:
@@ -226,6 +237,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep_text
             langs, score = model.predict(batch.column(at).to_pylist())
             yield pa.record_batch([*batch.columns[:at], pa.array(langs, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])
 
+    modest_batches(docs.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return docs.select(*kept, F.col(text_col).alias("_text")).mapInArrow(work, f"{fields}, lang_pred string, score double")
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, shared_dir
+from .common import cut, modest_batches, partitions, shared_dir
 
 WIDTH = 64
 #: A shard is closed at this size, and a worker gathers as much before it writes.
@@ -138,6 +138,7 @@ def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
         for done in write_shards(batches, folder):
             yield pa.RecordBatch.from_pandas(done, schema=pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("media_bytes", pa.int64())]), preserve_index=False)
 
+    modest_batches(spark)
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(work, STORED)
     return cut(rows), folder
 

@@ -29,6 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import modest_batches, release_memory
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, step_id long"
 #: ASCII marks that stand at the end of words; the tokenizer splits them from letters.
 MARKS = ".,;:!?%*$&#)"
@@ -210,7 +212,11 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
             raise ValueError("tiers are powers of two")
 
     def work(batches):
-        yield from pack_batches(batches, tokenizer, end_id, longest, shortest, step_tokens)
+        try:
+            yield from pack_batches(batches, tokenizer, end_id, longest, shortest, step_tokens)
+        finally:
+            release_memory()
 
+    modest_batches(docs.sparkSession)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(work, SCHEMA)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, modest_batches, partitions
 from .components import components
 
 DISTANCE, SEGMENTS, SEED = 3, 8, 42
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             fps = [simhash(t.as_py() or b"", shingle, digest) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
+    modest_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary")).mapInArrow(work, "doc_id long, fp long")
 
 

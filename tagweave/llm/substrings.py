@@ -37,12 +37,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks as B
-from .common import partitions
+from .common import modest_batches, partitions
 from .suffixes import permuted_common_prefixes, suffix_array
 
 WIDTH, GRAM = 100, 32
 #: Bytes of the corpus for each shard of pieces and of hashes.
-PIECE_SHARD_BYTES, HASH_SHARD_BYTES = 2_000_000, 16_000_000
+PIECE_SHARD_BYTES, HASH_SHARD_BYTES = 1_000_000, 16_000_000
 #: Places are ordered by document (ids, of blocks where there is none, and rows in their block), then start.
 PLACE = [("doc", "<i8"), ("block", "<i8"), ("row", "<i4"), ("start", "<i4")]
 SPAN = np.dtype([*PLACE, ("end", "<i4")])
@@ -242,13 +242,14 @@ def cut_spans(f: pd.DataFrame, g: pd.DataFrame, keep: bool) -> pd.DataFrame:
 
 def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, rest: list[str] = (), hot_blocks: int = B.HOT_BLOCKS) -> DataFrame:
     """RESULT for every row; kept, the remaining text, only where asked for; rest: columns that are passed on as JSON."""
+    modest_batches(docs.sparkSession)
     size, parts = B.total_bytes(docs, text_col), partitions(docs.sparkSession)
     shards, piece_shards = max(parts, size // HASH_SHARD_BYTES), max(parts, size // PIECE_SHARD_BYTES)
     blocks = B.blocked(docs, id_col, text_col, size, parts, rest)
     blobs = B.map_blocks(blocks, lambda k, f: send_hashes(k, f, shards), "block long, shard long, blob binary")
     masks = B.shared_masks(blobs, hot_blocks)
     pieces = B.map_blocks_with(blocks, masks, lambda k, f, g: send_pieces(k, f, g, shards, piece_shards), PIECES)
-    spans = pieces.groupBy("pshard").applyInPandas(sort_pieces, SPANS)
+    spans = pieces.groupBy("pshard").applyInPandas(lambda f: B.tidy(sort_pieces(f)), SPANS)
     return B.map_blocks_with(blocks, spans, lambda k, f, g: cut_spans(f, g, keep_text), RESULT)
 
 
