@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Links to a partition of what is kept between rounds.
+PARTITION_ROWS = 20_000
+
 
 def star(directed: DataFrame, larger_only: bool) -> DataFrame:
     """directed: (a, b). For each a with the least m of itself and its b: links from its b (larger_only: those above a) to m."""
@@ -26,14 +29,15 @@ def star(directed: DataFrame, larger_only: bool) -> DataFrame:
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """links: (a long, b long) -> (node, root) for every node that isn't its component's smallest."""
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    mark = None
+    mark, rows = None, edges.count()
     for _ in range(most_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = star(both, True).where("a <> b").distinct()
         small = star(large, False).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        edges = cut(small)
+        # Few links are kept in few files.
+        edges = cut(small.coalesce(rows // PARTITION_ROWS + 1))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = now
+        mark, rows = now, now[0]
     raise RuntimeError("components did not settle")
