@@ -10,6 +10,7 @@ occurs there.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -118,9 +119,13 @@ def map_blocks_with(blocks: DataFrame, more: DataFrame, work: Callable[[int, pd.
     return blocks.groupBy("block").cogroup(more.groupBy("block")).applyInPandas(lambda key, f, g: tidy(work(int(key[0]), f, g)), schema)
 
 
+GROUPS = count(1)
+
+
 def tidy(result: pd.DataFrame) -> pd.DataFrame:
-    """A group's result, once what it took to make it has gone back to the system."""
-    release_memory()
+    """A group's result; after some groups, what it took to make them goes back to the system."""
+    if next(GROUPS) % 8 == 0:
+        release_memory()
     return result
 
 
