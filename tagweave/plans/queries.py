@@ -15,7 +15,7 @@ from ..functions import lists as L
 from ..functions import lookup as K
 from ..operators.serialize import Output
 from ..operators.tags import BLOCK
-from ..sources.html import node_table, parse_html, prefilter
+from ..sources.html import node_table, parse_html, prefilter, spread
 from . import local, relational
 
 
@@ -28,7 +28,7 @@ def pages(spark: SparkSession, sf_dir: str, selector: str | None = None, fields=
     df = table(spark, sf_dir, "pages").select(*cols, "url", "html")
     if selector:
         df = df.where(prefilter(F.col("html"), selector))
-    return parse_html(df, base_col="url", fields=fields, selectors=[selector] if selector and not fields else ())
+    return parse_html(spread(df), base_col="url", fields=fields, selectors=[selector] if selector and not fields else ())
 
 
 def matches(df: DataFrame, selector: str, *keys: str) -> DataFrame:
@@ -49,7 +49,7 @@ def element(tag: str, content: Column, **attrs) -> Column:
 def listing(df: DataFrame, key: str, order: str, item: Column, before: str, after: str) -> DataFrame:
     """(key, html): the items of each key in order."""
     rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("h")))).alias("rows"))
-    return rows.select(key, F.concat(F.lit(before), F.array_join(F.transform("rows", lambda r: r["h"]), ""), F.lit(after)).alias("html"))
+    return spread(rows.select(key, F.concat(F.lit(before), F.array_join(F.transform("rows", lambda r: r["h"]), ""), F.lit(after)).alias("html")))
 
 
 def nation_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,10 +248,10 @@ def rows_only(name: str, f) -> None:
     query(name)(f)
 
 
-rows_only("clean_pages", lambda spark, d: table(spark, d, "pages").select("page_id", H.clean_html(F.col("html"), "relaxed").alias("clean")))
-rows_only("reformat_pages", lambda spark, d: table(spark, d, "pages").select("page_id", H.reformat_html(F.col("html")).alias("html")))
-rows_only("edit_pages", lambda spark, d: table(spark, d, "pages").select("page_id", H.edit_html(F.col("html"), [("remove", "script, style, .ad"), ("attr", "a", "rel", "nofollow"), ("wrap", "article", "<main></main>")], out=Output(pretty=False)).alias("html")))
-rows_only("css_paths", lambda spark, d: table(spark, d, "pages").select("page_id", F.explode(H.css_selectors(F.col("html"))).alias("path")))
+rows_only("clean_pages", lambda spark, d: spread(table(spark, d, "pages")).select("page_id", H.clean_html(F.col("html"), "relaxed").alias("clean")))
+rows_only("reformat_pages", lambda spark, d: spread(table(spark, d, "pages")).select("page_id", H.reformat_html(F.col("html")).alias("html")))
+rows_only("edit_pages", lambda spark, d: spread(table(spark, d, "pages")).select("page_id", H.edit_html(F.col("html"), [("remove", "script, style, .ad"), ("attr", "a", "rel", "nofollow"), ("wrap", "article", "<main></main>")], out=Output(pretty=False)).alias("html")))
+rows_only("css_paths", lambda spark, d: spread(table(spark, d, "pages")).select("page_id", F.explode(H.css_selectors(F.col("html"))).alias("path")))
 rows_only("page_text", lambda spark, d: pages(spark, d, fields=("text",)).select("page_id", F.get("dom", F.lit(0))["text"].alias("text")))
 
 
@@ -370,7 +370,7 @@ def escape_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("text_round_trip", r"SELECT doc_id, trim(regexp_replace(text, '[\t\n\r\f \x{00A0}]+', ' ', 'g')) AS text FROM documents")
 def text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("<p>"), H.escape(F.col("text")), F.lit("</p>")).alias("html"))
+    df = spread(table(spark, sf_dir, "documents")).select("doc_id", F.concat(F.lit("<p>"), H.escape(F.col("text")), F.lit("</p>")).alias("html"))
     return parse_html(df, fields=("text",)).select("doc_id", H.first_by_tag(F.col("dom"), "p")["text"].alias("text"))
 
 

@@ -32,6 +32,12 @@ def prefilter(html: Column, selector: str) -> Column:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of fewer files than there are cores, dealt anew: a file of one row group is one task, and parsing is what costs. Many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def parse_html(df: DataFrame, html_col: str = "html", *, base_col: str | None = None, mode: str = "auto", fields: Iterable[str] = OPTIONAL, selectors: Iterable[str] = (), drop_html: bool = True, keep_tag_case: bool = False, keep_attr_case: bool = False) -> DataFrame:
     """df with dom, base_uri and quirks in place of any columns so named.
 
