@@ -16,8 +16,8 @@ from ..plans.selector import necessary
 from ..plans.selector import parse as parse_selector
 from ..schema import DOM, OPTIONAL
 
-#: Documents whose nodes are gathered into one Arrow batch.
-BATCH_ROWS = 64
+#: Bytes of markup, and documents, whose nodes are gathered into one Arrow batch at most.
+BATCH_BYTES, BATCH_ROWS = 500_000, 4096
 
 
 def fields_of(selectors: Iterable[str]) -> frozenset[str]:
@@ -55,8 +55,9 @@ def parse_html(df: DataFrame, html_col: str = "html", *, base_col: str | None =
 
     def work(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
+            step = max(1, min(BATCH_ROWS, BATCH_BYTES * batch.num_rows // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 n = len(kept)
                 gathered, bases, quirks = Columns(fields), [], []
                 for html, uri in zip(part.column(n).to_pylist(), part.column(n + 1).to_pylist()):
