@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import modest_batches, release_memory
 
 UNKNOWN = "und"
-#: Labelled rows that the machines are fitted on at most, and languages told apart at most (the most frequent).
-SAMPLE_ROWS, LANGUAGES = 2400, 48
+#: Labelled rows that the machines are fitted on at most; of each language one at least.
+SAMPLE_ROWS = 2400
 #: Bins of single letters and of letter triples.
 SINGLES, TRIPLES = 512, 4096
 BINS = SINGLES + TRIPLES
@@ -195,7 +195,7 @@ class Model:
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model of the rows with a language; docs: the rows that may be learned from."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return Model()
     each = max(1, sample_rows // len(counts))
