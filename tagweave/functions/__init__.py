@@ -93,12 +93,19 @@ def resolve_url(base: Column, relative: Column) -> Column:
 
 
 def attr(n: Column, key: str) -> Column:
-    """'' where the attribute is absent."""
-    return F.coalesce(n["attr_map"][key.lower()], F.lit(""))
+    """'' where the attribute is absent. abs: keys raise: abs_url takes the base URI that they need."""
+    return F.coalesce(n["attr_map"][plain(key)], F.lit(""))
 
 
 def has_attr(n: Column, key: str) -> Column:
-    return F.coalesce(F.map_contains_key(n["attr_map"], key.lower()), F.lit(False))
+    return F.coalesce(F.map_contains_key(n["attr_map"], plain(key)), F.lit(False))
+
+
+def plain(key: str) -> str:
+    key = key.lower()
+    if key.startswith("abs:"):
+        raise ValueError(f"{key!r} needs a base URI: take abs_url")
+    return key
 
 
 def abs_url(n: Column, base_uri: Column, key: str) -> Column:

@@ -61,7 +61,7 @@ def matches(ast: tuple, n: Node, root: Node) -> bool:
     if kind == "class":
         return args[0] in attrs.get("class", "").lower().split()
     if kind == "attr":
-        return args[0].removeprefix("abs:") in attrs
+        return args[0] in attrs
     if kind == "attr_starting":
         return any(k.startswith(args[0]) for k in attrs)
     if kind == "attr_value":

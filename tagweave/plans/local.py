@@ -16,7 +16,7 @@ def is_element(n: Column) -> Column:
 
 
 def attr(n: Column, key: str) -> Column:
-    """An attribute's value, null where it is absent. abs: keys aren't in the map: see functions.absolute."""
+    """An attribute's value, null where it is absent. Selectors with abs: keys aren't parsed: see functions.abs_url."""
     return n["attr_map"][key]
 
 
@@ -45,8 +45,7 @@ def leaf(ast: tuple, n: Column, scope: Column | None = None) -> Column | None:
     if kind == "class":
         return F.array_contains(n["classes_lc"], args[0])
     if kind == "attr":
-        key = args[0].removeprefix("abs:")
-        return F.map_contains_key(n["attr_map"], key)
+        return F.map_contains_key(n["attr_map"], args[0])
     if kind == "attr_starting":
         return F.exists(F.map_keys(n["attr_map"]), lambda k: k.startswith(args[0]))
     if kind == "attr_value":
