@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import sys
 import tempfile
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+WHITE = " \t\n\x0b\x0c\r"
 BATCH_BYTES = 4_000_000
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,6 +42,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def column(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until none of columns is called so."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -64,7 +82,9 @@ def let(value: Column, body) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+    """Each word, with what stands before it, becomes one character, so that no array of words is built."""
+    marks = F.regexp_replace(F.rtrim(text, F.lit(WHITE)), r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++", "x")
+    return F.coalesce(F.length(marks).cast("long"), F.lit(0).cast("long"))
 
 
 def ascii_lower(text: Column) -> Column:

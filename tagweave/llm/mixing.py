@@ -12,8 +12,11 @@ of them in part.
 
 Defined results: null or wordless texts have size 0 and are taken 0 times; a
 null source is a source of its own, after all others; repeated rows count as
-documents of their own; an empty table gives an empty result; other columns
-are passed on, and those with the names of computed columns are replaced.
+documents of their own, a partial repetition falling on any of equal ones;
+null ids are one id, in the order of size and text; texts of any length are
+counted whole; an empty table gives an empty result; other columns are passed
+on whatever their names, but for size, source_size, target and taken, which
+are replaced.
 """
 
 from __future__ import annotations
@@ -21,10 +24,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_count
+from .common import column, cut, unused, word_count
 
 #: More sources than this are joined by a shuffle in place of a broadcast.
 BROADCAST_ROWS = 100_000
+#: Characters of a place that a scan looks further, of a size, and of a place; pieces of so few rows are looked at row by row.
+DIGITS, SIZE_CHARS, PLACE_CHARS, PIECE_ROWS = 3, 12, 60, 10_000
+#: Columns of the result that replace others so named.
+COMPUTED = ("size", "source_size", "target", "taken")
 
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, epochs: float = 2.0) -> DataFrame:
@@ -49,31 +56,71 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, epoc
     return s.select("source", "source_size", F.least(cap, F.coalesce(F.col("_water") * F.col("_weight"), cap)).alias("target"))
 
 
+def edges_of(pieces: DataFrame, plan: DataFrame) -> DataFrame:
+    """(source, edge, before, rows): of each source the piece of its order in which the fraction ends.
+
+    pieces: (source, piece, size, rows, before), before being the words ahead of the first piece. A source's pieces are few.
+    """
+    ahead = Window.partitionBy("source").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(ahead), F.lit(0))).join(plan.select(F.col("source").alias("of"), "extra"), F.col("source").eqNullSafe(F.col("of")))
+    return placed.where((F.col("before") <= F.col("extra")) & (F.col("before") + F.col("size") > F.col("extra"))).select("source", F.col("piece").alias("edge"), "before", "rows")
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, computed and kept, for a broadcast where its size allows that."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def fractions(places: DataFrame, weights, share: float, epochs: float) -> DataFrame:
+    """(source, source_size, target, whole, extra, edge, before, copies) for places (source, place, size).
+
+    Rows whose place is below edge are taken once more, those at it as far as extra goes, those above not. The edge is
+    found digit by digit: a scan sums what the pieces of the last edge hold, until a piece holds few rows. Only sums are
+    ever put in order.
+    """
+    length = DIGITS
+    pieces = cut(places.groupBy("source", F.substring("place", 1, length).alias("piece")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).withColumn("before", F.lit(0).cast("long")))
+    targets = source_targets(pieces.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, epochs)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    extra = F.when(F.col("source_size") > 0, F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")).otherwise(F.lit(0).cast("long"))
+    plan = bounded(targets.withColumn("whole", whole).withColumn("extra", extra))
+    while True:
+        edges = bounded(edges_of(pieces, plan))
+        if length == PLACE_CHARS:
+            break
+        length = PLACE_CHARS if (edges.agg(F.max("rows")).first()[0] or 0) <= PIECE_ROWS else min(PLACE_CHARS, length + DIGITS)
+        at = edges.select(F.col("source").alias("of"), "edge", "before")
+        pieces = places.join(at, F.col("source").eqNullSafe(F.col("of")) & F.col("place").startswith(F.col("edge"))).groupBy("source", F.substring("place", 1, length).alias("piece")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"), F.first("before").alias("before"))
+    found = edges.select(F.col("source").alias("of"), "edge", "before", F.col("rows").alias("copies"))
+    return plan.join(found, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+
+
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1), share: float = 1.5, epochs: float = 2.0, seed: str = "mix", keep_text: bool = True) -> DataFrame:
     """docs with size, source_size, target and taken (words the mix takes of the row)."""
-    taken_names = {"size", "source_size", "target", "taken", "_key", "_bucket", "_source"}
-    rows = docs.select(*[c for c in docs.columns if c not in taken_names and (keep_text or c != text_col)], word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("_source"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))).alias("_key"))
-    rows = rows.withColumn("_bucket", F.substring("_key", 1, 2))
-    # One thin scan gives a row for each source and bucket: at most 256 rows a source.
-    buckets = cut(rows.groupBy("_source", "_bucket").agg(F.sum("size").alias("_bucket_size")))
-    targets = source_targets(buckets.groupBy(F.col("_source").alias("source")).agg(F.sum("_bucket_size").alias("source_size")), weights, share, epochs)
-    rate = F.col("target") / F.col("source_size")
-    whole = F.when(F.col("source_size") > 0, F.floor(rate)).otherwise(F.lit(0)).cast("long")
-    extra = F.when(F.col("source_size") > 0, F.round(F.col("target") - whole * F.col("source_size")).cast("long")).otherwise(F.lit(0).cast("long"))
-    before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    plan = buckets.withColumn("_before", F.coalesce(F.sum("_bucket_size").over(before), F.lit(0))).join(targets, F.col("_source").eqNullSafe(F.col("source")), "left").select(F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), "_before", "_bucket_size", "source_size", "target", whole.alias("_whole"), extra.alias("_extra"))
-    plan = cut(plan)
+    kept = [c for c in docs.columns if c.lower() not in COMPUTED and (keep_text or c != text_col)]
+    of, place, whole, extra, edge, before, copies, rank, source = unused([*kept, *COMPUTED], "of", "place", "whole", "extra", "edge", "before", "copies", "rank", "source_of")
+    text, size = column(text_col), word_count(column(text_col))
+    # A row's place: a seeded digest of the id, then size and text.
+    digits = F.concat(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(column(id_col).cast("string"), F.lit("null")))), F.lpad(size.cast("string"), SIZE_CHARS, "0"), F.lpad(F.hex(F.xxhash64(text)), 16, "0"))
+    places = cut(docs.select(column(source_col).alias("source"), digits.alias("place"), size.alias("size")))
+    plan = cut(fractions(places, weights, share, epochs))
+    tied = plan.where("copies > 1").count()
+    plan = plan.select(F.col("source").alias(of), "source_size", "target", *[F.col(x).alias(y) for x, y in (("whole", whole), ("extra", extra), ("edge", edge), ("before", before), ("copies", copies))])
     if plan.count() <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
-    joined = rows.join(plan, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")), "left")
-    inside = (F.col("_before") < F.col("_extra")) & (F.col("_before") + F.col("_bucket_size") > F.col("_extra"))
-    once = joined.where(~inside).withColumn("_more", F.when(F.col("_before") < F.col("_extra"), F.col("size")).otherwise(F.lit(0).cast("long")))
-    # Only the bucket in which the fraction ends needs its rows in order.
-    order = Window.partitionBy("_source", "_bucket").orderBy("_key", F.col(id_col), F.col("size")).rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("_extra") - F.col("_before") - F.coalesce(F.sum("size").over(order), F.lit(0))
-    edge = joined.where(inside).withColumn("_more", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left)))
-    out = once.unionByName(edge).withColumn("taken", (F.col("_whole") * F.col("size") + F.col("_more")).cast("long"))
-    return out.drop("_key", "_bucket", "_source", "_s", "_b", "_before", "_bucket_size", "_extra", "_more")
+    rows = docs.select(*[column(c) for c in kept], size.alias("size"), column(source_col).alias(source), digits.alias(place))
+    joined = rows.join(plan, F.col(source).eqNullSafe(F.col(of)), "left")
+    left = F.col(extra) - F.col(before)
+    out = joined.withColumn(rank, F.lit(0).cast("long"))
+    if tied:
+        # Only repeated rows, alike in id, size and text, have one place: where a fraction ends among them, they are counted.
+        among = (F.col(copies) > 1) & (F.col(place) == F.col(edge))
+        counted = joined.where(among).withColumn(rank, (F.row_number().over(Window.partitionBy(of, place).orderBy(place)) - 1).cast("long"))
+        out = out.where(~F.coalesce(among, F.lit(False))).unionByName(counted)
+    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left - F.col(rank) * F.col("size")))
+    more = F.when(F.col(edge).isNull() | (F.col(place) < F.col(edge)), F.when(F.col(extra) > 0, F.col("size")).otherwise(F.lit(0).cast("long"))).when(F.col(place) > F.col(edge), F.lit(0).cast("long")).otherwise(part)
+    return out.select(*[column(c) for c in kept], "size", "source_size", "target", (F.col(whole) * F.col("size") + more).cast("long").alias("taken"))
 
 
 def repeat(mixed: DataFrame, text_col: str = "text") -> DataFrame:
@@ -83,6 +130,8 @@ def repeat(mixed: DataFrame, text_col: str = "text") -> DataFrame:
     times = F.when(size > 0, F.floor(taken / size)).otherwise(F.lit(0)).cast("int")
     # No repetition may be empty: rows without words aren't part of a mix.
     takes = F.concat(F.array_repeat(size, times), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    out = mixed.withColumn("_take", F.explode(takes))
-    words = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), F.col("_take").cast("int"))
-    return out.withColumn(text_col, F.when(F.col("_take") == size, F.col(text_col)).otherwise(F.array_join(words, ""))).drop("_take")
+    (take,) = unused(mixed.columns, "take")
+    out = mixed.withColumn(take, F.explode(takes))
+    text = column(text_col)
+    words = F.slice(F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), F.col(take).cast("int"))
+    return out.select(*[F.when(F.col(take) == size, text).otherwise(F.array_join(words, "")).alias(c) if c == text_col else column(c) for c in mixed.columns])
