@@ -13,7 +13,9 @@ nothing but the text.
 Defined results: null texts and texts without a letter are 'und' with score 0,
 as is every text if no row is labelled; texts of any length are used whole;
 repeated rows are predicted each; null ids are not held out; an empty table
-gives no rows; other columns are passed on by identify().
+gives no rows; other columns, of any name, are passed on as they are, but that
+identify() puts lang_pred and score in place of columns so named. A label
+'und' is learned like any other.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import modest_batches, release_memory
+from .common import column, modest_batches, release_memory, unused
 
 UNKNOWN = "und"
 #: Labelled rows that the machines are fitted on at most; of each language one at least.
@@ -62,7 +65,7 @@ def letters() -> np.ndarray:
 
 
 def binned(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bins of single letters, bins of triples, starts of texts). Runs of other characters count as one space; each text begins and ends with one."""
+    """(bins of single letters, bins of triples, starts of texts). Runs of other characters count as one space; each text begins with one and is followed by one."""
     joined = "\x00" + "\x00".join(texts) + "\x00"
     cp = np.frombuffer(joined.lower().encode("utf-32-le", "surrogatepass"), "<u4")
     breaks = cp == 0
@@ -72,13 +75,14 @@ def binned(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep[1:] &= ~(~is_letter[1:] & ~breaks[1:] & breaks[:-1])
     cp = np.where(is_letter, cp, np.where(breaks, 0, 32)).astype(np.uint32)[keep]
     starts = np.flatnonzero(cp == 0)[:-1]
+    last = len(cp) - 1  # the break after the last text is no part of it
     x = np.where(cp == 0, 32, cp).astype(np.uint32)
     single = (x * np.uint32(0x9E3779B1)) >> np.uint32(23)
     # What stands before a text's first space is no part of it.
     a, b = np.where(cp == 0, 32, np.concatenate([[32], x[:-1]])).astype(np.uint32), np.concatenate([x[1:], [np.uint32(32)]]).astype(np.uint32)
     mixed = (a * np.uint32(0x85EBCA6B)) ^ (x * np.uint32(0xC2B2AE35) + (b * np.uint32(0x27D4EB2F)))
     triple = ((mixed * np.uint32(0x9E3779B1)) >> np.uint32(20)) + np.uint32(SINGLES)
-    return single, triple, starts
+    return single[:last], triple[:last], starts
 
 
 def features(text: str) -> np.ndarray:
@@ -179,7 +183,6 @@ class Model:
                 total = np.stack([np.add.reduceat(w[single] + w[triple], starts, dtype=np.float64) for w in np.ascontiguousarray(weights.T)], 1)
             else:
                 total = np.zeros((len(some), 0))
-            # The break after the last text is no part of it.
             n = np.diff(np.append(starts, len(single)))
             margins = total * (100 / n)[:, None]
             chosen, sure = self.families.decide(margins[:, : edges[1]] + self.families.bias)
@@ -194,7 +197,7 @@ class Model:
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model of the rows with a language; docs: the rows that may be learned from."""
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").rlike(r"\p{L}"))
+    rows = docs.select(column(id_col).cast("string").alias("id"), column(text_col).alias("text"), column(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return Model()
@@ -226,20 +229,22 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     return model
 
 
-def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """docs with lang_pred and score, in place of any columns so named."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score") and (keep_text or c != text_col)]
-    rows = docs.select(*kept)
+def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep_text: bool = True, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the predicted language and its score, called names, in place of any columns so named."""
+    kept = [c for c in docs.columns if c.lower() not in names and (keep_text or c != text_col)]
     at = len(kept)
+    plain = [f"c{i}" for i in range(at + 2)]
 
     def work(batches):
         for batch in batches:
             langs, score = model.predict(batch.column(at).to_pylist())
-            yield pa.record_batch([*batch.columns[:at], pa.array(langs, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])
+            yield pa.record_batch([*batch.columns[:at], pa.array(langs, pa.string()), pa.array(score, pa.float64())], plain)
+        release_memory()
 
     modest_batches(docs.sparkSession)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return docs.select(*kept, F.col(text_col).alias("_text")).mapInArrow(work, f"{fields}, lang_pred string, score double")
+    rows = docs.select(*[column(c).alias(x) for c, x in zip([*kept, text_col], plain)])
+    types = [*rows.schema.fields[:at], T.StructField(plain[at], T.StringType()), T.StructField(plain[at + 1], T.DoubleType())]
+    return rows.mapInArrow(work, T.StructType(types)).toDF(*kept, *names)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -253,5 +258,6 @@ def held_out_py(doc_id: int) -> bool:
 
 def keep_known(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
     """The documents of which the language can be told, unchanged; those without letters or below the least score go."""
-    model = fit(docs.where(~held_out(F.col(id_col))), id_col=id_col, text_col=text_col, lang_col=lang_col)
-    return identify(docs, model, text_col=text_col).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    model = fit(docs.where(~held_out(column(id_col))), id_col=id_col, text_col=text_col, lang_col=lang_col)
+    lang, score = names = unused(docs.columns, "lang_pred", "score")
+    return identify(docs, model, text_col=text_col, names=tuple(names)).where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*map(column, docs.columns))
