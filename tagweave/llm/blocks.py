@@ -14,10 +14,13 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import release_memory
+from .common import column, release_memory
 
 #: Bytes of text a block is planned for.
 BLOCK_BYTES = 2_000_000
@@ -29,27 +32,32 @@ MASKS = "block long, shard long, mask binary, hot binary"
 
 
 def total_bytes(docs: DataFrame, text_col: str) -> int:
-    return docs.agg(F.sum(F.octet_length(F.col(text_col)) + F.lit(1))).first()[0] or 0
+    return docs.agg(F.sum(F.octet_length(column(text_col)) + F.lit(1))).first()[0] or 0
 
 
 def blocked(docs: DataFrame, id_col: str, text_col: str, size: int, partitions: int, rest: list[str] = ()) -> DataFrame:
-    """(block, doc_id, has_id, data, rest): rows with equal ids share a block, rows without an id are dealt by their text. rest: other columns, as JSON."""
-    data, doc_id = F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")), F.col(id_col).cast("long")
+    """(block, doc_id, has_id, data, tie, rest0, rest1 and so on): rows with equal ids share a block, rows without an id are dealt by their text.
+
+    rest: other columns, which are passed on as they are; tie: a digest of them, which orders rows that are alike.
+    """
+    data, doc_id = F.coalesce(column(text_col).cast("binary"), F.lit(b"")), column(id_col).cast("long")
     blocks = max(1, -(-size // BLOCK_BYTES))
     at = F.pmod(F.xxhash64(F.coalesce(doc_id, F.xxhash64(data))), F.lit(blocks)).cast("long")
-    others = F.to_json(F.struct(*rest)) if rest else F.lit("")
-    return docs.select(at.alias("block"), F.coalesce(doc_id, F.lit(NO_ID)).alias("doc_id"), doc_id.isNotNull().alias("has_id"), data.alias("data"), others.alias("rest")).repartition(partitions, "block")
+    told = [column(c) for c in rest if "map<" not in docs.schema[c].dataType.simpleString()]
+    tie = F.xxhash64(*told) if told else F.lit(0).cast("long")
+    others = [column(c).alias(f"rest{i}") for i, c in enumerate(rest)]
+    return docs.select(at.alias("block"), F.coalesce(doc_id, F.lit(NO_ID)).alias("doc_id"), doc_id.isNotNull().alias("has_id"), data.alias("data"), tie.alias("tie"), *others).repartition(partitions, "block")
 
 
 class Block:
-    """A block's documents in the order of ids (none last), then texts, in one buffer."""
+    """A block's documents in the order of ids (none last), then texts, in one buffer. order: their rows in the table."""
 
     def __init__(self, f: pd.DataFrame):
-        rows = sorted(zip(f["doc_id"].tolist(), (not x for x in f["has_id"]), map(bytes, f["data"]), f["rest"]), key=lambda r: r[:3] + (r[3] or "",))
+        rows = sorted(zip(f["doc_id"].tolist(), (not x for x in f["has_id"]), map(bytes, f["data"]), f["tie"].tolist(), count()))
         self.order_ids = [r[0] for r in rows]
         self.doc_ids = [None if r[1] else r[0] for r in rows]
         self.texts = [r[2] for r in rows]
-        self.rest = [r[3] for r in rows]
+        self.order = [r[4] for r in rows]
         self.starts = np.concatenate([[0], np.cumsum([len(t) for t in self.texts], dtype=np.int64)])
         self.buffer = b"".join(self.texts)
 
@@ -110,21 +118,50 @@ def is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
+def arrow_schema(schema: T.StructType | str) -> tuple[T.StructType, pa.Schema]:
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return schema, to_arrow_schema(schema)
+
+
+def documents(table: pa.Table) -> pd.DataFrame:
+    """What Block takes of a block's table; other columns stay where they are."""
+    return table.select(["doc_id", "has_id", "data", "tie"]).to_pandas()
+
+
 def map_blocks(blocks: DataFrame, work: Callable[[int, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    return blocks.groupBy("block").applyInPandas(lambda key, f: tidy(work(int(key[0]), f)), schema)
+    returned, types = arrow_schema(schema)
+
+    def one(key, table):
+        return tidy(pa.Table.from_pandas(work(key[0].as_py(), documents(table)), schema=types, preserve_index=False))
+
+    return blocks.groupBy("block").applyInArrow(one, returned)
+
+
+def map_blocks_with(blocks: DataFrame, more: DataFrame, work: Callable[[int, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, rest: T.StructType = T.StructType()) -> DataFrame:
+    """Each block with its rows of more. With rest, work also gives, as a second result, the rows of the block's table whose other columns go with its own."""
+    returned, types = arrow_schema(schema)
+    others = [f"rest{i}" for i in range(len(rest))]
 
+    def one(key, table, g):
+        f = documents(table)
+        if not others:
+            return tidy(pa.Table.from_pandas(work(key[0].as_py(), f, g.to_pandas()), schema=types, preserve_index=False))
+        found, order = work(key[0].as_py(), f, g.to_pandas())
+        out = pa.Table.from_pandas(found, schema=types, preserve_index=False)
+        for name, values in zip(others, table.select(others).take(pa.array(order, pa.int64())).columns):
+            out = out.append_column(name, values)
+        return tidy(out)
 
-def map_blocks_with(blocks: DataFrame, more: DataFrame, work: Callable[[int, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Each block with its rows of more."""
-    return blocks.groupBy("block").cogroup(more.groupBy("block")).applyInPandas(lambda key, f, g: tidy(work(int(key[0]), f, g)), schema)
+    fields = [T.StructField(n, x.dataType) for n, x in zip(others, rest.fields)]
+    return blocks.groupBy("block").cogroup(more.groupBy("block")).applyInArrow(one, T.StructType([*returned.fields, *fields]))
 
 
 GROUPS = count(1)
 
 
-def tidy(result: pd.DataFrame) -> pd.DataFrame:
+def tidy(result):
     """A group's result; after some groups, what it took to make them goes back to the system."""
-    if next(GROUPS) % 8 == 0:
+    if next(GROUPS) % 4 == 0:
         release_memory()
     return result
 

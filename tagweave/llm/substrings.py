@@ -17,13 +17,18 @@ documents and are judged on the input.
 4. The spans go back to the blocks, which cut them from the texts.
 
 Only the hashes of anchors, shared pieces and spans move, and the texts once,
-to the blocks.
+to the blocks. Equal pieces are pre-aggregated, within a block and again
+within a shard: a text stands once in what is sorted, for all of its places,
+so that thousands of copies weigh no more than one. What of different pieces
+is equal, the suffix array tells.
 
 Defined results: a null text is empty and keeps nothing; texts shorter than
-WIDTH are kept; rows with equal ids follow each other in the order of texts,
-rows without an id stand after all others; repeated rows lose what the first
-of them keeps; an empty table gives no rows; other columns are passed on by
-deduplicated() and ignored by removed().
+WIDTH are kept; very long texts are cut into stretches for hashing only, which
+overlap, so they are treated as any other; rows with equal ids follow each
+other in the order of texts, then of a digest of other columns, rows without
+an id stand after all others; repeated rows lose what the first of them keeps;
+an empty table gives no rows; other columns are passed on by deduplicated(),
+of any name and type that Arrow has, and ignored by removed().
 """
 
 from __future__ import annotations
@@ -49,7 +54,7 @@ SPAN = np.dtype([*PLACE, ("end", "<i4")])
 PIECE = np.dtype([*PLACE, ("size", "<i4")])
 PIECES = "pshard long, pieces binary, data binary, spans binary"
 SPANS = "block long, spans binary"
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, rest string"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
 def gram_hashes(data: bytes) -> np.ndarray:
@@ -220,8 +225,8 @@ def sort_pieces(f: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": blocks, "spans": [found[found["block"] == b].tobytes() for b in blocks]})
 
 
-def cut_spans(f: pd.DataFrame, g: pd.DataFrame, keep: bool) -> pd.DataFrame:
-    """RESULT for a block's documents."""
+def cut_spans(f: pd.DataFrame, g: pd.DataFrame, keep: bool, rest: bool):
+    """RESULT for a block's documents; with rest, also their rows in its table."""
     block = B.Block(f)
     spans = np.concatenate([np.zeros(0, SPAN), *(np.frombuffer(s, SPAN) for s in g["spans"])])
     spans = merged(spans)
@@ -234,14 +239,14 @@ def cut_spans(f: pd.DataFrame, g: pd.DataFrame, keep: bool) -> pd.DataFrame:
             kept.append(text[at:a])
             at = b
         kept = b"".join([*kept, text[at:]])
-        rows.append((block.doc_ids[d], len(text), len(text) - len(kept), len(own), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep else None, block.rest[d]))
+        rows.append((block.doc_ids[d], len(text), len(text) - len(kept), len(own), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep else None))
     out = pd.DataFrame(rows, columns=[x.split()[0] for x in RESULT.split(", ")])
     out["doc_id"] = out["doc_id"].astype("Int64")
-    return out
+    return (out, block.order) if rest else out
 
 
 def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, rest: list[str] = (), hot_blocks: int = B.HOT_BLOCKS) -> DataFrame:
-    """RESULT for every row; kept, the remaining text, only where asked for; rest: columns that are passed on as JSON."""
+    """RESULT for every row; kept, the remaining text, only where asked for; then columns rest0, rest1 and so on for those named in rest, as they are."""
     modest_batches(docs.sparkSession)
     size, parts = B.total_bytes(docs, text_col), partitions(docs.sparkSession)
     shards, piece_shards = max(parts, size // HASH_SHARD_BYTES), max(parts, size // PIECE_SHARD_BYTES)
@@ -250,14 +255,13 @@ def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     masks = B.shared_masks(blobs, hot_blocks)
     pieces = B.map_blocks_with(blocks, masks, lambda k, f, g: send_pieces(k, f, g, shards, piece_shards), PIECES)
     spans = pieces.groupBy("pshard").applyInPandas(lambda f: B.tidy(sort_pieces(f)), SPANS)
-    return B.map_blocks_with(blocks, spans, lambda k, f, g: cut_spans(f, g, keep_text), RESULT)
+    types = T.StructType([docs.schema[c] for c in rest])
+    return B.map_blocks_with(blocks, spans, lambda k, f, g: cut_spans(f, g, keep_text, bool(rest)), RESULT, types)
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with what remains of their texts; characters that a cut broke go. Null texts become empty."""
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     kept = removed(docs, id_col=id_col, text_col=text_col, keep_text=True, rest=others)
-    back = {f.name: f for f in docs.schema.fields}
-    rest = F.from_json("rest", T.StructType([back[c] for c in others])) if others else None
-    cols = {id_col: F.col("doc_id").cast(back[id_col].dataType), text_col: F.col("kept")} | {c: rest[c] for c in others}
+    cols = {id_col: F.col("doc_id").cast(docs.schema[id_col].dataType), text_col: F.col("kept")} | {c: F.col(f"rest{i}") for i, c in enumerate(others)}
     return kept.select(*[cols[c].alias(c) for c in docs.columns])

@@ -1,68 +1,131 @@
 """Suffix arrays by induced sorting, and permuted common prefixes.
 
-The scans of induced sorting are done bucket by bucket: what a stretch of a
-bucket induces is grouped by character, in order, and appended to its buckets
-at once. What falls into the bucket at hand is its next stretch.
+Suffixes are classified as smaller (S) or larger (L) than the next one; the
+substrings between leftmost S suffixes are sorted and named; where names
+repeat, their order is found by recursion; and all suffixes are induced from
+it in two scans. This holds at every size and for every alphabet.
+
+The scans go by stretches: what a stretch of the array induces is grouped by
+character, in order, and appended to its buckets at once. A stretch is one
+bucket, or several small ones, gone through again until they induce nothing
+more into each other; so a few large buckets and many small ones alike take
+few steps.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: The recursion goes on while substrings have so many names at most. The buckets of more names would hold too little
-#: for scans by the bucket; such strings' suffixes are ordered by doubling the ranks of the names.
-BUCKETS = 2048
+#: Suffixes that a stretch of several buckets holds at most, and how often it is gone through before it is halved.
+STRETCH, ROUNDS = 1 << 14, 8
 
 
-def append_groups(sa: np.ndarray, at: np.ndarray, text: np.ndarray, j: np.ndarray, forward: bool) -> None:
-    """Appends suffixes j, in order, to their characters' buckets, which go on at at[character]."""
-    ch = text[j]
+def append_groups(sa: np.ndarray, at: np.ndarray, ch: np.ndarray, j: np.ndarray, forward: bool) -> np.ndarray:
+    """Appends suffixes j, in order, to the buckets of their characters ch, which go on at at[character]. Gives their places."""
     order = np.argsort(ch, kind="stable")
-    ch = ch[order]
-    counts = np.bincount(ch, minlength=len(at))
-    rank = np.arange(len(j)) - (np.cumsum(counts) - counts)[ch]
-    if forward:
-        sa[at[ch] + rank] = j[order]
-        at += counts
-    else:
-        sa[at[ch] - 1 - rank] = j[order]
-        at -= counts
+    ch, j = ch[order], j[order]
+    edges = np.flatnonzero(np.append(True, ch[1:] != ch[:-1]))
+    counts = np.diff(np.append(edges, len(ch)))
+    rank = np.arange(len(ch)) - np.repeat(edges, counts)
+    to = at[ch] + rank if forward else at[ch] - 1 - rank
+    sa[to] = j
+    at[ch[edges]] += counts if forward else -counts
+    return to
+
+
+def runs_of(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether the next character is the same, where each place's run begins, which characters have runs)."""
+    in_run = np.append(text[1:] == text[:-1], False)
+    start = np.arange(len(text), dtype=np.int32)
+    start[1:][in_run[:-1]] = 0
+    return in_run, np.maximum.accumulate(start), np.unique(text[in_run])
+
 
+def scan(sa: np.ndarray, text: np.ndarray, s_type: np.ndarray, runs: tuple, starts: np.ndarray, ends: np.ndarray, fill: np.ndarray, forward: bool) -> None:
+    """Induces the L suffixes (forward) or the S ones (backward) from what stands in sa; fill: where their buckets go on.
 
-def induce(text: np.ndarray, s_type: np.ndarray, starts: np.ndarray, ends: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    Suffixes of the type lie in [starts, fill) of a bucket, or [fill, ends); places without one hold -1.
+    """
+    used = np.flatnonzero(ends > starts)[:: 1 if forward else -1]
+    far = np.cumsum(ends[used] - starts[used])
+    # Suffixes of a run of one character follow from its last one's place. Numbers of buckets count in the order of the scan.
+    in_run, run_start, of_runs = runs
+    with_runs = np.append(np.flatnonzero(np.isin(used, of_runs, assume_unique=True)), len(used))
+
+    def induced(a: int, b: int) -> np.ndarray:
+        stretch = sa[a:b] if forward else sa[a:b][::-1]
+        j = stretch[stretch > 0] - 1
+        return j[(s_type[j] != forward) & ~in_run[j]]
+
+    def unroll(c: int) -> None:
+        """Puts the other suffixes of runs behind the last ones, all that are one character longer after all that are shorter."""
+        last = sa[starts[c] : fill[c]] if forward else sa[fill[c] : ends[c]][::-1]
+        times = last - run_start[last] + 1
+        which = np.repeat(np.arange(len(last)), times)
+        more = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+        order = np.argsort(more, kind="stable")
+        whole = (last[which] - more)[order]
+        fill[c] = starts[c] + len(whole) if forward else ends[c] - len(whole)
+        if forward:
+            sa[starts[c] : fill[c]] = whole
+        else:
+            sa[fill[c] : ends[c]] = whole[::-1]
+
+    def several(i: int, k: int) -> bool:
+        """Buckets i to k at once: what they induce into each other is put there until nothing is new."""
+        a, b = (starts[used[i]], ends[used[k - 1]]) if forward else (starts[used[k - 1]], ends[used[i]])
+        before, known, to = None, None, None
+        for _ in range(ROUNDS):
+            j = induced(a, b)
+            ch = text[j]
+            inside = ch <= used[k - 1] if forward else ch >= used[k - 1]
+            own = j[inside]
+            if not len(own) or (known is not None and len(own) == len(known) and (own == known).all()):
+                if len(own) < len(j):
+                    append_groups(sa, fill, ch[~inside], j[~inside], forward)
+                return True
+            if before is None:
+                before = fill[used[i:k]]
+            else:
+                fill[used[i:k]] = before
+            known, to = own, append_groups(sa, fill, ch[inside], own, forward)
+        sa[to] = -1
+        fill[used[i:k]] = before
+        return False
+
+    i, size = 0, STRETCH
+    while i < len(used):
+        k = int(np.searchsorted(far, (far[i - 1] if i else 0) + size, side="right"))
+        k = min(k, int(with_runs[np.searchsorted(with_runs, i)]))
+        if k > i + 1:
+            if several(i, k):
+                i, size = k, min(2 * size, STRETCH)
+            else:
+                size //= 2
+            continue
+        c = used[i]
+        if i == with_runs[np.searchsorted(with_runs, i)]:
+            unroll(c)
+        if len(j := induced(starts[c], ends[c])):
+            append_groups(sa, fill, text[j], j, forward)
+        i, size = i + 1, min(2 * size, STRETCH)
+
+
+def induce(text: np.ndarray, s_type: np.ndarray, runs: tuple, starts: np.ndarray, ends: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """All suffixes sorted as far as the order of the leftmost smaller ones, lms, tells."""
-    sa = np.zeros(len(text), np.int32)
+    sa = np.full(len(text), -1, np.int32)
     ch = text[lms]
-    counts = np.bincount(ch, minlength=len(starts))
-    lms_from = ends - counts
     order = np.argsort(ch, kind="stable")
-    sa[(lms_from - (np.cumsum(counts) - counts))[ch[order]] + np.arange(len(lms))] = lms[order]
-    used = np.flatnonzero(ends > starts)
-
-    def before(stretch: np.ndarray, kind: bool) -> np.ndarray:
-        j = stretch - 1
-        return j[(j >= 0) & (s_type[j] == kind)]
-
-    heads = starts.copy()
-    for c in used:
-        at = starts[c]
-        while at < heads[c]:
-            stretch, at = sa[at : heads[c]], heads[c]
-            if len(j := before(stretch, False)):
-                append_groups(sa, heads, text, j, True)
-        if lms_from[c] < ends[c] and len(j := before(sa[lms_from[c] : ends[c]], False)):
-            append_groups(sa, heads, text, j, True)
+    counts = np.bincount(ch, minlength=len(starts))
+    slots = (ends - counts - (np.cumsum(counts) - counts))[ch[order]] + np.arange(len(lms))
+    sa[slots] = lms[order]
+    scan(sa, text, s_type, runs, starts, ends, starts.copy(), True)
+    # The S suffixes are induced anew, all of them; the end mark stays, and what it follows is none.
+    sa[slots] = -1
+    sa[0] = len(text) - 1
     tails = ends.copy()
-    for c in used[::-1]:
-        if c == 0:
-            break  # the end mark stands where it was put, and what it follows is no S
-        at = ends[c]
-        while at > tails[c]:
-            stretch, at = sa[tails[c] : at][::-1], tails[c]
-            if len(j := before(stretch, True)):
-                append_groups(sa, tails, text, j, False)
-        if heads[c] > starts[c] and len(j := before(sa[starts[c] : heads[c]][::-1], True)):
-            append_groups(sa, tails, text, j, False)
+    tails[text[-1]] = 0
+    scan(sa, text, s_type, runs, starts, ends, tails, False)
     return sa
 
 
@@ -71,34 +134,12 @@ def eight_bytes(text: np.ndarray) -> np.ndarray:
     return np.ndarray((len(text) + 1,), "<u8", np.concatenate([text, np.zeros(8, text.dtype)]), strides=(text.itemsize,))
 
 
-def order_by_doubling(names: np.ndarray) -> np.ndarray:
-    """The order of the suffixes of names, which end with the only 0. Only suffixes whose rank is shared are sorted again."""
-    order = np.argsort(names, kind="stable")
-    slots = np.arange(len(names))
-    key, step = names[order].astype(np.int64), 0
-    rank = np.empty(len(names), np.int64)
-    while True:
-        new = np.append(True, key[1:] != key[:-1])
-        items = order[slots]
-        rank[items] = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))]
-        shared = ~(new & np.append(new[1:], True))
-        slots, items = slots[shared], items[shared]
-        if not len(slots):
-            return order
-        step = 2 * step or 1
-        key = rank[items] * len(names) + rank[items + step]
-        sort = np.argsort(key, kind="stable")
-        order[slots], key = items[sort], key[sort]
-
-
 def suffix_array(text: np.ndarray, alphabet: int) -> np.ndarray:
-    """text: numbers below alphabet (65,536 at most) that end with the only 0."""
+    """text: numbers below alphabet that end with the only 0."""
     n = len(text)
     if n == 1:
         return np.zeros(1, np.int32)
-    text = np.ascontiguousarray(text, np.uint16)
-    if alphabet <= 1 << 8:
-        text = text.astype(np.uint8)
+    text = np.ascontiguousarray(text, np.uint8 if alphabet <= 1 << 8 else np.uint16 if alphabet <= 1 << 16 else np.uint32)
     # S: smaller than the next suffix. Equal neighbours take the type of what follows.
     differs = np.append(text[:-1] != text[1:], True)
     nxt = np.minimum.accumulate(np.where(differs, np.arange(n, dtype=np.int32), np.int32(n))[::-1])[::-1]
@@ -108,7 +149,8 @@ def suffix_array(text: np.ndarray, alphabet: int) -> np.ndarray:
     counts = np.bincount(text, minlength=alphabet)
     ends = np.cumsum(counts)
     starts = ends - counts
-    sa = induce(text, s_type, starts, ends, lms)
+    runs = runs_of(text)
+    sa = induce(text, s_type, runs, starts, ends, lms)
     # Name the leftmost-smaller substrings in their order.
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
@@ -130,15 +172,11 @@ def suffix_array(text: np.ndarray, alphabet: int) -> np.ndarray:
     names = int((~same).sum())
     if names == len(lms):
         lms = by_rank
-    elif names <= BUCKETS:
-        reduced = name[lms]
-        del sa, by_rank, length, name
-        lms = lms[suffix_array(reduced, names)]
     else:
         reduced = name[lms]
         del sa, by_rank, length, name
-        lms = lms[order_by_doubling(reduced)]
-    return induce(text, s_type, starts, ends, lms)
+        lms = lms[suffix_array(reduced, names)]
+    return induce(text, s_type, runs, starts, ends, lms)
 
 
 def permuted_common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
