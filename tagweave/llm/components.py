@@ -17,10 +17,15 @@ from .common import cut
 PARTITION_ROWS = 20_000
 
 
-def star(directed: DataFrame, larger_only: bool) -> DataFrame:
+#: Up to so many links the least neighbours, a row a node, are broadcast, so that a hub's links stay where they are.
+#: Beyond, a hub's partition is one that adaptive execution splits: the other side has one row for it.
+BROADCAST_LINKS = 200_000
+
+
+def star(directed: DataFrame, larger_only: bool, few: bool) -> DataFrame:
     """directed: (a, b). For each a with the least m of itself and its b: links from its b (larger_only: those above a) to m."""
     least = directed.groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("_m"))
-    linked = directed.join(least, F.col("a") == F.col("_a")).withColumn("_m", F.least("_m", "a"))
+    linked = directed.join(F.broadcast(least) if few else least, F.col("a") == F.col("_a")).withColumn("_m", F.least("_m", "a"))
     if larger_only:
         return linked.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("_m").alias("b"))
     return linked.select(F.col("b").alias("a"), F.col("_m").alias("b")).union(least.select(F.col("_a").alias("a"), F.col("_m").alias("b")))
@@ -32,8 +37,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     mark, rows = None, edges.count()
     for _ in range(most_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = star(both, True).where("a <> b").distinct()
-        small = star(large, False).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        few = rows <= BROADCAST_LINKS
+        large = star(both, True, few).where("a <> b").distinct()
+        small = star(large, False, few).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         # Few links are kept in few files.
         edges = cut(small.coalesce(rows // PARTITION_ROWS + 1))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
