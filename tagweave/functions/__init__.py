@@ -6,6 +6,7 @@ editing and URL resolution are Arrow UDFs over whole columns.
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Callable
 
 import pandas as pd
@@ -17,11 +18,14 @@ from ..operators.flatten import from_structs
 from ..operators.sanitize import POLICIES, Policy, clean, is_valid
 from ..operators.serialize import Output, document_html, inner_html, outer_html
 from ..operators.serialize import escape as escape_text
+from ..operators.tags import ALL_ENTITIES, BASE_ENTITIES, names_by_character
 from ..operators.tokens import decode
 from ..plans.local import condition, select
 from ..plans.selector import parse as parse_selector
+from ..sources.html import structure
 from .urls import resolve
 
+ENTITIES = {"base": BASE_ENTITIES, "extended": ALL_ENTITIES}
 WHITE = "[\\t\\n\\r\\f \\u00a0]+"
 
 # -- text ------------------------------------------------------------------
@@ -74,8 +78,71 @@ def escape_for(s: Column, mode: str = "base", charset: str = "ascii") -> Column:
 
 
 def unescape(s: Column, strict: bool = False) -> Column:
-    """Character references decoded; strict: as in attributes."""
-    return text_udf(lambda x: decode(x, strict))(s)
+    """Character references decoded; strict: as in attributes. Texts without & are left to the JVM."""
+    return F.when(s.contains("&"), text_udf(lambda x: decode(x, strict))(s)).otherwise(s)
+
+
+def entity_text(name: Column, mode: str = "extended") -> Column:
+    """What a name without & and ; stands for, as text of one or two characters; null if mode (base or extended) has no such name."""
+    table = ENTITIES[mode]
+
+    @F.pandas_udf("string")
+    def apply(s: pd.Series) -> pd.Series:
+        return s.map(table.get, na_action="ignore").astype(object)
+
+    return apply(name)
+
+
+def is_entity(name: Column, mode: str = "extended") -> Column:
+    return F.coalesce(entity_text(name, mode).isNotNull(), F.lit(False))
+
+
+def entity_codepoints(name: Column, mode: str = "extended") -> Column:
+    """array<int>, null for an unknown name."""
+    return F.transform(F.split(entity_text(name, mode), ""), lambda c: F.ascii(c))
+
+
+def entity_name(character: Column, mode: str = "base") -> Column:
+    """The name that escaping in a mode gives a character, null if none."""
+    table = names_by_character(mode)
+
+    @F.pandas_udf("string")
+    def apply(s: pd.Series) -> pd.Series:
+        return s.map(table.get, na_action="ignore").astype(object)
+
+    return apply(character)
+
+
+# -- charsets ------------------------------------------------------------------
+
+
+def mime_name(charset: Column) -> Column:
+    """A charset's preferred name, null if unknown."""
+
+    def of(name: str) -> str | None:
+        import email.charset
+
+        try:
+            known = codecs.lookup(name.strip()).name
+        except (LookupError, ValueError):
+            return None
+        return email.charset.ALIASES.get(known, known).upper().replace("ISO8859", "ISO-8859")
+
+    return text_udf(of)(charset)
+
+
+def can_encode(s: Column, charset: str) -> Column:
+    """Whether a charset has all of a text's characters."""
+    codecs.lookup(charset)
+
+    def of(text: str) -> bool:
+        try:
+            text.encode(charset)
+        except UnicodeEncodeError:
+            return False
+        return True
+
+    return text_udf(of, "boolean")(s)
 
 
 # -- URLs --------------------------------------------------------------------
@@ -240,11 +307,6 @@ def html_of(dom: Column, pres: Column, inner: bool = False, out: Output = Output
     return apply(structure(dom), pres)
 
 
-def structure(dom: Column) -> Column:
-    """The fields that a tree is built from again."""
-    return F.transform(dom, lambda n: F.struct(*[n[x].alias(x) for x in ("pre", "parent", "kind", "name", "attrs", "content")]))
-
-
 def css_selectors(html: Column, mode: str = "auto") -> Column:
     """array<string>: a path for each element in document order."""
     from ..operators.tree import parse
@@ -252,9 +314,21 @@ def css_selectors(html: Column, mode: str = "auto") -> Column:
     return text_udf(lambda x: [E.css_path(n) for n in parse(x, "", mode).root.walk() if n.kind == "element"], "array<string>")(html)
 
 
-def clean_html(html: Column, policy: Policy | str = "basic", base_uri: str = "", out: Output = Output()) -> Column:
+def based_udf(f: Callable[[str, str], object], html: Column, base_uri: str | Column) -> Column:
+    """An Arrow UDF of a text and a base URI, one for all rows or each row's own; null texts stay, null base URIs are empty."""
+    if not isinstance(base_uri, Column):
+        return text_udf(lambda x: f(x, base_uri))(html)
+
+    @F.pandas_udf("string")
+    def apply(s: pd.Series, bases: pd.Series) -> pd.Series:
+        return pd.Series([f(x, b or "") if x is not None else None for x, b in zip(s, bases)], dtype=object)
+
+    return apply(html, base_uri)
+
+
+def clean_html(html: Column, policy: Policy | str = "basic", base_uri: str | Column = "", out: Output = Output()) -> Column:
     policy = POLICIES[policy] if isinstance(policy, str) else policy
-    return text_udf(lambda x: clean(x, policy, base_uri, out))(html)
+    return based_udf(lambda x, base: clean(x, policy, base, out), html, base_uri)
 
 
 def is_valid_html(html: Column, policy: Policy | str = "basic") -> Column:
@@ -262,9 +336,19 @@ def is_valid_html(html: Column, policy: Policy | str = "basic") -> Column:
     return text_udf(lambda x: is_valid(x, policy), "boolean")(html)
 
 
-def edit_html(html: Column, edits: list[tuple], mode: str = "auto", base_uri: str = "", out: Output | None = None, inner: bool = False) -> Column:
+def edit_html(html: Column, edits: list[tuple], mode: str = "auto", base_uri: str | Column = "", out: Output | None = None, inner: bool = False) -> Column:
     edits = E.check(edits)
-    return text_udf(lambda x: E.edited(x, edits, base_uri, mode, out, inner))(html)
+    return based_udf(lambda x, base: E.edited(x, edits, base, mode, out, inner), html, base_uri)
+
+
+def same_html(a: Column, b: Column, out: Output = Output(pretty=False)) -> Column:
+    """Whether two documents are written alike."""
+    return serialize(a, out=out).eqNullSafe(serialize(b, out=out))
+
+
+def html_hash(dom: Column, pre: Column | None = None) -> Column:
+    """A digest of what a document, or one of its nodes, is written as."""
+    return F.xxhash64(serialize(dom, pre, Output(pretty=False)))
 
 
 def reformat_html(html: Column, mode: str = "auto", out: Output | None = None, inner: bool = False) -> Column:

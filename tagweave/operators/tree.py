@@ -1142,9 +1142,9 @@ def parse_html(html: str, base_uri: str = "", keep_tag_case: bool = False, keep_
     return HtmlBuilder(html, base_uri, keep_tag_case, keep_attr_case).run()
 
 
-def parse_fragment(html: str, context: str = "body", base_uri: str = "") -> list[Node]:
+def parse_fragment(html: str, context: str = "body", base_uri: str = "", keep_tag_case: bool = False, keep_attr_case: bool = False) -> list[Node]:
     """The nodes that html gives inside an element so named."""
-    b = HtmlBuilder(html, base_uri)
+    b = HtmlBuilder(html, base_uri, keep_tag_case, keep_attr_case)
     b.fragment = True
     root = b.doc.root.add(Node("element", "html"))
     b.stack.append(root)
@@ -1168,19 +1168,19 @@ def shell(base_uri: str = "") -> Document:
     return doc
 
 
-def parse_body_fragment(html: str, base_uri: str = "") -> Document:
+def parse_body_fragment(html: str, base_uri: str = "", **options) -> Document:
     doc = shell(base_uri)
     body = doc.root.kids[0].kids[1]
-    for n in parse_fragment(html, "body", base_uri):
+    for n in parse_fragment(html, "body", base_uri, **options):
         body.add(n)
     return doc
 
 
-def parse_xml(xml: str, base_uri: str = "", keep_case: bool = True) -> Document:
+def parse_xml(xml: str, base_uri: str = "", keep_tag_case: bool = True, keep_attr_case: bool = True) -> Document:
     """No tags are implied; an end tag closes the nearest open element so named, or nothing."""
     doc = Document(base_uri, "xml")
     stack = [doc.root]
-    tokens = Tokenizer(xml, keep_case, keep_case)
+    tokens = Tokenizer(xml, keep_tag_case, keep_attr_case)
     while (t := tokens.next()) is not None:
         if isinstance(t, Text):
             add_text(stack[-1], t.data)
@@ -1225,16 +1225,20 @@ def looks_like_xml(text: str) -> bool:
 
 
 def parse(text: str, base_uri: str = "", mode: str = "auto", **options) -> Document:
-    """mode: auto, html, xml, fragment (of a body), xml_fragment or fragment:<context tag>."""
+    """mode: auto, html, xml, fragment (of a body), xml_fragment or fragment:<context tag>.
+
+    options: keep_tag_case and keep_attr_case, in every mode; what isn't given or None is False, but True for XML.
+    """
+    options = {k: v for k, v in options.items() if v is not None}
     if mode == "auto":
         mode = "xml" if looks_like_xml(text) else "html"
     if mode in ("xml", "xml_fragment"):
-        return parse_xml(text, base_uri)
+        return parse_xml(text, base_uri, **options)
     if mode == "fragment":
-        return parse_body_fragment(text, base_uri)
+        return parse_body_fragment(text, base_uri, **options)
     if mode.startswith("fragment:"):
         doc = Document(base_uri)
-        for n in parse_fragment(text, mode.partition(":")[2], base_uri):
+        for n in parse_fragment(text, mode.partition(":")[2], base_uri, **options):
             doc.root.add(n)
         return doc
     if mode != "html":

@@ -1,7 +1,9 @@
-"""Selectors as joins and windows over a table of nodes.
+"""Selectors as windows over a table of nodes.
 
 For documents whose node arrays are too large to search in one row. Rows carry
-the document's key; one repartition by it serves every window and join.
+the document's key; one repartition by it serves every window, and every
+combinator takes one pass over the rows, so that plans grow with a selector's
+length and work with the rows.
 """
 
 from __future__ import annotations
@@ -51,19 +53,21 @@ class Marker:
             row = Window.partitionBy(self.key, "parent", "kind").orderBy("sib")
             found = F.lag(name).over(row) if kind == "after" else F.max(name).over(row.rowsBetween(Window.unboundedPreceding, -1))
             return F.col(self.keep(is_element(n) & found))
-        left = self.df.where(F.col(name)).select(F.col(self.key).alias("_k"), F.col("pre").alias("_pre"), F.col("last").alias("_last"))
-        rows = self.df.select(F.col(self.key).alias("_key"), F.col("pre").alias("_at"), "parent", F.col("last").alias("_end"), "kind").where(F.col("kind") == "element")
-        on = F.col("_key") == F.col("_k")
         if kind == "child":
-            hits = rows.join(left, on & (F.col("parent") == F.col("_pre")), "left_semi")
-        elif kind == "within":
-            hits = rows.join(left, on & (F.col("_pre") < F.col("_at")) & (F.col("_at") <= F.col("_last")), "left_semi")
+            # A marked row also stands, once more, among the rows whose parent it is.
+            copy, group = f"_m{next(self.names)}", f"_m{next(self.names)}"
+            twice = F.when(F.col(name), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+            rows = self.df.withColumn(copy, F.explode(twice)).withColumn(group, F.when(F.col(copy), F.col("pre")).otherwise(F.col("parent")))
+            self.df = rows.withColumn(name, F.max(copy).over(Window.partitionBy(self.key, group))).where(~F.col(copy)).drop(copy, group)
+            return is_element(n) & F.col(name)
+        # Subtrees are [pre, last], nested or apart: the farthest end behind tells of ancestors, the nearest start ahead of descendants.
+        order = F.col("pre") if kind == "within" else F.col("pre").desc()
+        before = Window.partitionBy(self.key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        if kind == "within":
+            found = F.max(F.when(F.col(name), F.col("last"))).over(before) >= F.col("pre")
         else:  # has
-            hits = rows.join(left, on & (F.col("_at") < F.col("_pre")) & (F.col("_pre") <= F.col("_end")), "left_semi")
-        hits = hits.select("_key", "_at", F.lit(True).alias("_hit"))
-        done = f"_m{next(self.names)}"
-        self.df = self.df.join(hits, (F.col(self.key) == F.col("_key")) & (F.col("pre") == F.col("_at")), "left").withColumn(done, F.coalesce("_hit", F.lit(False))).drop("_key", "_at", "_hit")
-        return F.col(done)
+            found = F.min(F.when(F.col(name), F.col("pre"))).over(before) <= F.col("last")
+        return F.col(self.keep(is_element(n) & found))
 
 
 def select(nodes: DataFrame, selector: str, key: str) -> DataFrame:

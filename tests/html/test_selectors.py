@@ -7,20 +7,20 @@ from tagweave.plans import local, relational
 from tagweave.plans.selector import SelectorError, necessary, nth, parse
 from tagweave.sources.html import node_table, parse_html, prefilter
 
-PAGE = """<html><head><title>T</title><script>var track=1</script></head><body>
-<div id=pseudo><p>1<p>2<p>3<p>4<p>5<p>6<p>7<p>8<p>9<p>10</div>
-<div id=type><p>1</p><span>1</span><em>1</em><svg>1</svg><p>2</p><span>2</span><em>2</em><svg>2</svg></div>
-<span id=onlySpan><br></span><p class=empty><!-- c --></p><p class=blank> </p>
-<div id=only>Some text before the <em>only</em> child</div>
-<ul class="Nav main"><li><a href="/a?x=1" data-k=v>Alpha <b>One</b></a><li><a HREF='http://x.Y/b' title=" Hello ">Beta</a><li>Gamma</ul>
-<section><h2>H</h2><p lang=en>pa<i>x</i></p>tail<p>pb</p></section><x:y>ns</x:y></body></html>"""
-
-SELECTORS = """p; DIV; *; #pseudo; #PSEUDO; .nav; .NAV.main; li:first-child; li:last-child; p:nth-child(2n+1); p:nth-child(even); p:nth-child(3)
-p:nth-child(-n+2); p:nth-child(-2n+5); #pseudo p:nth-last-child(2); #type p:nth-of-type(2); #type *:nth-last-of-type(2); :first-of-type; :last-of-type
-:only-child; :only-of-type; :empty; :root; html:first-child; a[href]; a[^data-]; a[href^=http]; a[href$=B]; a[href*='y/']; a[title=hello]; a[title!=x]
-a[href~=[0-9]]; [data-k="v"]; li:lt(1); li:gt(0); li:eq(2); ul > li > a; body b; h2 + p; h2 ~ p; li:has(a); div:has(em); p:not(.empty):not([lang]); :contains(alpha one)
-li:containsOwn(gamma); script:containsData(track); p:matches(^p[ab]x?$); p:matchesOwn(^pa$); ul li, #only em, b; #only, ul > li; > html; x|y; *|y; a:not(:has(b)); section > :not(p)
-li:has(> a); body > div:has(p:nth-child(3)) ~ ul a""".replace("\n", ";").split(";")
+PAGE = """<!DOCTYPE html><html lang=en><head><title>Shop</title><script>var basket=[7]</script></head><body>
+<ol id=queue class="wide">""" + "".join(f"<li>{x}" for x in "abcdefgh") + """</ol>
+<dl id=terms><dt>A</dt><dd>one</dd><dt>B</dt><dd>two</dd><dd>three</dd><figure>F</figure></dl>
+<aside><hr></aside><h6 class=note><!-- nothing --></h6><h6 class=gap> </h6>
+<blockquote id=said>He said: <cite>Tea</cite> twice</blockquote>
+<nav class="Top bar"><a href="/shop?id=42" data-kind=tea>Green <b>Leaf</b></a><a HREF='https://Tea.example/pots' title=" Pots ">Pots</a><span>plain</span></nav>
+<main><h1>Today</h1><p lang=fr>thé<i>noir</i></p>loose<p>milk</p></main><s:price>12</s:price></body></html>"""
+
+SELECTORS = """li; OL; *; #queue; #QUEUE; .top; .TOP.bar; a:first-child; span:last-child; li:nth-child(3n+1); li:nth-child(even); li:nth-child(5)
+li:nth-child(-n+3); li:nth-child(-3n+8); #queue li:nth-last-child(2); #terms dd:nth-of-type(2); #terms *:nth-last-of-type(2); :first-of-type; :last-of-type
+:only-child; :only-of-type; :empty; :root; html:first-child; a[href]; a[^data-]; a[href^=https]; a[href$=S]; a[href*='op?']; a[title=pots]; a[title!=x]
+a[href~=[0-9]]; [data-kind="tea"]; li:lt(2); li:gt(5); li:eq(4); body > nav > a; body i; h1 + p; h1 ~ p; nav:has(b); :has(hr); h6:not(.note):not([lang]); :contains(green leaf)
+p:containsOwn(thé); script:containsData(basket); p:matches(^th.noir$); p:matchesOwn(^milk$); ol li, #said cite, b; #said, dl > dt; > html; s|price; *|price; a:not(:has(b)); main > :not(p)
+nav:has(> a); body > ol:has(li:nth-child(3)) ~ main p; html body main p i; body > main > p > i; main p:not(html i); dl dt ~ dd + dd""".replace("\n", ";").split(";")
 
 
 @pytest.fixture(scope="module")
@@ -53,18 +53,37 @@ def test_expected_matches(pages):
         got = pages.where("doc = 1").select(local.select(F.col("dom"), css).alias("els")).first()["els"]
         return [e["text"] for e in got]
 
-    assert texts("#pseudo :nth-child(2n+1)") == ["1", "3", "5", "7", "9"]
-    assert texts("#pseudo :nth-child(-2n+5)") == ["1", "3", "5"]
-    assert texts("#pseudo :nth-child(-n+2)") == ["2", "3", "4", "5", "6", "7", "8", "9", "10"]
-    assert texts("#type :nth-of-type(2)") == ["2", "2", "2", "2"]
-    assert texts("a[title=hello]") == ["Beta"] and texts("#PSEUDO") == []
-    assert texts("p.blank:empty") == [] and texts("p.empty:empty") == [""]
+    assert texts("#queue :nth-child(3n+1)") == ["a", "d", "g"]
+    assert texts("#queue :nth-child(-3n+8)") == ["b", "e", "h"]
+    assert texts("#queue :nth-child(-n+3)") == ["c", "d", "e", "f", "g", "h"]  # a sign without digits has coefficient 1
+    assert texts("#terms :nth-of-type(2)") == ["B", "two"]
+    assert texts("a[title=pots]") == ["Pots"] and texts("#QUEUE") == []
+    assert texts("h6.gap:empty") == [] and texts("h6.note:empty") == [""]
     assert texts("html:first-child") == []
 
 
 def test_scope(pages):
-    got = pages.where("doc = 1").select(F.transform(local.select(F.col("dom"), "> li", F.filter("dom", lambda n: n["norm"] == "ul")[0]["pre"]), lambda n: n["text"]).alias("t")).first()["t"]
-    assert got == ["Alpha One", "Beta", "Gamma"]
+    got = pages.where("doc = 1").select(F.transform(local.select(F.col("dom"), "> a", F.filter("dom", lambda n: n["norm"] == "nav")[0]["pre"]), lambda n: n["text"]).alias("t")).first()["t"]
+    assert got == ["Green Leaf", "Pots"]
+
+
+def test_relational_plans_parse_once(spark):
+    df = parse_html(spark.createDataFrame([(1, PAGE)], "doc long, html string"))
+    for css in ("div ul li a:not(b i)", "body > main > p > i", "body:has(main:has(p:has(i)))"):
+        found = relational.select(node_table(df, "doc"), css, "doc")
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Join" not in plan, css
+
+
+def test_settings_in_every_mode(spark):
+    rows = spark.createDataFrame([(1, "<DIV CamelCase=1>x</DIV>", 7)], "_base long, html string, _html int")
+    for mode in ("auto", "html", "fragment", "fragment:body", "xml"):
+        names = lambda **o: [(n["name"], [a["k"] for a in n["attrs"]]) for n in parse_html(rows, mode=mode, fields=(), **o).first()["dom"] if n["kind"] == "element" and n["norm"] == "div"]  # noqa: B023, E731
+        assert names(keep_tag_case=True, keep_attr_case=True) == [("DIV", ["CamelCase"])], mode
+        assert names(keep_tag_case=False, keep_attr_case=False) == [("div", ["camelcase"])], mode
+        assert names() == ([("DIV", ["CamelCase"])] if mode == "xml" else [("div", ["camelcase"])]), mode
+    got = parse_html(rows.withColumnRenamed("_base", "a.b")).first()
+    assert (got["a.b"], got["_html"]) == (1, 7)
 
 
 @pytest.mark.parametrize("css", ["", "p:is(a)", ":lt(x)", "[", "p >", ":nth-child(x)", "p:has()", "..x", ":matchesWholeText(a)"])
