@@ -80,16 +80,35 @@ def mixed_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing(lines, "l_orderkey", "l_linenumber", item, "<div>", "</div>")
 
 
-def nations(selector: str):
-    """A query for what a selector finds in the lists of nations."""
+def part_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of parts a brand."""
+    p, key = table(spark, sf_dir, "part"), F.col("p_partkey").cast("string")
+    item = element("li", H.escape(F.col("p_name")), id=F.concat(F.lit("p"), key), title=F.col("p_name"), class_=F.concat(F.lit("part k"), (F.col("p_partkey") % 3).cast("string")), data_key=key)
+    return listing(p, "p_brand", "p_partkey", item, "<p>top</p><ul>", "</ul>")
+
+
+def parts(selector: str):
+    """A query for what a selector finds in the lists of parts."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = parse_html(nation_lists(spark, sf_dir), selectors=[selector])
-        return matches(df, selector, "n_regionkey").select("n_regionkey", F.col("n")["attr_map"]["title"].alias("name"))
+        df = parse_html(part_lists(spark, sf_dir), selectors=[selector])
+        return matches(df, selector, "p_brand").select("p_brand", F.col("n")["attr_map"]["data-key"].alias("part"), F.col("n")["attr_map"]["title"].alias("name"))
 
     return run
 
 
+def parts_where(which: str) -> str:
+    """Parts with their places among those of a brand; which: a condition on them."""
+    return f"""
+WITH t AS (SELECT p_brand, p_partkey, p_name AS name, p_partkey % 3 AS k,
+  row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i,
+  row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) AS j,
+  lag(p_partkey % 3) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS before,
+  max(CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS had
+  FROM part)
+SELECT p_brand, p_partkey::VARCHAR AS part, name FROM t WHERE {which}"""
+
+
 def numbered(which: str) -> str:
     """Nations with their places among those of a region; which: a condition on them."""
     return f"""
@@ -119,22 +138,21 @@ def query(name: str, sql: str | None = None):
 
 SELECTORS = {
     "tag": ("li", "true"),
-    "id": ("#n7", "n_nationkey = 7"),
-    "class": ("li.K1", "n_nationkey % 3 = 1"),
+    "id": ("#p7", "p_partkey = 7"),
+    "class": ("li.K1", "k = 1"),
     "attribute": ("li[data-key]", "true"),
     "attribute_prefix": ("li[^data-]", "true"),
-    "attribute_equals": ("[title=france]", "lower(name) = 'france'"),
-    "attribute_not_equals": ("li[title!=FRANCE]", "name <> 'FRANCE'"),
-    "attribute_starts": ("li[title^=i]", "name LIKE 'I%'"),
-    "attribute_ends": ("li[title$=a]", "name LIKE '%A'"),
-    "attribute_contains": ("li[title*=an]", "contains(lower(name), 'an')"),
-    "attribute_matches": ("li[title~=^[A-F]]", "regexp_matches(name, '^[A-F]')"),
+    "attribute_equals": ("[title='Blue Bolt']", "name = 'blue bolt'"),
+    "attribute_not_equals": ("li[title!='RED WIDGET']", "name <> 'red widget'"),
+    "attribute_starts": ("li[title^=S]", "starts_with(name, 's')"),
+    "attribute_ends": ("li[title$=ING]", "ends_with(name, 'ing')"),
+    "attribute_contains": ("li[title*='l b']", "contains(name, 'l b')"),
+    "attribute_matches": ("li[title~=^[a-h]]", "regexp_matches(name, '^[a-h]')"),
     "index_lt": ("li:lt(2)", "i - 1 < 2"),
     "index_gt": ("li:gt(2)", "i - 1 > 2"),
     "index_eq": ("li:eq(1)", "i - 1 = 1"),
     "first_child": ("li:first-child", "i = 1"),
     "last_child": ("li:last-child", "j = 1"),
-    "only_child": ("li:only-child", "n = 1"),
     "nth_child": ("li:nth-child(2n+1)", "i % 2 = 1"),
     "nth_child_even": ("li:nth-child(even)", "i % 2 = 0"),
     "nth_last_child": ("li:nth-last-child(2)", "j = 2"),
@@ -142,34 +160,48 @@ SELECTORS = {
     "nth_last_of_type": ("li:nth-last-of-type(odd)", "j % 2 = 1"),
     "first_of_type": ("li:first-of-type", "i = 1"),
     "last_of_type": ("li:last-of-type", "j = 1"),
-    "only_of_type": ("li:only-of-type", "n = 1"),
-    "contains": ("li:contains(AN)", "contains(lower(name), 'an')"),
-    "contains_own": ("li:containsOwn(ia)", "contains(lower(name), 'ia')"),
-    "matches_text": ("li:matches(^[K-Z]+$)", "regexp_matches(name, '^[K-Z]+$')"),
-    "matches_own": ("li:matchesOwn(I[AR])", "regexp_matches(name, 'I[AR]')"),
+    "contains": ("li:contains(ALL R)", "contains(name, 'all r')"),
+    "contains_own": ("li:containsOwn(DGET)", "contains(name, 'dget')"),
+    "matches_text": ("li:matches(^[a-r ]+$)", "regexp_matches(name, '^[a-r ]+$')"),
+    "matches_own": ("li:matchesOwn([dt] [b-g])", "regexp_matches(name, '[dt] [b-g]')"),
     "child": ("ul > li", "true"),
     "descendant": ("body li", "true"),
     "adjacent": (".k0 + li", "before = 0"),
     "later_sibling": (".k0 ~ li", "had = 1"),
-    "not": ("li:not(.k0)", "n_nationkey % 3 <> 0"),
-    "or": ("#n3, .k2, #n3", "n_nationkey = 3 OR n_nationkey % 3 = 2"),
-    "and": ("li.nat.k1[title*=a]:not(:first-child)", "n_nationkey % 3 = 1 AND contains(lower(name), 'a') AND i > 1"),
-    "precedence": ("#n3, ul > .k2", "n_nationkey = 3 OR n_nationkey % 3 = 2"),
+    "not": ("li:not(.k0)", "k <> 0"),
+    "or": ("#p3, .k2, #p3", "p_partkey = 3 OR k = 2"),
+    "and": ("li.part.k1[title*=bolt]:not(:first-child)", "k = 1 AND contains(name, 'bolt') AND i > 1"),
+    "precedence": ("#p3, ul > .k2", "p_partkey = 3 OR k = 2"),
+    "leading_combinator": ("> html li.k1", "k = 1"),
+    "universal_and_root": ("html:root *.k2", "k = 2"),
 }
 for _name, (_css, _sql) in SELECTORS.items():
-    query(f"select_{_name}", numbered(_sql))(nations(_css))
+    query(f"select_{_name}", parts_where(_sql))(parts(_css))
+
+
+@query("select_only_child", "SELECT l_orderkey, l_linenumber::VARCHAR AS line FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) WHERE n = 1")
+def select_only_child(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = parse_html(order_trees(spark, sf_dir), selectors=["li:only-child"])
+    return matches(df, "li:only-child", "l_orderkey").select("l_orderkey", F.col("n")["attr_map"]["data-line"].alias("line"))
+
+
+@query("select_only_of_type", "SELECT l_orderkey, l_linenumber::VARCHAR AS line FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber % 2) AS n FROM lineitem) WHERE n = 1")
+def select_only_of_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = parse_html(mixed_types(spark, sf_dir), fields=("text",))
+    return matches(df, "div > *:only-of-type", "l_orderkey").select("l_orderkey", F.col("n")["text"].alias("line"))
 
 
-def by_joins(selector: str):
+def by_windows(selector: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = parse_html(nation_lists(spark, sf_dir), selectors=[selector])
-        return relational.select(node_table(df, "n_regionkey"), selector, "n_regionkey").select("n_regionkey", F.col("attr_map")["title"].alias("name"))
+        df = parse_html(part_lists(spark, sf_dir), selectors=[selector])
+        return relational.select(node_table(df, "p_brand"), selector, "p_brand").select("p_brand", F.col("attr_map")["data-key"].alias("part"), F.col("attr_map")["title"].alias("name"))
 
     return run
 
 
 for _name in ("child", "descendant", "adjacent", "later_sibling", "not", "or", "and", "nth_child", "contains"):
-    query(f"joins_{_name}", numbered(SELECTORS[_name][1]))(by_joins(SELECTORS[_name][0]))
+    query(f"joins_{_name}", parts_where(SELECTORS[_name][1]))(by_windows(SELECTORS[_name][0]))
+query("joins_has", parts_where("k = 1 AND i > 1"))(by_windows("html > body:has(ul > li + li) > ul li + .k1"))
 
 
 # -- pages -------------------------------------------------------------------------
@@ -591,9 +623,9 @@ def doctype_and_quirks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("page_id", L.first(F.filter("dom", lambda n: n["kind"] == "doctype"))["name"].alias("doctype"), "quirks")
 
 
-@query("page_titles", r"""SELECT page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages WHERE NOT regexp_matches(html, '&[a-z]*<')""")
+@query("page_titles", r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), ''), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS title FROM pages""")
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages; the SQL leaves out those whose text holds a reference that was cut off, and null ones, which have an empty title here."""
+    """All pages; a reference may lack its semicolon where text was cut off."""
     whole = table(spark, sf_dir, "pages").select("page_id", "html")
     return parse_html(whole, fields=("text",)).select("page_id", H.title(F.col("dom")).alias("title"))
 
