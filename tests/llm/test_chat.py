@@ -45,3 +45,15 @@ def test_rows(spark):
     assert C.gather(df.limit(0)).count() == 0
     odd = spark.createDataFrame([(1, None), (2, "not json"), (3, "[1]"), (4, json.dumps({"prompt": "x", "completion": "y"}))], "conv_id long, record string")
     assert {x.conv_id: x.layout for x in C.format_records(odd).collect()} == {1: None, 2: None, 3: None, 4: "prompt_completion"}
+
+
+def test_roles_as_given_null_turns_and_long_conversations(spark):
+    turns = [(i, ["user", "bot", "gpt", "human", "assistant"][i % 5], f"t{i} [x]") for i in range(500)]
+    rows = [(7, i, r, t) for i, r, t in turns] + [(8, None, "model", "first"), (8, 1, "assistant", "x" * 300_000), (None, 0, "user", "a"), (None, 1, "assistant", "b")] + [(i, 0, "assistant", str(i)) for i in range(100, 160)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(5)
+    got = {x.conv_id: x for x in C.digest(C.format_records(C.gather(df))).collect()}
+    assert len(got) == 63 and got[None].n_turns == 2 and got[101].loss_sha256 == C.sha("101")
+    assert got[7].turns_sha256 == C.sha("".join(f"{r}\n{t}\n" for _, r, t in turns))
+    assert got[7].loss_sha256 == C.sha("".join(t for _, r, t in turns if r == "assistant")) and got[7].loss_chars == sum(len(t) for _, r, t in turns if r == "assistant")
+    assert got[8].turns_sha256 == C.sha("model\nfirst\nassistant\n" + "x" * 300_000 + "\n") and got[8].loss_chars == 300_000
+    assert C.canonical_turns({"conversations": [{"from": "bot", "value": "v"}]}) == [("assistant", "v")]
