@@ -2,8 +2,11 @@
 
 Every task writes its distinct payloads, as 8-bit grey PNG images 64 samples
 wide, to tar shards in the shared folder. Rows carry the payload's digest and
-the shard, offset and length at which its bytes stand. If several tasks hold a
-payload, one copy becomes the canonical one. Metadata columns are filled by
+the shard, offset and length at which its bytes stand. A shard holds a payload
+once; if several shards do, one copy becomes the canonical one that all rows
+name (to store one copy in all would move every payload once more). Shards
+stand in the shared folder for as long as the rows are to be read: removing
+the folder that store() gives is the caller's. Metadata columns are filled by
 range reads of the first 33 bytes (signature and IHDR), features by reading
 whole payloads, each once.
 
@@ -32,6 +35,8 @@ from .common import cut, modest_batches, partitions, shared_dir
 WIDTH = 64
 #: A shard is closed at this size, and a worker gathers as much before it writes.
 SHARD_BYTES = 16_000_000
+#: Digests of more rows are joined over salts, MOST_HOT of them at most: with more rows the bound rises.
+MANY_ROWS, MOST_HOT = 256, 10_000
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
 STORED = "doc_id long, n_bytes long, digest string, shard string, offset long, media_bytes long"
@@ -96,7 +101,7 @@ def write_shards(batches: Iterator, folder: str) -> Iterator:
 
     def close():
         nonlocal tar_bytes, tar, known, rows, name, count
-        name = f"shard-{TaskContext.get().partitionId():06d}-{count:05d}-{TaskContext.get().attemptNumber()}.tar"
+        name = f"shard-{TaskContext.get().partitionId():06d}-{count:05d}-{TaskContext.get().taskAttemptId()}.tar"
         count += 1
         tar.close()
         with files.open_output_stream(f"{root}/{name}") as out:
@@ -144,8 +149,8 @@ def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
 
 
 def canonical(stored: DataFrame) -> DataFrame:
-    """One place for each digest."""
-    return stored.groupBy("digest").agg(F.min(F.struct("shard", "offset", "media_bytes")).alias("at")).select("digest", "at.*")
+    """One place for each digest, and how many rows have it."""
+    return stored.groupBy("digest").agg(F.min(F.struct("shard", "offset", "media_bytes")).alias("at"), F.count(F.lit(1)).alias("copies")).select("digest", "at.*", "copies")
 
 
 def read_back(places: DataFrame, folder: str) -> DataFrame:
@@ -180,6 +185,15 @@ def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """A row for each document with its payload's place, header and features."""
     stored, folder = store(docs, id_col=id_col, text_col=text_col)
     places = canonical(stored)
-    read = read_back(places, folder)
-    rows = stored.select("doc_id", "n_bytes", "digest").join(places, "digest").join(read, "digest")
+    bound = max(MANY_ROWS, stored.count() // MOST_HOT)
+    hot = cut(places.where(F.col("copies") > bound).select("digest", F.lit(True).alias("hot")))
+    told = places.drop("copies").join(read_back(places, folder), "digest")
+    rows = stored.select("doc_id", "n_bytes", "digest")
+    if hot.isEmpty():
+        rows = rows.join(told, "digest")
+    else:  # over bound rows each, so MOST_HOT digests at most: their rows are dealt over salts
+        salts = partitions(docs.sparkSession)
+        salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(F.lit(0)).cast("int").alias("salt")
+        each = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
+        rows = rows.join(F.broadcast(hot), "digest", "left").select(*rows.columns, salt).join(told.join(F.broadcast(hot), "digest", "left").select(*told.columns, each), ["digest", "salt"])
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "digest", "shard", "offset")
