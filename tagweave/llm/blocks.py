@@ -10,7 +10,7 @@ occurs there.
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import count
+from itertools import count, repeat
 
 import numpy as np
 import pandas as pd
@@ -53,7 +53,7 @@ class Block:
     """A block's documents in the order of ids (none last), then texts, in one buffer. order: their rows in the table."""
 
     def __init__(self, f: pd.DataFrame):
-        rows = sorted(zip(f["doc_id"].tolist(), (not x for x in f["has_id"]), map(bytes, f["data"]), f["tie"].tolist(), count()))
+        rows = sorted(zip(f["doc_id"].tolist(), (not x for x in f["has_id"]), map(bytes, f["data"]), f["tie"].tolist() if "tie" in f else repeat(0), count()))
         self.order_ids = [r[0] for r in rows]
         self.doc_ids = [None if r[1] else r[0] for r in rows]
         self.texts = [r[2] for r in rows]
