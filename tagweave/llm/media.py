@@ -35,7 +35,7 @@ from .common import cut, modest_batches, partitions, shared_dir
 WIDTH = 64
 #: A shard is closed at this size, and a worker gathers as much before it writes.
 SHARD_BYTES = 16_000_000
-#: Digests of more rows are joined over salts, MOST_HOT of them at most: with more rows the bound rises.
+#: Digests of more rows are joined by a broadcast, MOST_HOT of them at most: with more rows the bound rises.
 MANY_ROWS, MOST_HOT = 256, 10_000
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
@@ -186,14 +186,12 @@ def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     stored, folder = store(docs, id_col=id_col, text_col=text_col)
     places = canonical(stored)
     bound = max(MANY_ROWS, stored.count() // MOST_HOT)
-    hot = cut(places.where(F.col("copies") > bound).select("digest", F.lit(True).alias("hot")))
-    told = places.drop("copies").join(read_back(places, folder), "digest")
+    hot = cut(places.where(F.col("copies") > bound))
     rows = stored.select("doc_id", "n_bytes", "digest")
+    told = lambda some: some.drop("copies").join(read_back(some.drop("copies"), folder), "digest")
     if hot.isEmpty():
-        rows = rows.join(told, "digest")
-    else:  # over bound rows each, so MOST_HOT digests at most: their rows are dealt over salts
-        salts = partitions(docs.sparkSession)
-        salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(F.lit(0)).cast("int").alias("salt")
-        each = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
-        rows = rows.join(F.broadcast(hot), "digest", "left").select(*rows.columns, salt).join(told.join(F.broadcast(hot), "digest", "left").select(*told.columns, each), ["digest", "salt"])
+        rows = rows.join(told(places), "digest")
+    else:  # over bound rows each, so MOST_HOT digests at most: what is read of them is broadcast, and their rows stay in place
+        rest = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(told(places.where(F.col("copies") <= bound)), "digest")
+        rows = rows.join(F.broadcast(told(hot)), "digest").unionByName(rest)
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "digest", "shard", "offset")
