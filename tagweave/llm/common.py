@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import sys
 import tempfile
 from collections.abc import Iterable
@@ -25,12 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests, a local one is set.
+    Only on one machine, as in tests, where the session names none, a local one is set; on a cluster that raises.
     """
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
         context = spark.sparkContext
         if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not re.match(r"local(\[|$)", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="tagweave-"))
         got = context._jsc.sc().getCheckpointDir().get()
     return got.rstrip("/")
