@@ -8,7 +8,8 @@ All of it is DataFrame functions.
 Words are runs of anything but ASCII white space, with A-Z in lower case; a
 text of fewer words than a shingle has one shingle of all its words.
 
-Defined results: a null text is empty; texts without a word have an empty
+Defined results: a null text is empty; texts of any length are taken whole;
+any ids will do, null ones, repeated ones and those far apart included; texts without a word have an empty
 sketch, and two empty sketches resemble each other fully (1), an empty and
 another not at all (0); repeated rows have equal sketches; an empty table
 gives no rows; other columns are ignored.
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, cut, let
 
 SHINGLE, SIZE = 5, 128
-#: Blocks of neighbouring ids are planned for this many rows, with at most MOST_BLOCKS of them.
-BLOCK_ROWS, MOST_BLOCKS = 500, 20_000
+#: Blocks of neighbours are planned for this many rows, with at most MOST_BLOCKS of them, whose bounds come from OVERSAMPLE keys each.
+BLOCK_ROWS, MOST_BLOCKS, OVERSAMPLE = 500, 20_000, 16
+#: Characters of a text that order rows with equal ids.
+KEY_CHARS = 32
 #: The blocks' first texts and sketches are broadcast up to this size, else joined by a shuffle.
 EDGE_BYTES = 64_000_000
 
@@ -83,29 +86,64 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
+def order_key(doc_id: Column, text: Column) -> Column:
+    """A string whose order is that of ids from the last to the first, none last, then of the texts' first KEY_CHARS characters, then of digests.
+
+    Of rows that agree in all this each has another number at the end, so that any number of them can be parted.
+    """
+    digits = lambda x: F.lpad(F.hex(x), 16, "0")
+    down = F.coalesce(doc_id.bitwiseXOR(F.lit((1 << 63) - 1)), F.lit(0))  # as unsigned digits, the greatest id has the smallest
+    missing = F.when(doc_id.isNull(), "1").otherwise("0")
+    return F.concat(missing, digits(down), F.hex(F.left(text, F.lit(KEY_CHARS))), F.lit("."), digits(F.xxhash64(text)), digits(F.monotonically_increasing_id()))
+
+
+def bounds_of(keys: DataFrame, n: int) -> list[str]:
+    """Keys that part n rows into blocks of about BLOCK_ROWS, at most MOST_BLOCKS: every OVERSAMPLE-th of a sample chosen by hash."""
+    blocks = min(MOST_BLOCKS, n // BLOCK_ROWS)
+    if blocks < 2:
+        return []
+    sample = keys.where(F.pmod(F.xxhash64("_key"), F.lit(max(1, n // (blocks * OVERSAMPLE)))) == 0)
+    place = F.row_number().over(Window.orderBy("_key"))  # over the sample, some OVERSAMPLE * MOST_BLOCKS keys at most
+    step = max(2, min(OVERSAMPLE, n // blocks))
+    return sorted(x["_key"] for x in sample.withColumn("_place", place).where(F.col("_place") % step == 0).collect())
+
+
+def block_of(key: Column, bounds: list[str]) -> Column:
+    """The number of bounds up to key, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    known = F.split(F.lit(",".join(bounds)), ",")  # folded to one array when the plan is made
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    fits = lambda n, own: (n <= len(bounds)) & (F.get(known, n - 1) <= own)
+    # let() keeps the column itself out of the inner lambda, from where the planner would carry it into other filters.
+    return let(key, lambda own: F.aggregate(steps, F.lit(0), lambda n, step: F.when(fits(n + step, own), n + step).otherwise(n)))
+
+
 def with_next(docs: DataFrame, k: int = SIZE) -> DataFrame:
     """(doc_id, text) with a, the text's sketch, and next_text and next_a of the row with the next lower id; after the last comes the first.
 
-    Rows are dealt to blocks of neighbouring ids, and a block's last row gets
-    its values from the first row of the next block that isn't empty: a table
-    of one row a block. Null ids come last. Rows with equal ids follow each
-    other in the order of their texts. The text is shuffled once; both windows
-    and the sketch between them use that order.
+    Rows are dealt to blocks of neighbours by quantiles of their order, whatever
+    the ids are, and a block's last row gets its values from the first row of
+    the next block that isn't empty: a table of one row a block. Null ids come
+    last. Rows with equal ids follow each other in the order of their texts'
+    first KEY_CHARS characters, then of their digests. Rows alike in all are
+    numbered by their places in the table, which must be read in the same order
+    each time, as files are. The text is shuffled once; both windows and the
+    sketch between them use that order.
     """
-    lo, hi, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    lo, hi = lo or 0, hi or 0
-    width = max(1, -(-(hi - lo + 1) // max(1, min(MOST_BLOCKS, n // BLOCK_ROWS))))
-    rows = docs.withColumn("_block", F.coalesce(F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(-1).cast("long")))
-    # A block's first row: the highest id; of equal ids, the first text.
-    top = rows.groupBy("_block").agg(F.max("doc_id").alias("_top"))
-    firsts = cut(rows.join(F.broadcast(top), "_block").where(F.col("doc_id").eqNullSafe(F.col("_top"))).groupBy("_block").agg(F.min("text").alias("_text")))
-    around = Window.orderBy(F.col("_block").desc())  # over one row a block
+    rows = docs.withColumn("_key", order_key(F.col("doc_id"), F.col("text")))
+    rows = rows.withColumn("_block", block_of(F.col("_key"), bounds_of(rows.select("_key"), docs.count())))
+    top = cut(rows.groupBy(F.col("_block").alias("_top_block")).agg(F.min("_key").alias("_top")))  # one row a block
+    # Null-safe, so that the planner derives no filter on top from how the block is computed.
+    is_first = F.col("_block").eqNullSafe(F.col("_top_block")) & F.col("_key").eqNullSafe(F.col("_top"))
+    firsts = cut(rows.join(F.broadcast(top), is_first).select("_block", F.col("text").alias("_text")))
+    around = Window.orderBy("_block")  # over one row a block
     first_block = F.first("_block").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     follows = firsts.select("_block").withColumn("_after", F.coalesce(F.lead("_block").over(around), first_block))
     edge = cut(follows.join(firsts.withColumnRenamed("_block", "_after"), "_after").select("_block", "_text", sketch(F.col("_text"), k).alias("_a")))
     if (edge.agg(F.sum(F.octet_length("_text"))).first()[0] or 0) + 8 * k * MOST_BLOCKS <= EDGE_BYTES:
         edge = F.broadcast(edge)
-    order = Window.partitionBy("_block").orderBy(F.col("doc_id").desc_nulls_last(), "text")
+    order = Window.partitionBy("_block").orderBy("_key")
     inside = rows.withColumn("_last", F.lead(F.lit(False), 1, True).over(order)).withColumn("next_text", F.lead("text").over(order))
     inside = inside.withColumn("a", sketch(F.col("text"), k)).withColumn("next_a", F.lead("a").over(order))
     out = inside.join(edge, "_block", "left")

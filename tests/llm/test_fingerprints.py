@@ -66,6 +66,27 @@ def test_ties_and_missing_ids(spark):
     assert len(got) == 5 and len({x.fingerprint for x in got if x.n_chars == 3}) == 3
 
 
+def test_any_ids_and_hot_ids(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(P, "BLOCK_ROWS", 4)
+    r = random.Random(8)
+    ids = [-(1 << 63), -5, -1, 0, 1, 2, 3, 1 << 40, (1 << 63) - 1] + [7] * 60 + [None] * 40
+    rows = [(d, "".join(r.choice("aé,. \x00b") for _ in range(r.randint(0, 9)))) for d in ids] + [(9, "same")] * 50
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    down = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), x[1].encode()))
+    want = sorted((repr(d), t, nxt) for (d, t), (_, nxt) in zip(down, down[1:] + down[:1]))
+    assert sorted((repr(x.doc_id), x.text, x.next_text) for x in P.with_next(df, 8).collect()) == want
+    keys = df.select(P.order_key(F.col("doc_id"), F.col("text")).alias("_key")).cache()
+    bounds = P.bounds_of(keys, len(rows))
+    sizes = [x["count"] for x in keys.groupBy(P.block_of(F.col("_key"), bounds).alias("b")).count().collect()]
+    assert P.edited(df, k=8).count() == len(rows)
+    # No block holds a hot id, or all copies of a row, whole.
+    assert len(sizes) > 8 and max(sizes) < 40
+    bounds = sorted(bounds)
+    for x in keys.select("_key", P.block_of(F.col("_key"), bounds).alias("b")).collect():
+        assert x.b == sum(b <= x["_key"] for b in bounds)
+
+
 def test_merging_and_estimates(spark):
     words = [f"w{i}" for i in range(4000)]
     a, b, c = " ".join(words[:2000]), " ".join(words[2000:]), " ".join(words[1000:3000])
