@@ -68,11 +68,18 @@ def shard_blobs(block: int, hashes: np.ndarray, shards: int) -> pd.DataFrame:
     return pd.DataFrame({"block": block, "shard": [s for s, _ in parts], "blob": [short(h).tobytes() for _, h in parts]}, columns=["block", "shard", "blob"])
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Values in order, each once; sorting takes less here than a table of hashes."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
+
+
 def split_shards(hashes: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
     """[(shard, its distinct hashes, sorted)]"""
-    hashes = np.unique(hashes)
+    hashes = distinct(hashes)
     shard = (hashes % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
+    # Numbers of 16 bits are sorted by radix.
+    order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
     edges = np.flatnonzero(np.diff(shard[order], prepend=-1))
     return [(int(shard[order[a]]), hashes[order[a:b]]) for a, b in zip(edges, np.append(edges[1:], len(order)))]
 
@@ -92,7 +99,7 @@ def shared_masks(blobs: DataFrame, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """MASKS for (block, shard, blob): which of a blob's hashes other blocks hold too, and which of them are hot."""
 
     def work(f: pd.DataFrame) -> pd.DataFrame:
-        known, counts = np.unique(np.concatenate([np.unique(long(b)) for b in f["blob"]]), return_counts=True)
+        known, counts = np.unique(np.concatenate([distinct(long(b)) for b in f["blob"]]), return_counts=True)
         n = [counts[np.searchsorted(known, long(b))] for b in f["blob"]]
         return pd.DataFrame({"block": f["block"], "shard": f["shard"], "mask": [np.packbits(x > 1).tobytes() for x in n], "hot": [np.packbits(x > hot_blocks).tobytes() if (x > hot_blocks).any() else b"" for x in n]})
 
