@@ -9,14 +9,19 @@ words.
 
 1. Two passes over blocks of documents find the minima that several blocks
    hold (see blocks). A block links its windows of a minimum among each other
-   and sends them to the minimum's shard, which does so across the corpus: up to
-   FEW windows are all paired, of more each is linked to the first, and only
-   that one is sent. The same is done among the windows that also agree in a
-   shingle ASIDE places before or behind the minimum.
-   A first that shares too little for a passage must not come between two that
-   share one: so pieces of PIECE shingles are linked alike, chosen by hash out of
-   every APART in a row. Any LEAST equal shingles hold a chosen piece, and texts
-   that share one share a passage, so that each link to a first holds.
+   and sends them to the minimum's shard, which does so across the corpus. Up to
+   FEW windows are all paired. Of more, those that agree in their clip (all
+   shingles that a passage of LEAST may hold beside the minimum) are a class: its
+   members share a passage, are linked to its first, and only that one is sent.
+   Classes are compared by their clips, each with all that no chain of like
+   passages joins to it yet: whatever clips share a passage hang together in the
+   links, however many they are. For that a block sends the clips of minima that
+   it or more than FEW blocks hold several classes of; windows that come without
+   one are at most FEW of a minimum and are paired with all others.
+   Pieces of PIECE shingles, chosen by hash out of every APART in a row, are linked
+   alike. Any LEAST equal shingles hold a chosen piece, and texts that share one
+   share a passage where both go on at the same end: so classes are those with
+   equal room at either end, linked to one with room at both, or all paired.
 2. A document's linked windows are joined: stretches must be covered by windows
    of enough hash functions. Each document that a stretch is linked to by some
    of them, at about one distance between the two texts, is a candidate, as is each that
@@ -55,7 +60,7 @@ SLACK, GAP = 40, 12
 #: Bytes of the corpus for each shard.
 SHARD_BYTES = 4_000_000
 LEAST = LEAST_WORDS - SHINGLE + 1
-#: Distance of the shingles that tell windows of a minimum apart: one to either side lies in any passage.
+#: Shingles that a stretch may reach beyond its windows.
 ASIDE = LEAST // 2
 #: Equal shingles in a row that are enough for a passage if the texts go on, and how many such pieces LEAST equal ones hold.
 PIECE = -int(-2 * LEAST * SIMILARITY // (1 + SIMILARITY))
@@ -67,9 +72,11 @@ LOW = np.uint64((1 << PLACE_BITS) - 1)
 STEP = 1 << 14
 #: Windows of a minimum that are all paired.
 FEW = 12
-WINDOW = np.dtype([("v", "<u8"), ("doc", "<i8"), ("block", "<i8"), ("row", "<i4"), ("l", "<i4"), ("c", "<i4"), ("r", "<i4"), ("k", "<i4"), ("back", "<u4"), ("ahead", "<u4")])
+#: What comes with a window: no clip, its own, or that of one before it in its text.
+NONE, OWN, FOLLOWS = 0, 1, 2
+WINDOW = np.dtype([("v", "<u8"), ("doc", "<i8"), ("block", "<i8"), ("row", "<i4"), ("l", "<i4"), ("c", "<i4"), ("r", "<i4"), ("k", "<i4"), ("back", "<u4"), ("ahead", "<u4"), ("n", "u1"), ("clip", "u1")])
 LINK = np.dtype([("block", "<i8"), ("row", "<i4"), ("k", "<i4"), ("l", "<i4"), ("c", "<i4"), ("r", "<i4"), ("to_doc", "<i8"), ("to_block", "<i8"), ("to_row", "<i4"), ("to_c", "<i4")])
-WINDOWS, LINKS = "shard long, block long, windows binary, links binary", "block long, links binary"
+WINDOWS, LINKS = "shard long, block long, windows binary, clips binary, links binary", "block long, links binary"
 CANDIDATES = "block long, to_row long, to_at long, to_end long, doc_id long, at long, shingles binary"
 RESULT = "doc_id long, start_word long, end_word long, other_id long, other_start long, other_end long, similarity double"
 
@@ -114,6 +121,7 @@ class Shingled:
         self.at = {int(d): i for i, d in enumerate(rows)}
         self.kept: dict[int, tuple] = {}
         self.places: tuple | None = None
+        self.sums: np.ndarray | None = None
 
     def shingles(self, row: int) -> np.ndarray:
         i = self.at[row]
@@ -191,6 +199,19 @@ class Shingled:
     def hashes(self) -> np.ndarray:
         return np.concatenate([self.pieces()[0], *(self.values(k, self.minima(k)[1]) for k in range(HASHES))])
 
+    def told(self, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """A hash of the shingles [lo, hi) and of where at stands among them."""
+        if self.sums is None:
+            power, _ = (powers(b, len(self.x) + 1) for b in POWERS)
+            self.sums = np.zeros(len(self.x) + 1, np.uint64)
+            np.cumsum(self.x * power[:-1], out=self.sums[1:])
+        _, back = (powers(b, len(self.x) + 1) for b in POWERS)
+        return mix(mix((self.sums[hi] - self.sums[lo]) * back[lo]) + ((at - lo) * 2 * LEAST + hi - lo).astype(np.uint64))
+
+    def clip(self, w: np.void) -> np.ndarray:
+        lo = max(0, int(w["c"]) - LEAST + 1)
+        return narrow(self.shingles(int(w["row"]))[lo : lo + int(w["n"])])
+
     def windows(self, key: int, shared: np.ndarray) -> np.ndarray:
         """Compact windows of shared minima, by minimum, then place."""
         out = [np.zeros(0, WINDOW)]
@@ -208,9 +229,10 @@ class Shingled:
             w["v"], w["row"], w["k"], w["block"] = v, self.rows[self.text[at]], k, key
             w["doc"] = ids[w["row"]]
             w["l"], w["c"], w["r"] = left - base, at - base, right - base
-            # Beside a text's ends there is nothing to agree in: the place itself stands for it.
-            behind, before = np.minimum(at + ASIDE, ends[at] - 1), np.maximum(at - ASIDE, base)
-            w["ahead"], w["back"] = self.x[behind] >> np.uint64(32), self.x[before] >> np.uint64(32)
+            lo, hi = np.maximum(at - LEAST + 1, base), np.minimum(at + LEAST, ends[at])
+            w["n"] = hi - lo
+            told = self.told(at, lo, hi)
+            w["ahead"], w["back"] = told >> np.uint64(32), told & np.uint64(0xFFFFFFFF)
             out.append(w)
         v, at = self.pieces()
         chosen = B.is_in(v, shared)
@@ -221,14 +243,24 @@ class Shingled:
         w["doc"] = ids[w["row"]] if len(w) else 0
         w["l"] = w["c"] = at - base
         w["r"] = w["c"] + PIECE - 1
-        # Those come first that go on far enough at either end to make a passage with any other.
-        w["back"] = np.minimum(at - base, self.starts[self.text[at] + 1] - at - PIECE) < LEAST - PIECE
+        # Those come first that go on far enough at either end to make a passage with any other; others by the room at each end.
+        room = LEAST - PIECE
+        before, behind = np.minimum(at - base, room), np.minimum(self.starts[self.text[at] + 1] - at - PIECE, room)
+        w["back"] = np.where((before == room) & (behind == room), 0, 1 + before * (room + 1) + behind)
         out.append(w)
         w = np.concatenate(out)
         # Each part stands in the order of places already, which sorting keeps.
         return w[np.lexsort((later(w), w["v"]))]
 
 
+def follow(w: np.ndarray) -> None:
+    """Marks windows of a minimum whose text has one of the same clip before them."""
+    names = ["v", "block", "row", "back", "ahead"]
+    order = np.lexsort([w[x] for x in names])
+    same = np.all([w[x][order[1:]] == w[x][order[:-1]] for x in names], axis=0)
+    w["clip"][order[1:][same & (w["k"][order[1:]] < HASHES)]] = FOLLOWS
+
+
 def planes(w: np.ndarray) -> bytes:
     """Rows' first bytes, then their second ones, and so on, compressed: like bytes stand side by side. Their number goes before."""
     data = w.view("u1").reshape(len(w), w.dtype.itemsize).T.tobytes()
@@ -289,62 +321,221 @@ def subtree(keys: np.ndarray, at: np.ndarray, first: np.ndarray, end: np.ndarray
     return left, right
 
 
-def to_first(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(windows of a minimum, or of those that agree in a shingle beside it: all of FEW, the first of more; links among FEW and to firsts).
+def to_first(w: np.ndarray, clip, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which windows stand for all: all of FEW of a minimum or piece, of more those of each class; links).
 
-    w is sorted by minimum, then place. Links within a document are left out.
+    w is sorted by minimum, then place; clip(i) gives a window's clip, if its field clip says OWN. Links
+    between classes are made where whole says that all of them are there. Links within a document are left out.
     """
-    firsts, pairs, rest = np.zeros(len(w), bool), [np.zeros(0, np.int64)], np.arange(len(w))
     apart = lambda a, b: (w["doc"][a] != w["doc"][b]) | ((w["doc"][a] == B.NO_ID) & ((w["block"][a] != w["block"][b]) | (w["row"][a] != w["row"][b])))
-    pair = lambda a, b: pairs.append((a * len(w) + b)[apart(a, b)])
-    for aside in (None, "back", "ahead"):
-        if not len(rest):
+    pairs, sure = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    put = lambda to, a, b: to.append((a * len(w) + b)[apart(a, b)])
+    group = np.cumsum(np.append(True, w["v"][1:] != w["v"][:-1])[: len(w)]) - 1
+    few = np.bincount(group)[group] <= FEW if len(w) else np.zeros(0, bool)
+    some, of = np.flatnonzero(few), group[few]
+    for i in range(1, min(FEW, len(some))):
+        near = np.flatnonzero(of[i:] == of[:-i])
+        if not len(near):
             break
-        order = rest if aside is None else rest[np.lexsort((rest, w[aside][rest], w["v"][rest]))]
-        new = np.append(True, w["v"][order[1:]] != w["v"][order[:-1]])
-        if aside is not None:
-            new[1:] |= w[aside][order[1:]] != w[aside][order[:-1]]
-        group = np.cumsum(new) - 1
-        few = np.bincount(group)[group] <= FEW
-        firsts[order[new | few]] = True
-        pair(order[~few], order[np.flatnonzero(new)[group[~few]]])
-        some, group = order[few], group[few]
-        for i in range(1, min(FEW, len(some))):
-            near = np.flatnonzero(group[i:] == group[:-i])
-            if not len(near):
-                break
-            pair(some[near + i], some[near])
-        # Those all of which are paired need nothing else.
-        rest = np.sort(order[~few]) if aside is None else rest
-    pairs = np.stack(np.divmod(B.distinct(np.concatenate(pairs)), max(1, len(w))), 1)
-    own, first = w[pairs[:, 0]], w[pairs[:, 1]]
-    links = np.zeros(len(own), LINK)
-    for x in ("row", "block", "k", "l", "c", "r"):
-        links[x] = own[x]
-    links["to_doc"], links["to_block"], links["to_row"], links["to_c"] = first["doc"], first["block"], first["row"], first["c"]
-    return w[firsts], links
+        put(pairs, some[near + i], some[near])
+    stands = few.copy()
+    rest = np.flatnonzero(~few)
+    if len(rest):
+        order = rest[np.lexsort((rest, w["ahead"][rest], w["back"][rest], w["v"][rest]))]
+        new = np.append(True, np.any([w[x][order[1:]] != w[x][order[:-1]] for x in ("v", "back", "ahead")], axis=0))
+        starts, part, place = np.flatnonzero(new), np.cumsum(new) - 1, np.arange(len(order))
+        first = order[starts[part]]
+        other = apart(order, first)
+        # The second is the first one of another document; what is in the first's document is linked to that.
+        second = np.minimum.reduceat(np.where(other, place, len(order)), starts)[part]
+        put(sure, order[other], first[other])
+        own = ~other & (second < len(order)) & ~new
+        put(sure, order[own], order[second[own]])
+        # Any window has the first or the second in another document.
+        stands[order[new | (second == place) | (second == len(order))]] = True
+        rest = rest[stands[rest] & whole[rest]]
+        edges = np.flatnonzero(np.diff(group[rest], prepend=-1, append=-1))
+        for a, b in zip(edges[:-1], edges[1:]):
+            heads = rest[a:b]
+            hubs = heads[~apart(heads, heads[0])]
+            if w["k"][heads[0]] == HASHES:
+                hubs = heads if w["back"][heads[0]] else hubs
+            else:
+                with_clip = heads[w["clip"][heads] == OWN]
+                found = [(with_clip[x], with_clip[y]) for x, y in joined([clip(i) for i in with_clip], np.minimum(w["c"][with_clip], LEAST - 1), lambda x, y: apart(with_clip[x], with_clip[y]))]
+                if found:
+                    found = np.array(found, np.int64)
+                    put(sure, *found.T)
+                    # Windows that follow one in its text are linked to what that is linked to.
+                    order = heads[np.lexsort((heads, w["row"][heads], w["block"][heads], w["ahead"][heads], w["back"][heads]))]
+                    leads = order[np.maximum.accumulate(np.where(w["clip"][order] == FOLLOWS, 0, np.arange(len(order))))]
+                    either = np.concatenate([found, found[:, ::-1]])
+                    leaders, one = np.unique(either[:, 0], return_index=True)
+                    linked = (w["clip"][order] == FOLLOWS) & B.is_in(leads, leaders)
+                    put(sure, order[linked], either[one[np.searchsorted(leaders, leads[linked])], 1])
+                hubs = np.append(hubs[:1], heads[w["clip"][heads] == NONE])
+            if len(hubs):
+                x, y = np.repeat(hubs, len(heads)), np.tile(heads, len(hubs))
+                put(pairs, np.maximum(x, y), np.minimum(x, y))
+    links = []
+    for certain, found in enumerate((pairs, sure)):
+        found = np.stack(np.divmod(B.distinct(np.concatenate(found)), max(1, len(w))), 1)
+        own, first = w[found[:, 0]], w[found[:, 1]]
+        link = np.zeros(len(own), LINK)
+        for x in ("row", "block", "k", "l", "c", "r"):
+            link[x] = own[x]
+        link["to_doc"], link["to_block"], link["to_row"], link["to_c"] = first["doc"], first["block"], first["row"], first["c"]
+        if certain:
+            # Links that hold by the clips need no other hash function, like those by pieces.
+            minima = link["k"] < HASHES
+            lo = np.maximum(0, link["c"] - LEAST + 1)
+            link["l"], link["r"] = np.where(minima, lo, link["l"]), np.where(minima, lo + own["n"] - 1, link["r"])
+            link["k"] = HASHES
+        links.append(link)
+    return stands, np.concatenate(links)
+
+
+def joined(clips: list[np.ndarray], at: np.ndarray, apart) -> list[tuple[int, int]]:
+    """Links (clip, the one that it is looked for in) of clips that share a passage, enough that they join all that a chain of such joins. at: each clip's place of the minimum.
+
+    Each clip is compared with those that nothing joins to it yet and that may share a passage: those that hold one of its
+    rarest shingles, as many of them as a passage needs, and in a stretch of it where they are dense enough.
+    """
+    every = np.arange(len(clips))
+    left, links = np.ones(len(clips), bool), []
+    # If the first has nobody to be compared with, all are one document's.
+    if not len(clips) or not apart(0, every).any():
+        return links
+    # Side by side at their minima.
+    table = np.zeros((len(clips), 2 * LEAST - 1), np.uint32)
+    for i, (c, k) in enumerate(zip(clips, at.tolist())):
+        table[i, LEAST - 1 - k : LEAST - 1 - k + len(c)] = c
+    at, size = at.astype(np.int64), np.array([len(c) for c in clips])
+    known = [c if len(d := B.distinct(c)) == len(c) else d for c in clips]
+    plain = np.array([len(c) == len(d) for c, d in zip(clips, known)])
+    #: Distinct shingles that any passage holds at least.
+    least = np.array([LEAST if alike else fewest(c) for c, alike in zip(clips, plain)])
+    keys = owner = np.zeros(0, np.uint64)
+    indexed = 0
+    for start in range(len(clips)):
+        todo = [start] if left[start] else []
+        left[start] = False
+        while todo:
+            x = todo.pop()
+            n = int(left.sum())
+            if not n:
+                return links
+            if not indexed or 2 * n <= indexed:
+                rows = np.flatnonzero(left)
+                # Each shingle, 32 bits long, once a clip.
+                both = B.distinct(np.concatenate([known[y] for y in rows]).astype(np.uint64) << np.uint64(32) | np.repeat(rows, [len(known[y]) for y in rows]).astype(np.uint64))
+                keys, owner, indexed = both >> np.uint64(32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64), n
+            own = known[x].astype(np.uint64)
+            inside = slice(LEAST - 1 - int(at[x]), LEAST - 1 - int(at[x]) + len(clips[x]))
+            lo, hi = np.searchsorted(keys, own, side="left"), np.searchsorted(keys, own, side="right")
+            rare = np.argsort(hi - lo, kind="stable")[: len(own) - int(np.ceil(least[x] * SIMILARITY)) + 1]
+            mark = np.zeros(len(clips), bool)
+            mark[owner[spans(lo[rare], hi[rare])]] = True
+            near = np.flatnonzero(mark & left)
+            near = near[apart(x, near)]
+            for a in range(0, len(near), STEP):
+                part = near[a : a + STEP]
+                part = part[may_share(own, plain[x], least[x], part, plain[part], least[part], lo, hi, owner)]
+                # Most share one in their places as they stand, which tells unless shingles repeat.
+                sums = np.zeros((len(part), len(clips[x]) + 1), np.int16)
+                np.cumsum(table[part, inside] == table[x, inside], axis=1, out=sums[:, 1:])
+                # Only stretches that both clips hold whole.
+                begin, starts = LEAST - 1 - at[part, None], np.arange(inside.start, inside.stop - LEAST + 1)
+                whole = (starts >= begin) & (starts + LEAST <= begin + size[part, None])
+                equal = np.where(whole, sums[:, LEAST:] - sums[:, :-LEAST], 0).max(1)
+                sure = plain[x] & plain[part] & (equal / (2 * LEAST - equal) >= SIMILARITY)
+                for y, known_to in zip(part.tolist(), sure.tolist()):
+                    forth = known_to or passages(clips[y].astype(np.uint64), clips[x].astype(np.uint64))
+                    # Where shingles repeat, which is looked for in which may tell.
+                    if forth or not (plain[x] and plain[y]) and passages(clips[x].astype(np.uint64), clips[y].astype(np.uint64)):
+                        left[y] = False
+                        todo.append(y)
+                        links.append((y, x) if forth else (x, y))
+    return links
+
+
+def spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The places of all [lo, hi), one after the other."""
+    n = hi - lo
+    return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def fewest(clip: np.ndarray) -> int:
+    """Distinct shingles of the LEAST in a row that hold fewest."""
+    order = np.argsort(clip, kind="stable")
+    before, place, last = np.full(len(clip), -1), np.arange(len(clip)), len(clip) - LEAST
+    same = clip[order[1:]] == clip[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    # A place counts in the stretches that start behind the one before it and reach it.
+    lo, hi = np.maximum(before + 1, place - LEAST + 1), np.minimum(place, last)
+    some = lo <= hi
+    steps = np.bincount(lo[some], minlength=last + 2) - np.bincount(hi[some] + 1, minlength=last + 2)
+    return int(np.cumsum(steps)[: last + 1].min())
+
+
+def may_share(own: np.ndarray, plain: bool, least: int, near: np.ndarray, plains: np.ndarray, leasts: np.ndarray, lo: np.ndarray, hi: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which of near may share a passage with a clip whose shingles are own, held by the owners [lo, hi). Leaves out none that does."""
+    row = np.full(int(near.max()) + 1, -1)
+    row[near] = np.arange(len(near))
+    has = np.zeros((len(near), len(own)), bool)
+    at, held = owner[spans(lo, hi)], np.repeat(np.arange(len(own)), hi - lo)
+    at, held = at[at < len(row)], held[at < len(row)]
+    known = row[at] >= 0
+    has[row[at[known]], held[known]] = True
+    # both / (a + b - both) >= SIMILARITY, where a and b are no less than their least.
+    share = SIMILARITY / (1 + SIMILARITY)
+    may = has.sum(1) >= np.maximum(SIMILARITY * np.maximum(least, leasts), share * (least + leasts)) - 1e-9
+    if plain and (some := np.flatnonzero(may & plains)).size:
+        sums = np.zeros((len(some), len(own) + 1), np.int16)
+        np.cumsum(has[some], axis=1, out=sums[:, 1:])
+        dense = np.zeros(len(some), bool)
+        for n in range(LEAST, len(own) + 1):
+            dense |= (sums[:, n:] - sums[:, : len(own) + 1 - n]).max(1) >= max(SIMILARITY * n, share * (n + LEAST)) - 1e-9
+        may[some] = dense
+    return may
 
 
 def send_windows(key: int, f: pd.DataFrame, masks: pd.DataFrame, hash_shards: int, shards: int) -> pd.DataFrame:
     s = Shingled(f)
     h = s.hashes()
-    shared, _ = B.shared_hashes(h, masks, hash_shards)
+    shared, hot = B.shared_hashes(h, masks, hash_shards)
     order = np.sort(h)
     w = s.windows(key, B.distinct(np.concatenate([shared, order[1:][order[1:] == order[:-1]]])))
-    first, links = to_first(w)
-    first = first[B.is_in(first["v"], shared)]
+    w["clip"] = np.where(w["k"] < HASHES, OWN, NONE)
+    follow(w)
+    sent = B.is_in(w["v"], shared)
+    stands, links = to_first(w, lambda i: s.clip(w[i]), ~sent)
+    first = w[stands & sent]
+    several = np.append(False, first["v"][1:] == first["v"][:-1])[: len(first)]
+    several[:-1] |= several[1:]
+    first["clip"][~(several | B.is_in(first["v"], hot))] = NONE
     shard = (first["v"] % np.uint64(shards)).astype(np.int64)
-    rows = [(int(x), key, planes(first[shard == x]), b"") for x in B.distinct(shard)]
+    order = np.argsort(shard, kind="stable")
+    first, shard = first[order], shard[order]
+    edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
+    rows = []
+    for a, b in zip(edges[:-1], edges[1:]):
+        part = first[a:b]
+        clips = [s.clip(x) for x in part[part["clip"] == OWN]]
+        rows.append((int(shard[a]), key, planes(part), planes(np.concatenate(clips)) if clips else b"", b""))
     if len(links):
-        rows.append((key % shards, key, b"", planes(links)))
+        rows.append((key % shards, key, b"", b"", planes(links)))
     return pd.DataFrame(rows, columns=[x.split()[0] for x in WINDOWS.split(", ")])
 
 
 def link_windows(f: pd.DataFrame) -> pd.DataFrame:
-    w = rows_of(f["windows"], WINDOW)
-    w = w[np.lexsort((w["c"], w["row"], w["block"], w["doc"], later(w), w["v"]))]
+    w, clips = rows_of(f["windows"], WINDOW), rows_of(f["clips"], np.dtype("<u4"))
+    n = np.where(w["clip"] == OWN, w["n"], 0).astype(np.int64)
+    starts = np.cumsum(n) - n
+    order = np.lexsort((w["c"], w["row"], w["block"], w["doc"], later(w), w["v"]))
+    w, starts = w[order], starts[order]
     rows = [(b, x) for b, x in zip(f["block"], f["links"]) if len(x)]
-    _, links = to_first(w)
+    _, links = to_first(w, lambda i: clips[starts[i] : starts[i] + int(w["n"][i])], np.ones(len(w), bool))
     links = links[np.argsort(links["block"], kind="stable")]
     edges = np.flatnonzero(np.diff(links["block"], prepend=-1, append=-1))
     rows += [(int(links["block"][a]), planes(links[a:b])) for a, b in zip(edges[:-1], edges[1:])]
@@ -546,7 +737,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     hash_shards, shards = max(parts, size // (4 * SHARD_BYTES)), max(parts, size // SHARD_BYTES)
     blocks = B.blocked(docs, id_col, text_col, size, parts)
     blobs = B.map_blocks(blocks, lambda k, f: B.shard_blobs(k, Shingled(f).hashes(), hash_shards), "block long, shard long, blob binary")
-    masks = B.shared_masks(blobs)
+    masks = B.shared_masks(blobs, FEW)
     windows = B.map_blocks_with(blocks, masks, lambda k, f, g: send_windows(k, f, g, hash_shards, shards), WINDOWS)
     links = windows.groupBy("shard").applyInPandas(link_windows, LINKS)
     candidates = B.map_blocks_with(blocks, links, send_candidates, CANDIDATES)

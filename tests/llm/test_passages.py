@@ -108,3 +108,67 @@ def test_recall_against_all_pairs(spark, size):
     due, pairs, docs = group_recall(spark, [size])
     print(size, due, pairs, docs)
     assert due >= 15 and pairs >= 0.9 and docs >= 0.9, (due, pairs, docs)
+
+
+@pytest.mark.parametrize("block_bytes", [3000, P.B.BLOCK_BYTES])
+def test_pairs_within_a_large_group_that_shares_too_little(spark, monkeypatch, block_bytes):
+    """All documents share 46 words around one of their own, too little for a passage; pairs of them share six more."""
+    monkeypatch.setattr(P.B, "BLOCK_BYTES", block_bytes)
+    r = np.random.default_rng(4)
+    word = lambda n: [format(int(x), "x") for x in r.integers(1, 1 << 40, n)]
+    left, right, rows = word(23), word(23), []
+    for _ in range(40):
+        before, behind = word(3), word(3)
+        rows += [" ".join(word(30) + before + left + word(1) + right + behind + word(30)) for _ in range(2)]
+    found = {frozenset((x.doc_id, x.other_id)) for x in P.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    due = {frozenset((i, i + 1)) for i in range(0, 80, 2)}
+    assert found <= due and len(found) >= 0.95 * len(due), len(found)
+
+
+def test_joined_joins_what_chains_of_passages_join():
+    r = np.random.default_rng(6)
+    for kinds in [91] * 15 + [1, 2, 6, 11, 30, 50]:
+        base, clips, at, docs = np.resize(r.integers(0, 1 << 32, kinds), 91), [], [], r.integers(0, 25, 30)
+        for _ in docs:
+            clip, lo = base.copy(), int(r.integers(0, 30))
+            for k in r.integers(0, 87, r.integers(0, 5)):
+                clip[k : k + 5] = r.integers(0, 1 << 32, 5)
+            clips.append(clip[lo : 91 - int(r.integers(0, 16))].astype(np.uint32))
+            at.append(45 - lo)
+            held = [len(set(clips[-1][k : k + P.LEAST].tolist())) for k in range(len(clips[-1]) - P.LEAST + 1)]
+            assert P.fewest(clips[-1]) == min(held)
+        like = lambda x, y: P.passages(clips[x].astype(np.uint64), clips[y].astype(np.uint64))  # noqa: B023, E731
+        up = {True: list(range(30)), False: list(range(30))}
+
+        def top(t, i):
+            while t[i] != i:
+                i = t[i]
+            return i
+
+        for x, y in P.joined(clips, np.array(at), lambda x, y: docs[x] != docs[y]):
+            assert docs[x] != docs[y] and like(x, y)
+            up[True][top(up[True], x)] = top(up[True], y)
+        for x in range(30):
+            for y in range(30):
+                if docs[x] != docs[y] and like(x, y):
+                    up[False][top(up[False], x)] = top(up[False], y)
+        same = lambda t: {frozenset(i for i in range(30) if top(t, i) == top(t, j)) for j in range(30)}
+        assert same(up[True]) == same(up[False])
+
+
+def test_a_piece_at_either_end_of_texts(spark):
+    """Texts that begin with 45 words and texts that end with them: each kind shares passages, but nothing goes on at the same end of both."""
+    r = np.random.default_rng(8)
+    word = lambda n: [format(int(x), "x") for x in r.integers(1, 1 << 40, n)]
+    piece = word(45)
+    rows = [" ".join(piece + word(8)) for _ in range(20)] + [" ".join(word(8) + piece) for _ in range(20)]
+    up = list(range(40))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for x in P.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect():
+        up[top(x.doc_id)] = top(x.other_id)
+    assert len({top(i) for i in range(20)}) == 1 and len({top(i) for i in range(20, 40)}) == 1
