@@ -62,10 +62,11 @@ class Block:
         self.buffer = b"".join(self.texts)
 
 
-def shard_blobs(block: int, hashes: np.ndarray, shards: int) -> pd.DataFrame:
-    """A row for each shard that has some of the block's distinct hashes."""
+def shard_blobs(block: int, hashes: np.ndarray, shards: int, pack: Callable[[np.ndarray], bytes] | None = None) -> pd.DataFrame:
+    """A row for each shard that has some of the block's distinct hashes. pack: how they are written, if not as short does."""
+    pack = pack or (lambda h: short(h).tobytes())
     parts = split_shards(hashes, shards)
-    return pd.DataFrame({"block": block, "shard": [s for s, _ in parts], "blob": [short(h).tobytes() for _, h in parts]}, columns=["block", "shard", "blob"])
+    return pd.DataFrame({"block": block, "shard": [s for s, _ in parts], "blob": [pack(h) for _, h in parts]}, columns=["block", "shard", "blob"])
 
 
 def distinct(x: np.ndarray) -> np.ndarray:
@@ -95,12 +96,24 @@ def long(blob: bytes) -> np.ndarray:
     return wide.view(">u8").ravel().astype(np.uint64)
 
 
-def shared_masks(blobs: DataFrame, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
+def tight(hashes: np.ndarray) -> bytes:
+    """The upper four bytes of sorted hashes as steps, compressed. Of a shard of 4 million, one in a thousand passes for shared by them alone."""
+    steps = np.diff((hashes >> np.uint64(32)).astype("<u4"), prepend=np.uint32(0))
+    return len(steps).to_bytes(8, "little") + pa.compress(steps.view("u1").reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def loose(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    steps = np.frombuffer(pa.decompress(blob[8:], decompressed_size=4 * n, codec="zstd", asbytes=True), "u1").reshape(4, n).T
+    return np.cumsum(np.ascontiguousarray(steps).view("<u4").ravel(), dtype=np.uint64)
+
+
+def shared_masks(blobs: DataFrame, hot_blocks: int = HOT_BLOCKS, unpack: Callable[[bytes], np.ndarray] = long) -> DataFrame:
     """MASKS for (block, shard, blob): which of a blob's hashes other blocks hold too, and which of them are hot."""
 
     def work(f: pd.DataFrame) -> pd.DataFrame:
-        known, counts = np.unique(np.concatenate([distinct(long(b)) for b in f["blob"]]), return_counts=True)
-        n = [counts[np.searchsorted(known, long(b))] for b in f["blob"]]
+        known, counts = np.unique(np.concatenate([distinct(unpack(b)) for b in f["blob"]]), return_counts=True)
+        n = [counts[np.searchsorted(known, unpack(b))] for b in f["blob"]]
         return pd.DataFrame({"block": f["block"], "shard": f["shard"], "mask": [np.packbits(x > 1).tobytes() for x in n], "hot": [np.packbits(x > hot_blocks).tobytes() if (x > hot_blocks).any() else b"" for x in n]})
 
     return blobs.groupBy("shard").applyInPandas(work, MASKS)

@@ -13,11 +13,8 @@ words.
    FEW windows are all paired. Of more, those that agree in their clip (all
    shingles that a passage of LEAST may hold beside the minimum) are a class: its
    members share a passage, are linked to its first, and only that one is sent.
-   Classes are compared by their clips, each with all that no chain of like
-   passages joins to it yet: whatever clips share a passage hang together in the
-   links, however many they are. For that a block sends the clips of minima that
-   it or more than FEW blocks hold several classes of; windows that come without
-   one are at most FEW of a minimum and are paired with all others.
+   Each class's windows of a text, joined to a stretch where they lie close, are
+   linked to the first text of the minimum, its hub; no clip goes to a shard.
    Pieces of PIECE shingles, chosen by hash out of every APART in a row, are linked
    alike. Any LEAST equal shingles hold a chosen piece, and texts that share one
    share a passage where both go on at the same end: so classes are those with
@@ -26,9 +23,13 @@ words.
    of enough hash functions. Each document that a stretch is linked to by some
    of them, at about one distance between the two texts, is a candidate, as is each that
    it shares a piece with.
+   What is linked to a hub is sent to it in any case.
 3. Each candidate goes, with the shingles around its windows, to the block of the
    other document, where the passages are found and verified: at least
-   LEAST_WORDS words and a Jaccard similarity of SIMILARITY.
+   LEAST_WORDS words and a Jaccard similarity of SIMILARITY. Members of a hub's
+   group that share no passage with it at their minimum are compared there by
+   their clips, each with all that no chain of like passages joins to it yet:
+   whatever clips share a passage hang together, however many they are.
 
 Texts that a block holds twice are compared once; the copies are linked to
 the first of them.
@@ -72,12 +73,12 @@ LOW = np.uint64((1 << PLACE_BITS) - 1)
 STEP = 1 << 14
 #: Windows of a minimum that are all paired.
 FEW = 12
-#: What comes with a window: no clip, its own, or that of one before it in its text.
-NONE, OWN, FOLLOWS = 0, 1, 2
-WINDOW = np.dtype([("v", "<u8"), ("doc", "<i8"), ("block", "<i8"), ("row", "<i4"), ("l", "<i4"), ("c", "<i4"), ("r", "<i4"), ("k", "<i4"), ("back", "<u4"), ("ahead", "<u4"), ("n", "u1"), ("clip", "u1")])
-LINK = np.dtype([("block", "<i8"), ("row", "<i4"), ("k", "<i4"), ("l", "<i4"), ("c", "<i4"), ("r", "<i4"), ("to_doc", "<i8"), ("to_block", "<i8"), ("to_row", "<i4"), ("to_c", "<i4")])
-WINDOWS, LINKS = "shard long, block long, windows binary, clips binary, links binary", "block long, links binary"
-CANDIDATES = "block long, to_row long, to_at long, to_end long, doc_id long, at long, shingles binary"
+#: In place of a hash function: links that need no other (by clips and pieces), and those of a large group to its hub.
+SURE, HUB = HASHES, HASHES + 1
+WINDOW = np.dtype([("v", "<u8"), ("doc", "<i8"), ("block", "<i8"), ("row", "<i4"), ("l", "<i4"), ("c", "<i4"), ("r", "<i4"), ("k", "<i4"), ("back", "<u4"), ("ahead", "<u4"), ("n", "u1")])
+LINK = np.dtype([("block", "<i8"), ("row", "<i4"), ("k", "<i4"), ("l", "<i4"), ("c", "<i4"), ("r", "<i4"), ("to_doc", "<i8"), ("to_block", "<i8"), ("to_row", "<i4"), ("to_c", "<i4"), ("e", "<i4"), ("to_e", "<i4")])
+WINDOWS, LINKS = "shard long, block long, windows binary, links binary", "block long, links binary"
+CANDIDATES = "block long, to_row long, to_at long, to_end long, doc_id long, text long, at long, shingles binary, members binary"
 RESULT = "doc_id long, start_word long, end_word long, other_id long, other_start long, other_end long, similarity double"
 
 
@@ -208,10 +209,6 @@ class Shingled:
         _, back = (powers(b, len(self.x) + 1) for b in POWERS)
         return mix(mix((self.sums[hi] - self.sums[lo]) * back[lo]) + ((at - lo) * 2 * LEAST + hi - lo).astype(np.uint64))
 
-    def clip(self, w: np.void) -> np.ndarray:
-        lo = max(0, int(w["c"]) - LEAST + 1)
-        return narrow(self.shingles(int(w["row"]))[lo : lo + int(w["n"])])
-
     def windows(self, key: int, shared: np.ndarray) -> np.ndarray:
         """Compact windows of shared minima, by minimum, then place."""
         out = [np.zeros(0, WINDOW)]
@@ -253,14 +250,6 @@ class Shingled:
         return w[np.lexsort((later(w), w["v"]))]
 
 
-def follow(w: np.ndarray) -> None:
-    """Marks windows of a minimum whose text has one of the same clip before them."""
-    names = ["v", "block", "row", "back", "ahead"]
-    order = np.lexsort([w[x] for x in names])
-    same = np.all([w[x][order[1:]] == w[x][order[:-1]] for x in names], axis=0)
-    w["clip"][order[1:][same & (w["k"][order[1:]] < HASHES)]] = FOLLOWS
-
-
 def planes(w: np.ndarray) -> bytes:
     """Rows' first bytes, then their second ones, and so on, compressed: like bytes stand side by side. Their number goes before."""
     data = w.view("u1").reshape(len(w), w.dtype.itemsize).T.tobytes()
@@ -321,14 +310,14 @@ def subtree(keys: np.ndarray, at: np.ndarray, first: np.ndarray, end: np.ndarray
     return left, right
 
 
-def to_first(w: np.ndarray, clip, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def to_first(w: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(which windows stand for all: all of FEW of a minimum or piece, of more those of each class; links).
 
-    w is sorted by minimum, then place; clip(i) gives a window's clip, if its field clip says OWN. Links
-    between classes are made where whole says that all of them are there. Links within a document are left out.
+    w is sorted by minimum, then place. Links to a hub are made where whole says that all of a minimum's windows are there;
+    they also tell of its own document's other windows. Else links within a document are left out.
     """
     apart = lambda a, b: (w["doc"][a] != w["doc"][b]) | ((w["doc"][a] == B.NO_ID) & ((w["block"][a] != w["block"][b]) | (w["row"][a] != w["row"][b])))
-    pairs, sure = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    pairs, sure, hubs_of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 4), np.int64)]
     put = lambda to, a, b: to.append((a * len(w) + b)[apart(a, b)])
     group = np.cumsum(np.append(True, w["v"][1:] != w["v"][:-1])[: len(w)]) - 1
     few = np.bincount(group)[group] <= FEW if len(w) else np.zeros(0, bool)
@@ -351,32 +340,32 @@ def to_first(w: np.ndarray, clip, whole: np.ndarray) -> tuple[np.ndarray, np.nda
         put(sure, order[other], first[other])
         own = ~other & (second < len(order)) & ~new
         put(sure, order[own], order[second[own]])
-        # Any window has the first or the second in another document.
-        stands[order[new | (second == place) | (second == len(order))]] = True
+        # Any window has the first or the second in another document. Of a class in one text, its first and last tell where it stands, and one in every SLACK // 2 places between, so that links to them stay one candidate.
+        again = ~new & np.append(False, (w["block"][order[1:]] == w["block"][order[:-1]]) & (w["row"][order[1:]] == w["row"][order[:-1]]))
+        step = w["c"][order] // (SLACK // 2)
+        inner = again & np.append(again[1:], False) & np.append(False, step[1:] == step[:-1])
+        stands[order[new | (second == place) | ((second == len(order)) & ~inner)]] = True
         rest = rest[stands[rest] & whole[rest]]
         edges = np.flatnonzero(np.diff(group[rest], prepend=-1, append=-1))
         for a, b in zip(edges[:-1], edges[1:]):
             heads = rest[a:b]
-            hubs = heads[~apart(heads, heads[0])]
+            own = ~apart(heads, heads[0])
+            if own.all():
+                continue
             if w["k"][heads[0]] == HASHES:
-                hubs = heads if w["back"][heads[0]] else hubs
-            else:
-                with_clip = heads[w["clip"][heads] == OWN]
-                found = [(with_clip[x], with_clip[y]) for x, y in joined([clip(i) for i in with_clip], np.minimum(w["c"][with_clip], LEAST - 1), lambda x, y: apart(with_clip[x], with_clip[y]))]
-                if found:
-                    found = np.array(found, np.int64)
-                    put(sure, *found.T)
-                    # Windows that follow one in its text are linked to what that is linked to.
-                    order = heads[np.lexsort((heads, w["row"][heads], w["block"][heads], w["ahead"][heads], w["back"][heads]))]
-                    leads = order[np.maximum.accumulate(np.where(w["clip"][order] == FOLLOWS, 0, np.arange(len(order))))]
-                    either = np.concatenate([found, found[:, ::-1]])
-                    leaders, one = np.unique(either[:, 0], return_index=True)
-                    linked = (w["clip"][order] == FOLLOWS) & B.is_in(leads, leaders)
-                    put(sure, order[linked], either[one[np.searchsorted(leaders, leads[linked])], 1])
-                hubs = np.append(hubs[:1], heads[w["clip"][heads] == NONE])
-            if len(hubs):
+                hubs = heads if w["back"][heads[0]] else heads[own]
                 x, y = np.repeat(hubs, len(heads)), np.tile(heads, len(hubs))
                 put(pairs, np.maximum(x, y), np.minimum(x, y))
+                continue
+            # Windows of a text that lie within a passage's reach of each other, or are of one class, are a stretch.
+            x, y = heads[1:], heads[:-1]
+            part = (w["block"][x] != w["block"][y]) | (w["row"][x] != w["row"][y])
+            part |= (w["c"][x] - w["c"][y] >= LEAST) & ((w["back"][x] != w["back"][y]) | (w["ahead"][x] != w["ahead"][y]))
+            first, last = heads[np.append(True, part)], heads[np.append(part, True)]
+            hubs_of.append(np.stack([first[1:], last[1:], np.full(len(first) - 1, first[0]), np.full(len(first) - 1, last[0])], 1))
+            # Stretches of other lengths are also linked at their ends.
+            ends = np.abs(w["c"][last[1:]] - w["c"][first[1:]] - w["c"][last[0]] + w["c"][first[0]]) > SLACK
+            put(sure, last[1:][ends], np.full(int(ends.sum()), last[0]))
     links = []
     for certain, found in enumerate((pairs, sure)):
         found = np.stack(np.divmod(B.distinct(np.concatenate(found)), max(1, len(w))), 1)
@@ -390,72 +379,86 @@ def to_first(w: np.ndarray, clip, whole: np.ndarray) -> tuple[np.ndarray, np.nda
             minima = link["k"] < HASHES
             lo = np.maximum(0, link["c"] - LEAST + 1)
             link["l"], link["r"] = np.where(minima, lo, link["l"]), np.where(minima, lo + own["n"] - 1, link["r"])
-            link["k"] = HASHES
+            link["k"] = SURE
         links.append(link)
+    first, last, hub, hub_last = np.concatenate(hubs_of).T
+    link = np.zeros(len(first), LINK)
+    for x in ("row", "block", "c"):
+        link[x] = w[x][first]
+    link["k"], link["e"], link["l"] = HUB, w["c"][last], np.maximum(0, w["c"][first] - LEAST + 1)
+    link["r"] = np.maximum(0, w["c"][last] - LEAST + 1) + w["n"][last] - 1
+    link["to_doc"], link["to_block"], link["to_row"], link["to_c"], link["to_e"] = w["doc"][hub], w["block"][hub], w["row"][hub], w["c"][hub], w["c"][hub_last]
+    links.append(link)
     return stands, np.concatenate(links)
 
 
-def joined(clips: list[np.ndarray], at: np.ndarray, apart) -> list[tuple[int, int]]:
-    """Links (clip, the one that it is looked for in) of clips that share a passage, enough that they join all that a chain of such joins. at: each clip's place of the minimum.
+def joined(clips: list[np.ndarray], at: np.ndarray, apart, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (clip, the one that it is looked for in) of clips that share a passage, enough that they join all that a chain of such joins.
 
-    Each clip is compared with those that nothing joins to it yet and that may share a passage: those that hold one of its
-    rarest shingles, as many of them as a passage needs, and in a stretch of it where they are dense enough.
+    at: each clip's place of the minimum (its first, in a stretch). known: which are joined already. Each other clip is compared
+    with all that nothing joins to it yet and that may share a passage: those that hold one of its rarest shingles, as many of
+    them as a passage needs, and in a stretch of it where they are dense enough.
     """
     every = np.arange(len(clips))
-    left, links = np.ones(len(clips), bool), []
+    known = np.zeros(len(clips), bool) if known is None else known
+    part_of, links = np.where(known, len(clips), every), []
     # If the first has nobody to be compared with, all are one document's.
-    if not len(clips) or not apart(0, every).any():
+    if not len(clips) or not (apart(0, every).any() or apart(every[-1], every).any()):
         return links
-    # Side by side at their minima.
+    # Side by side at their minima; stretches of several minima are compared by their shingles alone.
     table = np.zeros((len(clips), 2 * LEAST - 1), np.uint32)
-    for i, (c, k) in enumerate(zip(clips, at.tolist())):
-        table[i, LEAST - 1 - k : LEAST - 1 - k + len(c)] = c
     at, size = at.astype(np.int64), np.array([len(c) for c in clips])
-    known = [c if len(d := B.distinct(c)) == len(c) else d for c in clips]
-    plain = np.array([len(c) == len(d) for c, d in zip(clips, known)])
+    short = (at < LEAST) & (size - at <= LEAST)
+    for i in np.flatnonzero(short).tolist():
+        table[i, LEAST - 1 - at[i] : LEAST - 1 - at[i] + size[i]] = clips[i]
+    alone = [c if len(d := B.distinct(c)) == len(c) else d for c in clips]
+    plain = np.array([len(c) == len(d) for c, d in zip(clips, alone)])
     #: Distinct shingles that any passage holds at least.
     least = np.array([LEAST if alike else fewest(c) for c, alike in zip(clips, plain)])
-    keys = owner = np.zeros(0, np.uint64)
-    indexed = 0
-    for start in range(len(clips)):
-        todo = [start] if left[start] else []
-        left[start] = False
-        while todo:
-            x = todo.pop()
-            n = int(left.sum())
-            if not n:
-                return links
-            if not indexed or 2 * n <= indexed:
-                rows = np.flatnonzero(left)
-                # Each shingle, 32 bits long, once a clip.
-                both = B.distinct(np.concatenate([known[y] for y in rows]).astype(np.uint64) << np.uint64(32) | np.repeat(rows, [len(known[y]) for y in rows]).astype(np.uint64))
-                keys, owner, indexed = both >> np.uint64(32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64), n
-            own = known[x].astype(np.uint64)
-            inside = slice(LEAST - 1 - int(at[x]), LEAST - 1 - int(at[x]) + len(clips[x]))
-            lo, hi = np.searchsorted(keys, own, side="left"), np.searchsorted(keys, own, side="right")
-            rare = np.argsort(hi - lo, kind="stable")[: len(own) - int(np.ceil(least[x] * SIMILARITY)) + 1]
-            mark = np.zeros(len(clips), bool)
-            mark[owner[spans(lo[rare], hi[rare])]] = True
-            near = np.flatnonzero(mark & left)
-            near = near[apart(x, near)]
+    # Each shingle, 32 bits long, once a clip.
+    held = np.array([len(c) for c in alone])
+    keys, owner = np.concatenate(alone).astype(np.uint64), np.repeat(every, held)
+    order = np.argsort(keys << np.uint64(32) | owner.astype(np.uint64))
+    keys, owner, place = keys[order], owner[order], (np.arange(len(order)) - np.repeat(np.cumsum(held) - held, held))[order]
+    side = plain & short
+    for x in np.flatnonzero(~known).tolist():
+        if (part_of == part_of[x]).all():
+            return links
+        own = alone[x].astype(np.uint64)
+        lo, hi = np.searchsorted(keys, own, side="left"), np.searchsorted(keys, own, side="right")
+        rare = np.argsort(hi - lo, kind="stable")[: len(own) - int(np.ceil(least[x] * SIMILARITY)) + 1]
+        mark = np.zeros(len(clips), bool)
+        mark[owner[spans(lo[rare], hi[rare])]] = True
+        # What comes before it has been compared with it.
+        near = np.flatnonzero(mark & (part_of != part_of[x]) & (known | (every > x)))
+        near = near[apart(x, near)]
+        if side[x]:
+            # Most share one in their places as they stand, which tells unless shingles repeat.
+            begin = LEAST - 1 - int(at[x])
+            # Only stretches that both clips hold whole.
+            starts = np.arange(begin, begin + size[x] - LEAST + 1)
             for a in range(0, len(near), STEP):
                 part = near[a : a + STEP]
-                part = part[may_share(own, plain[x], least[x], part, plain[part], least[part], lo, hi, owner)]
-                # Most share one in their places as they stand, which tells unless shingles repeat.
-                sums = np.zeros((len(part), len(clips[x]) + 1), np.int16)
-                np.cumsum(table[part, inside] == table[x, inside], axis=1, out=sums[:, 1:])
-                # Only stretches that both clips hold whole.
-                begin, starts = LEAST - 1 - at[part, None], np.arange(inside.start, inside.stop - LEAST + 1)
-                whole = (starts >= begin) & (starts + LEAST <= begin + size[part, None])
+                part = part[side[part]]
+                sums = np.zeros((len(part), size[x] + 1), np.int16)
+                np.cumsum(table[part, begin : begin + size[x]] == table[x, begin : begin + size[x]], axis=1, out=sums[:, 1:])
+                whole = (starts >= LEAST - 1 - at[part, None]) & (starts + LEAST <= LEAST - 1 + (size - at)[part, None])
                 equal = np.where(whole, sums[:, LEAST:] - sums[:, :-LEAST], 0).max(1)
-                sure = plain[x] & plain[part] & (equal / (2 * LEAST - equal) >= SIMILARITY)
-                for y, known_to in zip(part.tolist(), sure.tolist()):
-                    forth = known_to or passages(clips[y].astype(np.uint64), clips[x].astype(np.uint64))
-                    # Where shingles repeat, which is looked for in which may tell.
-                    if forth or not (plain[x] and plain[y]) and passages(clips[x].astype(np.uint64), clips[y].astype(np.uint64)):
-                        left[y] = False
-                        todo.append(y)
-                        links.append((y, x) if forth else (x, y))
+                for y in part[equal / (2 * LEAST - equal) >= SIMILARITY].tolist():
+                    if part_of[y] != part_of[x]:
+                        part_of[part_of == part_of[y]] = part_of[x]
+                        links.append((y, x))
+        near = near[part_of[near] != part_of[x]]
+        for a in range(0, len(near), STEP):
+            part = near[a : a + STEP]
+            for y in part[may_share(own, plain[x], least[x], part, plain[part], least[part], lo, hi, owner, place)].tolist():
+                if part_of[y] == part_of[x]:
+                    continue
+                forth = passages(clips[y].astype(np.uint64), clips[x].astype(np.uint64))
+                # Where shingles repeat, which is looked for in which may tell.
+                if forth or not (plain[x] and plain[y]) and passages(clips[x].astype(np.uint64), clips[y].astype(np.uint64)):
+                    part_of[part_of == part_of[y]] = part_of[x]
+                    links.append((y, x) if forth else (x, y))
     return links
 
 
@@ -478,64 +481,62 @@ def fewest(clip: np.ndarray) -> int:
     return int(np.cumsum(steps)[: last + 1].min())
 
 
-def may_share(own: np.ndarray, plain: bool, least: int, near: np.ndarray, plains: np.ndarray, leasts: np.ndarray, lo: np.ndarray, hi: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Which of near may share a passage with a clip whose shingles are own, held by the owners [lo, hi). Leaves out none that does."""
+def may_share(own: np.ndarray, plain: bool, least: int, near: np.ndarray, plains: np.ndarray, leasts: np.ndarray, lo: np.ndarray, hi: np.ndarray, owner: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which of near may share a passage with a clip whose shingles are own, held by the owners [lo, hi) at their places. Leaves out none that does."""
     row = np.full(int(near.max()) + 1, -1)
     row[near] = np.arange(len(near))
-    has = np.zeros((len(near), len(own)), bool)
-    at, held = owner[spans(lo, hi)], np.repeat(np.arange(len(own)), hi - lo)
-    at, held = at[at < len(row)], held[at < len(row)]
-    known = row[at] >= 0
-    has[row[at[known]], held[known]] = True
+    # Their places, and -1 for what they don't hold.
+    has = np.full((len(near), len(own)), -1)
+    entry, held = spans(lo, hi), np.repeat(np.arange(len(own)), hi - lo)
+    at = owner[entry]
+    known = at < len(row)
+    known[known] = row[at[known]] >= 0
+    has[row[at[known]], held[known]] = place[entry[known]]
     # both / (a + b - both) >= SIMILARITY, where a and b are no less than their least.
     share = SIMILARITY / (1 + SIMILARITY)
-    may = has.sum(1) >= np.maximum(SIMILARITY * np.maximum(least, leasts), share * (least + leasts)) - 1e-9
+    may = (has >= 0).sum(1) >= np.maximum(SIMILARITY * np.maximum(least, leasts), share * (least + leasts)) - 1e-9
     if plain and (some := np.flatnonzero(may & plains)).size:
-        sums = np.zeros((len(some), len(own) + 1), np.int16)
-        np.cumsum(has[some], axis=1, out=sums[:, 1:])
-        dense = np.zeros(len(some), bool)
-        for n in range(LEAST, len(own) + 1):
-            dense |= (sums[:, n:] - sums[:, : len(own) + 1 - n]).max(1) >= max(SIMILARITY * n, share * (n + LEAST)) - 1e-9
-        may[some] = dense
+        has = has[some]
+        of, x = np.nonzero(has >= 0)
+        y, n = has[of, x], np.bincount(of, minlength=len(some))
+        rank = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        # As in longest: of shingles in one order, some run of enough of them must be similar enough.
+        back = np.zeros(len(some), bool)
+        back[of[1:][(of[1:] == of[:-1]) & (y[1:] < y[:-1])]] = True
+        ends = np.full((len(some), int(n.max())), -np.inf)
+        ends[of, rank] = rank * (1 + SIMILARITY) - (x + y) * SIMILARITY
+        run = int(np.ceil(LEAST * SIMILARITY)) - 1
+        first = np.minimum.accumulate(ends[:, : ends.shape[1] - run], axis=1)
+        last = ends[:, run:]
+        like = ((last > -np.inf) & (last >= first - (1 + SIMILARITY) + 2 * SIMILARITY - 1e-9)).any(1)
+        may[some] = like | back
     return may
 
 
 def send_windows(key: int, f: pd.DataFrame, masks: pd.DataFrame, hash_shards: int, shards: int) -> pd.DataFrame:
     s = Shingled(f)
     h = s.hashes()
-    shared, hot = B.shared_hashes(h, masks, hash_shards)
+    shared, _ = B.shared_hashes(h, masks, hash_shards)
     order = np.sort(h)
     w = s.windows(key, B.distinct(np.concatenate([shared, order[1:][order[1:] == order[:-1]]])))
-    w["clip"] = np.where(w["k"] < HASHES, OWN, NONE)
-    follow(w)
     sent = B.is_in(w["v"], shared)
-    stands, links = to_first(w, lambda i: s.clip(w[i]), ~sent)
+    stands, links = to_first(w, ~sent)
     first = w[stands & sent]
-    several = np.append(False, first["v"][1:] == first["v"][:-1])[: len(first)]
-    several[:-1] |= several[1:]
-    first["clip"][~(several | B.is_in(first["v"], hot))] = NONE
     shard = (first["v"] % np.uint64(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
     first, shard = first[order], shard[order]
     edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
-    rows = []
-    for a, b in zip(edges[:-1], edges[1:]):
-        part = first[a:b]
-        clips = [s.clip(x) for x in part[part["clip"] == OWN]]
-        rows.append((int(shard[a]), key, planes(part), planes(np.concatenate(clips)) if clips else b"", b""))
+    rows = [(int(shard[a]), key, planes(first[a:b]), b"") for a, b in zip(edges[:-1], edges[1:])]
     if len(links):
-        rows.append((key % shards, key, b"", b"", planes(links)))
+        rows.append((key % shards, key, b"", planes(links)))
     return pd.DataFrame(rows, columns=[x.split()[0] for x in WINDOWS.split(", ")])
 
 
 def link_windows(f: pd.DataFrame) -> pd.DataFrame:
-    w, clips = rows_of(f["windows"], WINDOW), rows_of(f["clips"], np.dtype("<u4"))
-    n = np.where(w["clip"] == OWN, w["n"], 0).astype(np.int64)
-    starts = np.cumsum(n) - n
-    order = np.lexsort((w["c"], w["row"], w["block"], w["doc"], later(w), w["v"]))
-    w, starts = w[order], starts[order]
+    w = rows_of(f["windows"], WINDOW)
+    w = w[np.lexsort((w["c"], w["row"], w["block"], w["doc"], later(w), w["v"]))]
     rows = [(b, x) for b, x in zip(f["block"], f["links"]) if len(x)]
-    _, links = to_first(w, lambda i: clips[starts[i] : starts[i] + int(w["n"][i])], np.ones(len(w), bool))
+    _, links = to_first(w, np.ones(len(w), bool))
     links = links[np.argsort(links["block"], kind="stable")]
     edges = np.flatnonzero(np.diff(links["block"], prepend=-1, append=-1))
     rows += [(int(links["block"][a]), planes(links[a:b])) for a, b in zip(edges[:-1], edges[1:])]
@@ -557,13 +558,15 @@ def send_candidates(key: int, f: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         #: By other document: (stretch, least and greatest distance) that are candidates already.
         known: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
 
-        def send(to, lo: int, hi: int, least: int, most: int) -> None:
+        def send(to, lo: int, hi: int, least: int, most: int, members: bytes = b"") -> None:
             known.setdefault((int(to["to_block"]), int(to["to_row"])), []).append((lo, hi, least - SLACK, most + SLACK))
-            out.append((int(to["to_block"]), int(to["to_row"]), max(0, lo + least - SLACK), max(0, hi + most + SLACK), s.block.order_ids[row], lo, narrow(shingles[lo:hi]).tobytes()))
+            out.append((int(to["to_block"]), int(to["to_row"]), max(0, lo + least - SLACK), max(0, hi + most + SLACK), s.block.order_ids[row], key << 32 | row, lo, narrow(shingles[lo:hi]).tobytes(), members))
 
+        to_hub = links["k"][a:b] == HUB
+        send_members(links[a:b][to_hub], offset[a:b][to_hub], len(shingles), send)
         by_minima = links["k"][a:b] < HASHES
         send_stretches(links[a:b][by_minima], offset[a:b][by_minima], send)
-        own, off = links[a:b][~by_minima], offset[a:b][~by_minima]
+        own, off = links[a:b][links["k"][a:b] == SURE], offset[a:b][links["k"][a:b] == SURE]
         parts = np.append(np.flatnonzero(np.append(True, (np.diff(own["to_doc"]) != 0) | (np.diff(own["to_block"]) != 0) | (np.diff(own["to_row"]) != 0) | (np.diff(off) > SLACK))[: len(own)]), len(own))
         for x, y in zip(parts[:-1].tolist(), parts[1:].tolist()):
             # Pieces that no candidate holds, with room for a passage around them.
@@ -576,6 +579,23 @@ def send_candidates(key: int, f: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[x.split()[0] for x in CANDIDATES.split(", ")])
 
 
+def send_members(own: np.ndarray, off: np.ndarray, n: int, send) -> None:
+    """Sends a document's stretches (n shingles in all) of large groups to their hubs, each time with its places there and here."""
+    if not len(own):
+        return
+    new = np.append(True, (np.diff(own["to_block"]) != 0) | (np.diff(own["to_row"]) != 0) | (np.diff(off) > SLACK))
+    order = np.lexsort((own["l"], np.cumsum(new)))
+    of, own, off = (np.cumsum(new))[order], own[order], off[order]
+    # What lies far apart in the text goes by itself.
+    reach = np.maximum.accumulate(own["r"] + of * (1 << 40)) - of * (1 << 40)
+    new = np.append(True, (of[1:] != of[:-1]) | (own["l"][1:] > reach[:-1] + LEAST))
+    parts = np.append(np.flatnonzero(new), len(own))
+    for x, y in zip(parts[:-1].tolist(), parts[1:].tolist()):
+        part = own[x:y]
+        members = np.stack([part[c] for c in ("c", "e", "to_c", "to_e")], 1).astype("<i4")
+        send(part[0], max(0, int(part["l"].min()) - ASIDE), min(n, int(part["r"].max()) + 1 + ASIDE), int(off[x:y].min()), int(off[x:y].max()), np.unique(members, axis=0).tobytes())
+
+
 def send_stretches(own: np.ndarray, off: np.ndarray, send) -> None:
     """Sends a document's candidates by minima. own: its links, by other text and distance (off)."""
     if len(own) and (stretches := covered(own["l"], own["r"], own["k"])):
@@ -624,21 +644,94 @@ def verify(key: int, f: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         n = len(s.shingles(k))
         if n >= LEAST and (s.block.order_ids[d] != s.block.order_ids[k] or s.block.order_ids[d] == B.NO_ID):
             out.append((s.block.order_ids[d], 0, n + SHINGLE - 1, s.block.order_ids[k], 0, n + SHINGLE - 1, 1.0))
-    for row, at, end, doc_id, own_at, data in zip(g["to_row"], g["to_at"], g["to_end"], g["doc_id"], g["at"], g["shingles"]):
-        a, b = np.frombuffer(data, np.uint32).astype(np.uint64), narrow(s.shingles(int(row))[int(at) : int(end)]).astype(np.uint64)
-        for i, j, p, q, similarity in passages(a, b):
-            out.append((doc_id, own_at + i, own_at + j + SHINGLE - 1, s.block.order_ids[int(row)], at + p, at + q + SHINGLE - 1, similarity))
+    hubs: dict[int, list[Sent]] = {}
+    for row, at, end, doc_id, text, own_at, data, members in zip(*(g[x] for x in ("to_row", "to_at", "to_end", "doc_id", "text", "at", "shingles", "members"))):
+        sent = Sent(int(doc_id), int(text), int(own_at), np.frombuffer(data, np.uint32))
+        hub = Sent(s.block.order_ids[int(row)], key << 32 | int(row), int(at), narrow(s.shingles(int(row))[int(at) : int(end)]))
+        sent.found = [] if sent.alike(hub) else sent.passages(hub)
+        out += [sent.result(hub, x) for x in sent.found]
+        if len(members):
+            sent.members = np.frombuffer(members, "<i4").reshape(-1, 4)
+            hubs.setdefault(int(row), []).append(sent)
+    for row, sent in hubs.items():
+        out += among(Sent(s.block.order_ids[row], key << 32 | row, 0, narrow(s.shingles(row))), sent)
     return pd.DataFrame(out, columns=[x.split()[0] for x in RESULT.split(", ")])
 
 
+class Sent:
+    """A stretch of a document, from a place on."""
+
+    def __init__(self, doc_id: int, text: int, at: int, shingles: np.ndarray):
+        self.doc_id, self.text, self.at, self.shingles = doc_id, text, at, shingles
+        self.found: list[tuple] = []
+        self.members = np.zeros((0, 4), "<i4")
+
+    def alike(self, other: Sent) -> bool:
+        """Of one document."""
+        return self.doc_id == other.doc_id and (self.doc_id != B.NO_ID or self.text == other.text)
+
+    def part(self, c: int, e: int) -> Sent:
+        """The clips of the places from c to e."""
+        lo = max(self.at, c - LEAST + 1)
+        return Sent(self.doc_id, self.text, lo, self.shingles[lo - self.at : e + LEAST - self.at])
+
+    def passages(self, other: Sent) -> list[tuple]:
+        """Passages in places of the two documents."""
+        a, b = self.shingles.astype(np.uint64), other.shingles.astype(np.uint64)
+        return [(self.at + i, self.at + j, other.at + p, other.at + q, similarity) for i, j, p, q, similarity in passages(a, b)]
+
+    def result(self, other: Sent, x: tuple) -> tuple:
+        i, j, p, q, similarity = x
+        return self.doc_id, i, j + SHINGLE - 1, other.doc_id, p, q + SHINGLE - 1, similarity
+
+
+def holds(found: list[tuple], c: int, e: int, to_c: int, to_e: int) -> bool:
+    """Whether a passage touches the places [c, e] and [to_c, to_e]."""
+    return any(i <= e and j > c and p <= to_e and q > to_c for i, j, p, q, _ in found)
+
+
+def among(hub: Sent, sent: list[Sent]) -> list[tuple]:
+    """Passages that members of large groups share with each other, enough that all that a chain of like passages joins hang together.
+
+    Those that share one with the hub at its minimum hang together already; each other one is compared with all of its group.
+    """
+    groups: dict[int, dict[tuple[int, int], tuple]] = {}
+    for x in sent:
+        for c, e, to_c, to_e in x.members.tolist():
+            groups.setdefault(to_c, {}).setdefault((x.text, c), (x, c, e, to_e))
+    out, known = [], {}
+    for to_c, members in groups.items():
+        to_e = max(m[3] for m in members.values())
+        # The hub is one of them.
+        of = [(hub, to_c, to_e), *(m[:3] for m in members.values())]
+        done = np.array([True, *(holds(x.found, c, e, to_c, to_e) for x, c, e in of[1:])])
+        if done.all():
+            continue
+        parts = [x.part(c, e) for x, c, e in of]
+        docs, texts = np.array([x.doc_id for x in parts]), np.array([x.text for x in parts])
+        apart = lambda a, b: (docs[a] != docs[b]) | ((docs[a] == B.NO_ID) & (texts[a] != texts[b]))  # noqa: B023, E731
+        for y, x in joined([p.shingles for p in parts], np.array([c - p.at for p, (_, c, _) in zip(parts, of)]), apart, done):
+            (a, c, e), (b, to, to_end) = of[y], of[x]
+            found = []
+            if hub not in (a, b):
+                if (id(a), id(b)) not in known:
+                    known[id(a), id(b)] = a.passages(b)
+                    out += [a.result(b, z) for z in known[id(a), id(b)]]
+                found = known[id(a), id(b)]
+            if not holds(found, c, e, to, to_end):
+                out += [a.result(b, z) for z in parts[y].passages(parts[x])]
+    return out
+
+
 def passages(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float]]:
     """(start, end in a, start, end in b, similarity) of verified passages. Ends are exclusive, counted in shingles."""
-    hit, in_b = aligned(a, b)
-    if len(hit) < LEAST * SIMILARITY:
+    if len(b) < LEAST * SIMILARITY or np.count_nonzero(B.is_in(a, known := np.sort(b))) < LEAST * SIMILARITY:
         return []
-    gap = np.maximum(np.diff(hit), np.abs(np.diff(in_b)))
+    hit, in_b = aligned(a, b)
+    steps = np.diff(in_b)
+    gap = np.maximum(np.diff(hit), np.abs(steps))
     # Without repeats and in one order, the longest run that is similar enough tells whether there is any.
-    plain = bool((np.diff(in_b) > 0).all()) and len(B.distinct(a)) == len(a) and len(B.distinct(b)) == len(b)
+    plain = bool((steps > 0).all()) and not (known[1:] == known[:-1]).any() and len(B.distinct(a)) == len(a)
     todo, out = [(0, len(hit))], []
     while todo:
         x, y = todo.pop()
@@ -736,8 +829,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     size, parts = B.total_bytes(docs, text_col), partitions(docs.sparkSession)
     hash_shards, shards = max(parts, size // (4 * SHARD_BYTES)), max(parts, size // SHARD_BYTES)
     blocks = B.blocked(docs, id_col, text_col, size, parts)
-    blobs = B.map_blocks(blocks, lambda k, f: B.shard_blobs(k, Shingled(f).hashes(), hash_shards), "block long, shard long, blob binary")
-    masks = B.shared_masks(blobs, FEW)
+    blobs = B.map_blocks(blocks, lambda k, f: B.shard_blobs(k, Shingled(f).hashes(), hash_shards, B.tight), "block long, shard long, blob binary")
+    masks = B.shared_masks(blobs, unpack=B.loose)
     windows = B.map_blocks_with(blocks, masks, lambda k, f, g: send_windows(k, f, g, hash_shards, shards), WINDOWS)
     links = windows.groupBy("shard").applyInPandas(link_windows, LINKS)
     candidates = B.map_blocks_with(blocks, links, send_candidates, CANDIDATES)

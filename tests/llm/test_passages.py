@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
+from tagweave.llm import blocks as B
 from tagweave.llm import passages as P
 
 
@@ -172,3 +174,26 @@ def test_a_piece_at_either_end_of_texts(spark):
     for x in P.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect():
         up[top(x.doc_id)] = top(x.other_id)
     assert len({top(i) for i in range(20)}) == 1 and len({top(i) for i in range(20, 40)}) == 1
+
+
+def test_what_a_block_sends_of_near_copies():
+    """Large groups of near copies: their minima go to the shards, texts only to the hub, so what is sent is a small multiple of the texts."""
+    r = np.random.default_rng(10)
+    word = lambda n: [format(int(x), "x") for x in r.integers(1, 1 << 40, n)]
+    base, rows = word(400), []
+    for _ in range(40):
+        copy = list(base)
+        for k in r.choice(400, 16, replace=False):
+            copy[k] = word(1)[0]
+        rows.append(" ".join(copy).encode())
+    f = pd.DataFrame({"doc_id": range(40), "has_id": True, "data": rows, "tie": 0})
+    hashes = B.distinct(P.Shingled(f).hashes())
+    all_of = np.packbits(np.ones(len(hashes), bool)).tobytes()
+    sent = P.send_windows(0, f, pd.DataFrame({"block": [0], "shard": [0], "mask": [all_of], "hot": [all_of]}), 1, 1)
+    assert sum(len(x) for c in sent.columns for x in sent[c] if isinstance(x, bytes)) < 1.5 * sum(map(len, rows))
+
+
+def test_hashes_sent_in_four_bytes_or_less():
+    hashes = B.distinct(np.random.default_rng(11).integers(0, 1 << 64, 9000, dtype=np.uint64))
+    assert (B.loose(B.tight(hashes)) == hashes >> np.uint64(32)).all() and len(B.tight(hashes)) < 3 * len(hashes)
+    assert len(B.loose(B.tight(hashes[:0]))) == 0
