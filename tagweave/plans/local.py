@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .selector import cost, parse
+from .selector import NTH_READ, cost, parse
 
 
 
@@ -78,7 +78,7 @@ def leaf(ast: tuple, n: Column, scope: Column | None = None) -> Column | None:
         return in_element & (n["n_same_type"] == 1)
     if kind == "nth":
         which, a, b = args
-        pos = {"child": n["el_idx"] + 1, "last_child": n["el_idx_last"] + 1, "of_type": n["type_idx"], "last_of_type": n["type_idx_last"]}[which]
+        pos = n[NTH_READ[which]] + (1 if which.endswith("child") else 0)
         return in_element & ((pos == b) if a == 0 else (((pos - b) * a >= 0) & ((pos - b) % a == 0)))
     if kind == "empty":
         return n["n_content"] == 0

@@ -46,10 +46,11 @@ def element(tag: str, content: Column, **attrs) -> Column:
     return F.concat(*parts, F.lit(">"), content, F.lit(f"</{tag}>"))
 
 
-def listing(df: DataFrame, key: str, order: str, item: Column, before: str, after: str) -> DataFrame:
-    """(key, html): the items of each key in order."""
+def listing(df: DataFrame, key: str, order: str, item: Column, before: str, after: str, few: bool = True) -> DataFrame:
+    """(key, html): the items of each key in order; few: keys that may fall to a task or two, and are dealt anew."""
     rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("h")))).alias("rows"))
-    return spread(rows.select(key, F.concat(F.lit(before), F.array_join(F.transform("rows", lambda r: r["h"]), ""), F.lit(after)).alias("html")))
+    documents = rows.select(key, F.concat(F.lit(before), F.array_join(F.transform("rows", lambda r: r["h"]), ""), F.lit(after)).alias("html"))
+    return spread(documents) if few else documents
 
 
 def nation_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,14 +71,14 @@ def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = F.col("l_returnflag")
     content = F.when(F.col("l_linenumber") % 2 == 1, F.concat(element("b", flag), F.lit(" odd"))).otherwise(F.concat(F.lit("even "), flag))
     item = element("li", content, data_line=F.col("l_linenumber").cast("string"), class_=F.col("l_linestatus"))
-    return listing(lines, "l_orderkey", "l_linenumber", item, "<section><ol>", "</ol></section>")
+    return listing(lines, "l_orderkey", "l_linenumber", item, "<section><ol>", "</ol></section>", few=False)
 
 
 def mixed_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
     number = F.col("l_linenumber").cast("string")
     item = F.when(F.col("l_linenumber") % 2 == 1, element("em", number)).otherwise(element("span", number))
-    return listing(lines, "l_orderkey", "l_linenumber", item, "<div>", "</div>")
+    return listing(lines, "l_orderkey", "l_linenumber", item, "<div>", "</div>", few=False)
 
 
 def part_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +92,7 @@ def parts(selector: str):
     """A query for what a selector finds in the lists of parts."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = parse_html(part_lists(spark, sf_dir), selectors=[selector])
+        df = parse_html(part_lists(spark, sf_dir), selectors=[selector], nodes=("attr_map",))
         return matches(df, selector, "p_brand").select("p_brand", F.col("n")["attr_map"]["data-key"].alias("part"), F.col("n")["attr_map"]["title"].alias("name"))
 
     return run
@@ -181,19 +182,20 @@ for _name, (_css, _sql) in SELECTORS.items():
 
 @query("select_only_child", "SELECT l_orderkey, l_linenumber::VARCHAR AS line FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) WHERE n = 1")
 def select_only_child(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = parse_html(order_trees(spark, sf_dir), selectors=["li:only-child"])
+    df = parse_html(order_trees(spark, sf_dir), selectors=["li:only-child"], nodes=("attr_map",))
     return matches(df, "li:only-child", "l_orderkey").select("l_orderkey", F.col("n")["attr_map"]["data-line"].alias("line"))
 
 
 @query("select_only_of_type", "SELECT l_orderkey, l_linenumber::VARCHAR AS line FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber % 2) AS n FROM lineitem) WHERE n = 1")
 def select_only_of_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = parse_html(mixed_types(spark, sf_dir), fields=("text",))
-    return matches(df, "div > *:only-of-type", "l_orderkey").select("l_orderkey", F.col("n")["text"].alias("line"))
+    css = "div > *:only-of-type"
+    df = parse_html(mixed_types(spark, sf_dir), selectors=[css], nodes=("text",))
+    return matches(df, css, "l_orderkey").select("l_orderkey", F.col("n")["text"].alias("line"))
 
 
 def by_windows(selector: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = parse_html(part_lists(spark, sf_dir), selectors=[selector])
+        df = parse_html(part_lists(spark, sf_dir), selectors=[selector], nodes=(*relational.READ, "attr_map"))
         return relational.select(node_table(df, "p_brand"), selector, "p_brand").select("p_brand", F.col("attr_map")["data-key"].alias("part"), F.col("attr_map")["title"].alias("name"))
 
     return run
@@ -302,27 +304,28 @@ def part_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("part_table_position", "WITH t AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part) SELECT p_brand, p_name AS name FROM t WHERE i % 3 = 2")
 def part_table_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     css = "table > tbody > tr:nth-child(3n+2) > td.name"
-    df = parse_html(part_tables(spark, sf_dir), fields=("text", "anc"))
+    df = parse_html(part_tables(spark, sf_dir), selectors=[css], nodes=("text",))
     return matches(df, css, "p_brand").select("p_brand", F.col("n.text").alias("name"))
 
 
 @query("orders_has", "SELECT l_orderkey, l_linenumber::VARCHAR AS line FROM lineitem WHERE l_linenumber % 2 = 1")
 def orders_has(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = parse_html(order_trees(spark, sf_dir), selectors=["li:has(b)"])
+    df = parse_html(order_trees(spark, sf_dir), selectors=["li:has(b)"], nodes=("attr_map",))
     return matches(df, "li:has(b)", "l_orderkey").select("l_orderkey", F.col("n")["attr_map"]["data-line"].alias("line"))
 
 
 @query("orders_not_has", "SELECT l_orderkey, l_linenumber::VARCHAR AS line FROM lineitem WHERE l_linenumber % 2 = 0")
 def orders_not_has(spark: SparkSession, sf_dir: str) -> DataFrame:
     css = "section > ol > li:not(:has(b))"
-    df = parse_html(order_trees(spark, sf_dir), selectors=[css])
+    df = parse_html(order_trees(spark, sf_dir), selectors=[css], nodes=("attr_map",))
     return matches(df, css, "l_orderkey").select("l_orderkey", F.col("n")["attr_map"]["data-line"].alias("line"))
 
 
 @query("orders_joins_has", "SELECT l_orderkey, l_linenumber::VARCHAR AS line FROM lineitem WHERE l_linenumber % 2 = 1")
 def orders_joins_has(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = node_table(parse_html(order_trees(spark, sf_dir), fields=()), "l_orderkey")
-    return relational.select(nodes, "li:has(b)", "l_orderkey").select("l_orderkey", F.col("attr_map")["data-line"].alias("line"))
+    css = "li:has(b)"
+    nodes = node_table(parse_html(order_trees(spark, sf_dir), selectors=[css], nodes=(*relational.READ, "attr_map")), "l_orderkey")
+    return relational.select(nodes, css, "l_orderkey").select("l_orderkey", F.col("attr_map")["data-line"].alias("line"))
 
 
 @query(
@@ -331,33 +334,33 @@ def orders_joins_has(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def orders_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of a list: items are blocks, so a space stands between them."""
-    df = parse_html(order_trees(spark, sf_dir), fields=("text",))
+    df = parse_html(order_trees(spark, sf_dir), nodes=("kind", "norm", "text"))
     return df.select("l_orderkey", H.first_by_tag(F.col("dom"), "ol")["text"].alias("text"))
 
 
 @query("orders_own_text", "SELECT l_orderkey, CASE WHEN l_linenumber % 2 = 1 THEN 'odd' ELSE 'even ' || l_returnflag END AS own FROM lineitem")
 def orders_own_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = parse_html(order_trees(spark, sf_dir), fields=("own_text",))
+    df = parse_html(order_trees(spark, sf_dir), selectors=["li"], nodes=("own_text",))
     return matches(df, "li", "l_orderkey").select("l_orderkey", F.col("n.own_text").alias("own"))
 
 
 @query("orders_each_text", "SELECT l_orderkey, string_agg(l_returnflag, ',' ORDER BY l_linenumber, l_linestatus, l_returnflag) AS flags FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY l_orderkey")
 def orders_each_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = parse_html(order_trees(spark, sf_dir), fields=("text", "has_text"))
+    df = parse_html(order_trees(spark, sf_dir), selectors=["b"], nodes=("text", "has_text"))
     return df.select("l_orderkey", F.array_join(H.each_text(local.select(F.col("dom"), "b")), ",").alias("flags")).where("flags <> ''")
 
 
 @query("types_nth_of_type", "WITH t AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_linenumber) AS i FROM lineitem) SELECT l_orderkey, l_linenumber::VARCHAR AS line FROM t WHERE i = 2")
 def types_nth_of_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = parse_html(mixed_types(spark, sf_dir), fields=("text",))
-    return matches(df, "em:nth-of-type(2), span:nth-of-type(2)", "l_orderkey").select("l_orderkey", F.col("n.text").alias("line"))
+    css = "em:nth-of-type(2), span:nth-of-type(2)"
+    df = parse_html(mixed_types(spark, sf_dir), selectors=[css], nodes=("text",))
+    return matches(df, css, "l_orderkey").select("l_orderkey", F.col("n.text").alias("line"))
 
 
 @query("siblings", "SELECT n_regionkey, n_name AS name, count(*) OVER (PARTITION BY n_regionkey) - 1 AS others, lead(n_name) OVER w AS following, lag(n_name) OVER w AS previous FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)")
 def siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = parse_html(nation_lists(spark, sf_dir), fields=())
-    dom, n = F.col("dom"), F.col("n")
-    rows = matches(df, "li", "n_regionkey", "dom")
+    dom = F.col("dom")
     named = lambda m: m["attr_map"]["title"]
     return rows.select("n_regionkey", named(n).alias("name"), F.size(H.siblings(dom, n)).cast("long").alias("others"), named(H.next_element(dom, n)).alias("following"), named(H.previous_element(dom, n)).alias("previous"))
 
@@ -445,7 +448,7 @@ def resolve_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     html = F.concat(F.lit("<form><input name=n value="), F.lit('"'), H.escape(F.col("c_name"), True), F.lit('"><textarea name=s>'), H.escape(F.col("c_mktsegment")), F.lit("</textarea></form><input>"))
-    df = parse_html(c.select("c_custkey", html.alias("html")), fields=("text",))
+    df = parse_html(c.select("c_custkey", html.alias("html")), nodes=("kind", "norm", "attr_map", "form_owner", "text"))
     own = H.form_elements(F.col("dom"), H.first_by_tag(F.col("dom"), "form"))
     return df.select("c_custkey", F.size(own).cast("long").alias("controls"), H.val(F.get(own, F.lit(1))).alias("segment"), H.val(F.get(own, F.lit(0))).alias("name"))
 
@@ -511,7 +514,7 @@ def list_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sibling_ends", "SELECT n_regionkey, n_name AS name, first_value(n_name) OVER w AS first, last_value(n_name) OVER w AS last FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 def sibling_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = matches(parse_html(nation_lists(spark, sf_dir), fields=()), "li", "n_regionkey", "dom")
+    df, dom = parse_html(nation_lists(spark, sf_dir), fields=()), F.col("dom")
     named = lambda m: m["attr_map"]["title"]
     return rows.select("n_regionkey", named(F.col("n")).alias("name"), named(L.first_sibling(F.col("dom"), F.col("n"))).alias("first"), named(L.last_sibling(F.col("dom"), F.col("n"))).alias("last"))
 
@@ -604,7 +607,7 @@ def outer_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("joined_text", "SELECT l_orderkey, string_agg(CASE WHEN l_linenumber % 2 = 1 THEN l_returnflag || ' odd' ELSE 'even ' || l_returnflag END, ' ' ORDER BY l_linenumber, l_linestatus, l_returnflag) AS text FROM lineitem GROUP BY l_orderkey")
 def joined_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = parse_html(order_trees(spark, sf_dir), fields=("text",))
+    df = parse_html(order_trees(spark, sf_dir), selectors=["li"], nodes=("text",))
     return df.select("l_orderkey", H.joined_text(li(F.col("dom"))).alias("text"))
 
 

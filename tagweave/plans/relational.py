@@ -17,6 +17,10 @@ from .local import is_element, leaf
 from .selector import cost, parse
 
 
+#: Node fields that the windows read beside a selector's own.
+READ = ("sib", "last")
+
+
 class Marker:
     """Adds a boolean column for each part of a selector that other rows decide."""
 

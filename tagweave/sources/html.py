@@ -13,10 +13,11 @@ from ..operators.edits import apply, check
 from ..operators.flatten import Columns, from_structs
 from ..operators.sanitize import Policy, clean_document
 from ..operators.tree import Document, parse
+from ..plans.selector import columns as selector_columns
 from ..plans.selector import fields as selector_fields
 from ..plans.selector import necessary
 from ..plans.selector import parse as parse_selector
-from ..schema import DOM, OPTIONAL
+from ..schema import NODE, OPTIONAL
 
 #: Bytes of markup, and documents, whose nodes are gathered into one Arrow batch at most.
 BATCH_BYTES, BATCH_ROWS = 500_000, 4096
@@ -28,6 +29,10 @@ def fields_of(selectors: Iterable[str]) -> frozenset[str]:
     return frozenset().union(*(selector_fields(parse_selector(s)) for s in selectors))
 
 
+def columns_of(selectors: Iterable[str]) -> frozenset[str]:
+    return frozenset().union(*(selector_columns(parse_selector(s)) for s in selectors))
+
+
 def prefilter(html: Column, selector: str) -> Column:
     """A necessary condition on raw text, so that the JVM drops rows before they reach a parser."""
     out = F.lit(True)
@@ -42,13 +47,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df._jdf.inputFiles()) < cores else df  # counted in the JVM: their names don't come here
 
 
-def parse_html(df: DataFrame, html_col: str = "html", *, base_col: str | None = None, mode: str = "auto", fields: Iterable[str] = OPTIONAL, selectors: Iterable[str] = (), drop_html: bool = True, keep_tag_case: bool | None = None, keep_attr_case: bool | None = None) -> DataFrame:
+def parse_html(df: DataFrame, html_col: str = "html", *, base_col: str | None = None, mode: str = "auto", fields: Iterable[str] = OPTIONAL, selectors: Iterable[str] = (), drop_html: bool = True, keep_tag_case: bool | None = None, keep_attr_case: bool | None = None, nodes: Iterable[str] | None = None) -> DataFrame:
     """df with dom, base_uri and quirks in place of any columns so named.
 
     The parser stands behind mapInArrow, so filters above it never make it run
     twice. mode: auto, html, xml, fragment, xml_fragment, fragment:<tag>.
-    fields: optional node fields to fill; with selectors only those they read.
+    fields: optional node fields to fill; with selectors only those they read,
+    with nodes those among them, too.
     keep_tag_case, keep_attr_case: in every mode; by default False, for XML True.
+    nodes: of the node struct, these fields and what the selectors read; by default all.
     A null text has a null dom; binary columns are read as UTF-8; other columns
     may have any name.
     """
@@ -59,7 +66,7 @@ def parse_html(df: DataFrame, html_col: str = "html", *, base_col: str | None =
         return None if html is None else parse(html, uri, mode, **options)
 
     kept = [c for c in df.columns if c.lower() not in RESULT and not (drop_html and c == html_col)]
-    return with_documents(df, kept, [whole_name(html_col).cast("string"), base], read, fields, selectors)
+    return with_documents(df, kept, [whole_name(html_col).cast("string"), base], read, fields, selectors, nodes, mode in ("auto", "html"))
 
 
 def change_documents(df: DataFrame, *, edits: list[tuple] = (), policy: Policy | None = None, head_policy: Policy | None = None, fields: Iterable[str] = OPTIONAL, selectors: Iterable[str] = ()) -> DataFrame:
@@ -81,12 +88,16 @@ def change_documents(df: DataFrame, *, edits: list[tuple] = (), policy: Policy |
     return with_documents(df, kept, [structure(F.col("dom")), F.coalesce("base_uri", F.lit(""))], change, fields, selectors)
 
 
-def with_documents(df: DataFrame, kept: list[str], inputs: list[Column], document: Callable[[object, str], Document | None], fields: Iterable[str], selectors: Iterable[str]) -> DataFrame:
-    """The kept columns with the documents that a function makes of each row's two inputs."""
+def with_documents(df: DataFrame, kept: list[str], inputs: list[Column], document: Callable[[object, str], Document | None], fields: Iterable[str], selectors: Iterable[str], nodes: Iterable[str] | None = None, plain: bool = False) -> DataFrame:
+    """The kept columns with the documents that a function makes of each row's two inputs; plain: texts of plain markup need no tree."""
+    chosen = None if nodes is None else {"pre", *nodes, *columns_of(selectors)}
     fields = fields_of(selectors) if selectors else frozenset(fields)
+    if chosen is not None:
+        fields = chosen & set(OPTIONAL)
+    dom_type = T.ArrayType(T.StructType([f for f in NODE.fields if chosen is None or f.name in chosen]))
     names = [f"c{i}" for i in range(len(kept))]
     rows = df.select(*[whole_name(c).alias(x) for c, x in zip(kept, names)], *[c.alias(f"in{i}") for i, c in enumerate(inputs)])
-    schema = T.StructType([*rows.schema.fields[: len(kept)], T.StructField("dom", DOM), T.StructField("base_uri", T.StringType()), T.StructField("quirks", T.StringType())])
+    schema = T.StructType([*rows.schema.fields[: len(kept)], T.StructField("dom", dom_type), T.StructField("base_uri", T.StringType()), T.StructField("quirks", T.StringType())])
 
     def work(batches):
         for batch in batches:
@@ -94,8 +105,12 @@ def with_documents(df: DataFrame, kept: list[str], inputs: list[Column], documen
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 n = len(names)
-                gathered, bases, quirks = Columns(fields), [], []
+                gathered, bases, quirks = Columns(fields, chosen), [], []
                 for given, uri in zip(part.column(n).to_pylist(), part.column(n + 1).to_pylist()):
+                    if plain and given is not None and gathered.add_text(given):
+                        bases.append(uri or "")
+                        quirks.append("no")
+                        continue
                     doc = document(given, uri)
                     gathered.add(doc)
                     bases.append(doc.base_uri if doc else None)
@@ -104,6 +119,7 @@ def with_documents(df: DataFrame, kept: list[str], inputs: list[Column], documen
                 missing = [b is None for b in bases]
                 if any(missing):
                     dom = pa.ListArray.from_arrays(dom.offsets, dom.values, mask=pa.array(missing))
+                del gathered  # what it holds need not stand beside the next one's
                 yield pa.record_batch([*part.columns[:n], dom, pa.array(bases, pa.string()), pa.array(quirks, pa.string())], [*names, "dom", "base_uri", "quirks"])
 
     return rows.mapInArrow(work, schema).toDF(*kept, "dom", "base_uri", "quirks")
