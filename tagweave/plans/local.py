@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .selector import NTH_READ, cost, parse
 
+#: Past every number of a node.
+NONE = 2**31 - 1
 
 
 def is_element(n: Column) -> Column:
@@ -96,8 +99,8 @@ def leaf(ast: tuple, n: Column, scope: Column | None = None) -> Column | None:
     return None
 
 
-def condition(ast: tuple, n: Column, dom: Column, scope: Column | None = None) -> Column:
-    """Whether node n of dom matches; scope: the pre of the query's root, by default the document's."""
+def condition(ast: tuple, n: Column, dom: Column, scope: Column | None = None, firsts: dict[tuple, Column] | None = None) -> Column:
+    """Whether node n of dom matches; scope: the pre of the query's root, by default the document's. firsts: see first_children()."""
     root = scope if scope is not None else F.lit(0)
     alone = leaf(ast, n, scope)
     if alone is not None:
@@ -105,23 +108,25 @@ def condition(ast: tuple, n: Column, dom: Column, scope: Column | None = None) -
     kind, *args = ast
     if kind in ("and", "or"):
         parts = sorted(args[0], key=cost) if kind == "and" else args[0]
-        out = condition(parts[0], n, dom, scope)
+        out = condition(parts[0], n, dom, scope, firsts)
         for p in parts[1:]:
-            c = condition(p, n, dom, scope)
+            c = condition(p, n, dom, scope, firsts)
             out = out & c if kind == "and" else out | c
         return out
     if kind == "not":
-        return ~condition(args[0], n, dom, scope)
+        return ~condition(args[0], n, dom, scope, firsts)
     if kind == "root":
         return F.when(root == 0, (n["parent"] == 0) & (n["el_idx"] == 0)).otherwise(n["pre"] == root)
     below = n["pre"] > root  # the query's root has neither parent nor siblings in it
-    test = lambda m: element_or_root(args[0], m, dom, scope)
+    test = lambda m: element_or_root(args[0], m, dom, scope, firsts)
     if kind == "child":
         return below & F.coalesce(test(F.get(dom, n["parent"])), F.lit(False))
     if kind == "within":
         return below & F.exists(F.coalesce(n["anc"], F.array().cast("array<int>")), lambda i: (i >= root) & F.coalesce(test(F.get(dom, i)), F.lit(False)))
     if kind == "after":
         return below & F.coalesce(test(F.get(dom, n["prev"])), F.lit(False))
+    if kind == "later" and firsts and ast in firsts:
+        return below & (n["el_idx"] > 0) & F.coalesce(F.get(firsts[ast], n["parent"]) < n["pre"], F.lit(False))
     if kind == "later":
         before = F.slice(dom, n["parent"] + 2, F.greatest(n["pre"] - n["parent"] - 1, F.lit(0)))
         return below & (n["el_idx"] > 0) & F.exists(before, lambda m: (m["parent"] == n["parent"]) & test(m))
@@ -131,18 +136,44 @@ def condition(ast: tuple, n: Column, dom: Column, scope: Column | None = None) -
     raise AssertionError(ast)
 
 
-def element_or_root(ast: tuple, n: Column, dom: Column, scope: Column | None) -> Column:
+def element_or_root(ast: tuple, n: Column, dom: Column, scope: Column | None, firsts: dict[tuple, Column] | None = None) -> Column:
     """Ancestors include the document, which only the query's root stands for."""
-    ok = condition(ast, n, dom, scope)
+    ok = condition(ast, n, dom, scope, firsts)
     return (is_element(n) & ok) if ast[0] != "scope" else ok
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f reads it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def first_children(ast: tuple, dom: Column, scope: Column | None, firsts: dict[tuple, Column]) -> Column:
+    """array<int>: for each node of dom the first child that a condition holds for, by number; a large number if there is none."""
+    hits = F.filter(dom, lambda m: (m["parent"] >= 0) & F.coalesce(element_or_root(ast, m, dom, scope, firsts), F.lit(False)))
+    pairs = F.transform(hits, lambda m: F.struct(m["parent"].alias("k"), m["pre"].alias("v")))
+    none = F.transform(dom, lambda m: F.struct(m["pre"].alias("k"), F.lit(NONE).alias("v")))
+    heads = lambda rows: F.filter(rows, lambda x, i: (i == 0) | (F.get(rows, i - 1)["k"] != x["k"]))
+    return bound(F.sort_array(F.concat(none, pairs)), lambda rows: F.transform(heads(rows), lambda x: x["v"]))
+
+
+def laters(ast: tuple) -> list[tuple]:
+    """The parts of a selector that ask for earlier siblings, inner ones first."""
+    inner = [y for x in ast[1:] if isinstance(x, tuple) for y in (x if x and isinstance(x[0], tuple) else (x,))]
+    return list(dict.fromkeys([z for y in inner for z in laters(y)] + ([ast] if ast[0] == "later" else [])))
+
+
 def select(dom: Column, selector: str, scope: Column | None = None) -> Column:
     """The matching elements of a node array in document order; scope: the pre of the element selected from, itself included."""
     ast = parse(selector)
 
-    def keep(n: Column) -> Column:
-        ok = is_element(n) & condition(ast, n, dom, scope)
-        return ok if scope is None else (n["pre"] >= scope) & (n["pre"] <= F.get(dom, scope)["last"]) & ok
+    def found(todo: list[tuple], firsts: dict[tuple, Column]) -> Column:
+        if todo:
+            return bound(first_children(todo[0][1], dom, scope, firsts), lambda c: found(todo[1:], {**firsts, todo[0]: c}))
+
+        def keep(n: Column) -> Column:
+            ok = is_element(n) & condition(ast, n, dom, scope, firsts)
+            return ok if scope is None else (n["pre"] >= scope) & (n["pre"] <= F.get(dom, scope)["last"]) & ok
+
+        return F.filter(dom, keep)
 
-    return F.filter(dom, keep)
+    return found(laters(ast), {})

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from tagweave.operators.flatten import Columns
 from tagweave.operators.plain import read
 from tagweave.operators.tree import parse
-from tagweave.plans import local
+from tagweave.plans import local, relational
 from tagweave.schema import OPTIONAL
-from tagweave.sources.html import parse_html
+from tagweave.sources.html import node_table, parse_html
 
 PLAIN = [
     '<section><ol><li data-line="1" class="O o O"><b>N</b> odd</li><li>even  R</li></ol></section>',
@@ -40,3 +40,21 @@ def test_only_the_fields_asked_for(spark):
     assert set(df.schema["dom"].dataType.elementType.names) == {"pre", "parent", "kind", "norm", "el_idx", "text"}
     rows = df.select("k", F.explode(local.select(F.col("dom"), "ol > li:nth-child(1)")).alias("n")).select("k", "n.text").collect()
     assert sorted(map(tuple, rows)) == [(1, "N odd"), (2, "x")]
+
+
+@pytest.mark.parametrize("css", [".a ~ li", "li ~ .a ~ b", "ul:has(.a ~ li) > b", "li:not(.a ~ *)", ".a ~ li > b ~ b, b ~ .a"])
+def test_later_siblings_in_one_pass(spark, css):
+    html = ["<ul><li>1</li><b>x</b><li class=a>2<b>p</b><i></i><b>q</b></li><li>3<b>r</b><b>s</b></li><b class=a>y</b><b>z</b></ul><li class=a></li><li>4</li>", "<p>none</p>", None]
+    df = parse_html(spark.createDataFrame(list(enumerate(html)), "k int, html string"))
+    found = df.select("k", F.explode(local.select(F.col("dom"), css)).alias("n")).select("k", "n.pre")
+    want = relational.select(node_table(df, "k"), css, "k").select("k", "pre")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    if "has" not in css:
+        assert "slice(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_wide_document(spark):
+    """No earlier sibling matches, so each item would look through all of those before it."""
+    n = 20_000
+    df = parse_html(spark.createDataFrame([("<ul>" + "<li>x</li>" * n + '<li class="a">y</li><li>z</li></ul>',)], "html string"), selectors=[".a ~ li"], nodes=())
+    assert df.select(F.size(local.select(F.col("dom"), ".a ~ li"))).first()[0] == 1
