@@ -100,7 +100,8 @@ def last_sibling(dom: Column, n: Column) -> Column:
 
 def next_node(dom: Column, n: Column) -> Column:
     """The next sibling of any kind."""
-    return first(F.filter(dom, lambda m: (m["parent"] == n["parent"]) & (m["sib"] == n["sib"] + 1)))
+    after = F.get(dom, n["last"] + 1)
+    return F.when(after["parent"] == n["parent"], after)
 
 
 def previous_node(dom: Column, n: Column) -> Column:

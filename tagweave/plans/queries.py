@@ -7,6 +7,8 @@ pages are held against regular expressions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,12 @@ def matches(df: DataFrame, selector: str, *keys: str) -> DataFrame:
     return df.select(*keys, F.explode(local.select(F.col("dom"), selector)).alias("n"))
 
 
+def found(df: DataFrame, selector: str, *keys: str, **values: Callable[[Column], Column]) -> DataFrame:
+    """The keys and some values for each match. What a match takes of its document is taken within the array: rows that carried dom along would be copies of it, one a match."""
+    each = F.transform(local.select(F.col("dom"), selector), lambda n: F.struct(*[f(n).alias(name) for name, f in values.items()]))
+    return df.select(*keys, F.inline(each))
+
+
 # -- fixtures ------------------------------------------------------------------
 
 
@@ -295,10 +303,9 @@ rows_only("page_text", lambda spark, d: pages(spark, d, fields=("text",)).select
 @query("part_table_cells", "SELECT p_brand, p_name AS name, p_size::VARCHAR AS size FROM part")
 def part_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of tables without tbody: cells by class and by attribute of the same row."""
-    df = parse_html(part_tables(spark, sf_dir), fields=("text",))
-    rows = matches(df, "tr", "p_brand", "dom")
-    cells = H.children(F.col("dom"), F.col("n"))
-    return rows.select("p_brand", F.get(cells, F.lit(0))["text"].alias("name"), H.attr(F.get(cells, F.lit(1)), "data-size").alias("size"))
+    df = parse_html(part_tables(spark, sf_dir), selectors=["tr"], nodes=("last", "text", "attr_map"))
+    cell = lambda n, i: F.get(H.children(F.col("dom"), n), F.lit(i))
+    return found(df, "tr", "p_brand", name=lambda n: cell(n, 0)["text"], size=lambda n: H.attr(cell(n, 1), "data-size"))
 
 
 @query("part_table_position", "WITH t AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part) SELECT p_brand, p_name AS name FROM t WHERE i % 3 = 2")
@@ -362,14 +369,13 @@ def siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = parse_html(nation_lists(spark, sf_dir), fields=())
     dom = F.col("dom")
     named = lambda m: m["attr_map"]["title"]
-    return rows.select("n_regionkey", named(n).alias("name"), F.size(H.siblings(dom, n)).cast("long").alias("others"), named(H.next_element(dom, n)).alias("following"), named(H.previous_element(dom, n)).alias("previous"))
+    return found(df, "li", "n_regionkey", name=named, others=lambda n: F.size(H.siblings(dom, n)).cast("long"), following=lambda n: named(H.next_element(dom, n)), previous=lambda n: named(H.previous_element(dom, n)))
 
 
 @query("parents", "SELECT n_regionkey, n_name AS name, 'ul,body,html' AS path FROM nation")
 def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = parse_html(nation_lists(spark, sf_dir), fields=("anc",))
-    rows = matches(df, "li", "n_regionkey", "dom")
-    return rows.select("n_regionkey", F.col("n")["attr_map"]["title"].alias("name"), F.array_join(F.transform(H.parents(F.col("dom"), F.col("n")), lambda m: m["norm"]), ",").alias("path"))
+    return found(df, "li", "n_regionkey", name=lambda n: n["attr_map"]["title"], path=lambda n: F.array_join(F.transform(H.parents(F.col("dom"), n), lambda m: m["norm"]), ","))
 
 
 @query("children", "SELECT n_regionkey, count(*) AS items, string_agg('n' || n_nationkey, ' ' ORDER BY n_nationkey) AS ids FROM nation GROUP BY n_regionkey")
@@ -516,20 +522,20 @@ def list_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sibling_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, dom = parse_html(nation_lists(spark, sf_dir), fields=()), F.col("dom")
     named = lambda m: m["attr_map"]["title"]
-    return rows.select("n_regionkey", named(F.col("n")).alias("name"), named(L.first_sibling(F.col("dom"), F.col("n"))).alias("first"), named(L.last_sibling(F.col("dom"), F.col("n"))).alias("last"))
+    return found(df, "li", "n_regionkey", name=named, first=lambda n: named(L.first_sibling(dom, n)), last=lambda n: named(L.last_sibling(dom, n)))
 
 
 @query("sibling_nodes", "WITH t AS (SELECT l_orderkey, l_linenumber % 2 AS odd FROM lineitem) SELECT l_orderkey, ' odd' AS following, count(*) AS n FROM t WHERE odd = 1 GROUP BY l_orderkey")
 def sibling_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = matches(parse_html(order_trees(spark, sf_dir), fields=()), "b", "l_orderkey", "dom")
-    return rows.select("l_orderkey", L.next_node(F.col("dom"), F.col("n"))["content"].alias("following")).groupBy("l_orderkey", "following").agg(F.count(F.lit(1)).alias("n"))
+    df = parse_html(order_trees(spark, sf_dir), selectors=["b"], nodes=("last", "content"))
+    return found(df, "b", "l_orderkey", following=lambda n: L.next_node(F.col("dom"), n)["content"]).groupBy("l_orderkey", "following").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("raw_text", "SELECT item_id, text FROM benchmark")
 def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """White space as it stands."""
     df = table(spark, sf_dir, "benchmark").select("item_id", element("p", H.escape(F.col("text"))).alias("html"))
-    return matches(parse_html(df, fields=()), "p", "item_id", "dom").select("item_id", L.raw_text(F.col("dom"), F.col("n")).alias("text"))
+    return found(parse_html(df, fields=()), "p", "item_id", text=lambda n: L.raw_text(F.col("dom"), n))
 
 
 @query("attribute_edits", """SELECT n_regionkey, ' class="x" title="' || n_name || '" new' AS html, 'x' AS class FROM nation""")

@@ -1,5 +1,7 @@
 """Plain markup without trees, fields of nodes that are asked for, and large documents."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,9 +9,11 @@ from tagweave.operators.flatten import Columns
 from tagweave.operators.plain import read
 from tagweave.operators.tree import parse
 from tagweave.plans import local, relational
+from tagweave.plans.queries import QUERIES
 from tagweave.schema import OPTIONAL
 from tagweave.sources.html import node_table, parse_html
 
+SMALL = "/root/testdata/sf0.001"
 PLAIN = [
     '<section><ol><li data-line="1" class="O o O"><b>N</b> odd</li><li>even  R</li></ol></section>',
     "<p>top</p><ul><li id='p1'>x</li></ul>".replace("'", '"'),
@@ -42,6 +46,14 @@ def test_only_the_fields_asked_for(spark):
     assert sorted(map(tuple, rows)) == [(1, "N odd"), (2, "x")]
 
 
+@pytest.mark.parametrize("name", ["part_table_cells", "siblings", "parents", "sibling_ends", "sibling_nodes", "raw_text"])
+def test_no_row_carries_its_document(spark, name):
+    """A copy of the document a match is quadratic."""
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    passed = re.findall(r"Project \[([^\n]*)\]\n[^\n]*MapInArrow|Generate [^\n]*", plan)
+    assert passed and not re.search(r"Generate explode", plan)
+
+
 @pytest.mark.parametrize("css", [".a ~ li", "li ~ .a ~ b", "ul:has(.a ~ li) > b", "li:not(.a ~ *)", ".a ~ li > b ~ b, b ~ .a"])
 def test_later_siblings_in_one_pass(spark, css):
     html = ["<ul><li>1</li><b>x</b><li class=a>2<b>p</b><i></i><b>q</b></li><li>3<b>r</b><b>s</b></li><b class=a>y</b><b>z</b></ul><li class=a></li><li>4</li>", "<p>none</p>", None]
