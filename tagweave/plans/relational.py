@@ -25,7 +25,8 @@ class Marker:
     """Adds a boolean column for each part of a selector that other rows decide."""
 
     def __init__(self, nodes: DataFrame, key: str):
-        self.df, self.key, self.names = nodes.repartition(key), key, count()
+        # Texts and comments are no one's ancestors, siblings or matches, and needn't be moved.
+        self.df, self.key, self.names = nodes.where(F.col("kind").isin("element", "document")).repartition(key), key, count()
 
     def node(self) -> dict[str, Column]:
         return {c: F.col(c) for c in self.df.columns}

@@ -70,3 +70,11 @@ def test_a_wide_document(spark):
     n = 20_000
     df = parse_html(spark.createDataFrame([("<ul>" + "<li>x</li>" * n + '<li class="a">y</li><li>z</li></ul>',)], "html string"), selectors=[".a ~ li"], nodes=())
     assert df.select(F.size(local.select(F.col("dom"), ".a ~ li"))).first()[0] == 1
+
+
+def test_windows_move_no_texts(spark):
+    df = node_table(parse_html(spark.createDataFrame([(1, "<ul><li>a<b>x</b></li><li>c</li></ul>")], "k int, html string")), "k")
+    found = relational.select(df, "li:has(b)", "k")
+    assert [r.pre for r in found.collect()] == [5]
+    exchanged = found._jdf.queryExecution().optimizedPlan().toString().split("Repartition")[-1]
+    assert "element,document" in exchanged.replace(" ", "") or "document,element" in exchanged.replace(" ", "")
