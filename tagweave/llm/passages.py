@@ -71,6 +71,10 @@ PLACE_BITS = 24
 LOW = np.uint64((1 << PLACE_BITS) - 1)
 #: Shingles whose hashes are computed at once.
 STEP = 1 << 14
+#: Bytes of texts whose words are told apart at once.
+AT_ONCE = 1 << 15
+IS_SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32)).astype(np.int8)
+LOWER = np.arange(256, dtype=np.uint64) + np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), 33, 1).astype(np.uint64)
 #: Windows of a minimum that are all paired.
 FEW = 12
 #: In place of a hash function: links that need no other (by clips and pieces), and those of a large group to its hub.
@@ -93,18 +97,23 @@ class Shingled:
         copied, needed = {d for d, _ in self.copies}, None if only is None else only | {k for _, k in self.copies}
         rows = [d for d in range(len(self.block.texts)) if d not in copied and (needed is None or d in needed)]
         data = np.frombuffer(b"".join(self.block.texts[d] + b" " for d in rows), "u1")
-        space = (data == 32) | ((data >= 9) & (data <= 13))
-        edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1, append=1))
-        start, end = edge[::2], edge[1::2]
-        # Prefix sums of byte * B^i, taken back by B^-i, give each word's hash.
-        low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint64) + np.uint64(1)
-        power, back = (powers(b, len(data) + 1) for b in POWERS)
-        low *= power[:-1]
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(low, out=sums[1:])
-        word = mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
-        # Shingles, document after document.
         text_ends = np.cumsum([len(self.block.texts[d]) + 1 for d in rows], dtype=np.int64)
+        # Some texts at a time, so that what is computed for them stays in the processor's cache.
+        cuts = np.append(0, text_ends[np.searchsorted(text_ends, np.arange(AT_ONCE, len(data) + AT_ONCE, AT_ONCE).clip(max=len(data)))]) if len(rows) else np.zeros(1, np.int64)
+        begins, hashed = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if a == b:
+                continue
+            edge = np.flatnonzero(np.diff(IS_SPACE[data[a:b]], prepend=1, append=1))
+            start, end = edge[::2], edge[1::2]
+            # Prefix sums of byte * B^i, taken back by B^-i, give each word's hash.
+            power, back = (powers(p, b - a + 1) for p in POWERS)
+            sums = np.zeros(b - a + 1, np.uint64)
+            np.cumsum(LOWER[data[a:b]] * power[:-1], out=sums[1:])
+            begins.append(start + a)
+            hashed.append(mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64)))
+        start, word = np.concatenate(begins), np.concatenate(hashed)
+        # Shingles, document after document.
         words = np.diff(np.searchsorted(start, text_ends), prepend=0) if len(rows) else np.zeros(0, np.int64)
         x = np.zeros(max(0, len(word) - SHINGLE + 1), np.uint64)
         for i in range(SHINGLE):
@@ -405,63 +414,93 @@ def joined(clips: list[np.ndarray], at: np.ndarray, apart, known: np.ndarray | N
     # If the first has nobody to be compared with, all are one document's.
     if not len(clips) or not (apart(0, every).any() or apart(every[-1], every).any()):
         return links
-    # Side by side at their minima; stretches of several minima are compared by their shingles alone.
-    table = np.zeros((len(clips), 2 * LEAST - 1), np.uint32)
+    members = {int(x): [int(x)] for x in np.flatnonzero(~known)} | ({len(clips): np.flatnonzero(known).tolist()} if known.any() else {})
+
+    def join(x: int, y: int) -> None:
+        """Their parts become one: the smaller takes the other's number."""
+        small, large = sorted((int(part_of[x]), int(part_of[y])), key=lambda k: len(members[k]))
+        part_of[members[small]] = large
+        members[large] += members.pop(small)
+
     at, size = at.astype(np.int64), np.array([len(c) for c in clips])
-    short = (at < LEAST) & (size - at <= LEAST)
-    for i in np.flatnonzero(short).tolist():
-        table[i, LEAST - 1 - at[i] : LEAST - 1 - at[i] + size[i]] = clips[i]
-    alone = [c if len(d := B.distinct(c)) == len(c) else d for c in clips]
-    plain = np.array([len(c) == len(d) for c, d in zip(clips, alone)])
+    # Each shingle, 32 bits long, once a clip: whose it is and where it stands, and by shingles where those of its kind are.
+    starts = np.append(0, np.cumsum(size))
+    owner = np.repeat(every, size)
+    keys = np.concatenate(clips).astype(np.uint64) << np.uint64(32) | owner.astype(np.uint64)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    again = np.append(False, keys[1:] == keys[:-1])
+    plain = np.bincount(owner[order[again]], minlength=len(clips)) == 0
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(np.append(False, keys[1:] >> np.uint64(32) != keys[:-1] >> np.uint64(32)))
+    # Side by side at their minima; stretches of several minima are compared by their shingles alone.
+    side = plain & (at < LEAST) & (size - at <= LEAST)
+    none = int(kind.max()) + 1
+    table = np.full((len(clips), 2 * LEAST - 1), none, np.int32)
+    for i in np.flatnonzero(side).tolist():
+        table[i, LEAST - 1 - at[i] : LEAST - 1 - at[i] + size[i]] = kind[starts[i] : starts[i + 1]]
+    spot = np.full(none + 1, -1, np.int8)
+    order = order[~again]
+    first = np.append(0, np.cumsum(np.bincount(kind[order])))
+    owner, place = owner[order], order - starts[owner[order]]
     #: Distinct shingles that any passage holds at least.
     least = np.array([LEAST if alike else fewest(c) for c, alike in zip(clips, plain)])
-    # Each shingle, 32 bits long, once a clip.
-    held = np.array([len(c) for c in alone])
-    keys, owner = np.concatenate(alone).astype(np.uint64), np.repeat(every, held)
-    order = np.argsort(keys << np.uint64(32) | owner.astype(np.uint64))
-    keys, owner, place = keys[order], owner[order], (np.arange(len(order)) - np.repeat(np.cumsum(held) - held, held))[order]
-    side = plain & short
+    smallest = int(least.min())
     for x in np.flatnonzero(~known).tolist():
-        if (part_of == part_of[x]).all():
+        if len(members) == 1:
             return links
-        own = alone[x].astype(np.uint64)
-        lo, hi = np.searchsorted(keys, own, side="left"), np.searchsorted(keys, own, side="right")
-        rare = np.argsort(hi - lo, kind="stable")[: len(own) - int(np.ceil(least[x] * SIMILARITY)) + 1]
-        mark = np.zeros(len(clips), bool)
-        mark[owner[spans(lo[rare], hi[rare])]] = True
+        own = kind[starts[x] : starts[x + 1]]
+        own = own if plain[x] else B.distinct(own)
+        lo, hi = first[own], first[own + 1]
+        rare = np.argsort(hi - lo, kind="stable")[: max(0, len(own) - int(np.ceil(fewest_shared(least[x], smallest))) + 1)]
+        near = B.distinct(owner[spans(lo[rare], hi[rare])])
         # What comes before it has been compared with it.
-        near = np.flatnonzero(mark & (part_of != part_of[x]) & (known | (every > x)))
+        near = near[(part_of[near] != part_of[x]) & (known[near] | (near > x))]
         near = near[apart(x, near)]
-        if side[x]:
-            # Most share one in their places as they stand, which tells unless shingles repeat.
-            begin = LEAST - 1 - int(at[x])
-            # Only stretches that both clips hold whole.
-            starts = np.arange(begin, begin + size[x] - LEAST + 1)
+        if side[x] and len(near):
+            begin, left = LEAST - 1 - int(at[x]), ~side[near]
+            spot[own] = np.arange(len(own))
             for a in range(0, len(near), STEP):
-                part = near[a : a + STEP]
-                part = part[side[part]]
+                some = a + np.flatnonzero(~left[a : a + STEP])
+                some = some[runs_alike(spot[table[near[some]]])]
+                # Most share one in their places as they stand, which tells unless shingles repeat.
+                part = near[some]
                 sums = np.zeros((len(part), size[x] + 1), np.int16)
-                np.cumsum(table[part, begin : begin + size[x]] == table[x, begin : begin + size[x]], axis=1, out=sums[:, 1:])
-                whole = (starts >= LEAST - 1 - at[part, None]) & (starts + LEAST <= LEAST - 1 + (size - at)[part, None])
+                np.cumsum(table[part, begin : begin + size[x]] == own, axis=1, out=sums[:, 1:])
+                # Only stretches that both clips hold whole.
+                begins = np.arange(begin, begin + size[x] - LEAST + 1)
+                whole = (begins >= LEAST - 1 - at[part, None]) & (begins + LEAST <= LEAST - 1 + (size - at)[part, None])
                 equal = np.where(whole, sums[:, LEAST:] - sums[:, :-LEAST], 0).max(1)
                 for y in part[equal / (2 * LEAST - equal) >= SIMILARITY].tolist():
                     if part_of[y] != part_of[x]:
-                        part_of[part_of == part_of[y]] = part_of[x]
+                        join(x, y)
                         links.append((y, x))
+                left[some] = True
+            spot[own] = -1
+            near = near[left]
         near = near[part_of[near] != part_of[x]]
+        if not len(near):
+            continue
+        entry = spans(lo, hi)
+        near = near[np.bincount(owner[entry], minlength=len(clips))[near] >= fewest_shared(least[x], least[near])]
         for a in range(0, len(near), STEP):
             part = near[a : a + STEP]
-            for y in part[may_share(own, plain[x], least[x], part, plain[part], least[part], lo, hi, owner, place)].tolist():
+            for y in part[may_share(len(own), plain[x], part, plain[part], lo, hi, owner, place, entry)].tolist():
                 if part_of[y] == part_of[x]:
                     continue
                 forth = passages(clips[y].astype(np.uint64), clips[x].astype(np.uint64))
                 # Where shingles repeat, which is looked for in which may tell.
                 if forth or not (plain[x] and plain[y]) and passages(clips[x].astype(np.uint64), clips[y].astype(np.uint64)):
-                    part_of[part_of == part_of[y]] = part_of[x]
+                    join(x, y)
                     links.append((y, x) if forth else (x, y))
     return links
 
 
+def fewest_shared(a, b):
+    """Distinct shingles that two stretches of no fewer than a and b must share to be a passage: both / (a + b - both) >= SIMILARITY."""
+    return np.maximum(SIMILARITY * np.maximum(a, b), SIMILARITY / (1 + SIMILARITY) * (a + b)) - 1e-9
+
+
 def spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """The places of all [lo, hi), one after the other."""
     n = hi - lo
@@ -481,34 +520,48 @@ def fewest(clip: np.ndarray) -> int:
     return int(np.cumsum(steps)[: last + 1].min())
 
 
-def may_share(own: np.ndarray, plain: bool, least: int, near: np.ndarray, plains: np.ndarray, leasts: np.ndarray, lo: np.ndarray, hi: np.ndarray, owner: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Which of near may share a passage with a clip whose shingles are own, held by the owners [lo, hi) at their places. Leaves out none that does."""
-    row = np.full(int(near.max()) + 1, -1)
-    row[near] = np.arange(len(near))
-    # Their places, and -1 for what they don't hold.
-    has = np.full((len(near), len(own)), -1)
-    entry, held = spans(lo, hi), np.repeat(np.arange(len(own)), hi - lo)
-    at = owner[entry]
-    known = at < len(row)
-    known[known] = row[at[known]] >= 0
-    has[row[at[known]], held[known]] = place[entry[known]]
-    # both / (a + b - both) >= SIMILARITY, where a and b are no less than their least.
-    share = SIMILARITY / (1 + SIMILARITY)
-    may = (has >= 0).sum(1) >= np.maximum(SIMILARITY * np.maximum(least, leasts), share * (least + leasts)) - 1e-9
-    if plain and (some := np.flatnonzero(may & plains)).size:
-        has = has[some]
-        of, x = np.nonzero(has >= 0)
-        y, n = has[of, x], np.bincount(of, minlength=len(some))
+def runs_alike(spots: np.ndarray) -> np.ndarray:
+    """The rows that may be of a passage: places in one clip, -1 for none, in the order of another. As in longest, some run must be similar enough, if in one order."""
+    held = spots >= 0
+    run = int(np.ceil(fewest_shared(LEAST, LEAST))) - 1
+    rows = np.flatnonzero(np.count_nonzero(held, axis=1) > run)
+    spots, held = spots[rows], held[rows]
+    value = np.add.accumulate(held.view(np.int8), axis=1, dtype=np.int8) * np.float32(1 + SIMILARITY)
+    value -= (spots + np.arange(spots.shape[1], dtype=np.int16)) * np.float32(SIMILARITY)
+    last = np.where(held, value, np.float32(-np.inf))[:, run:]
+    first = np.minimum.accumulate(np.where(held, value, np.float32(np.inf))[:, : spots.shape[1] - run], axis=1)
+    like = (last >= first - np.float32(1 - SIMILARITY + 1e-3)).any(1)
+    return rows[like | (held & (np.maximum.accumulate(spots, axis=1) > spots)).any(1)]
+
+
+def may_share(size: int, plain: bool, near: np.ndarray, plains: np.ndarray, lo: np.ndarray, hi: np.ndarray, owner: np.ndarray, place: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    """Which of near may share a passage with a clip of so many distinct shingles, held by the owners [lo, hi), entry in all, at their places. Leaves out none that does."""
+    may = np.ones(len(near), bool)
+    some = np.flatnonzero(plains) if plain else np.zeros(0, np.int64)
+    if some.size:
+        row = np.full(int(near.max()) + 1, -1)
+        row[near[some]] = np.arange(len(some))
+        at, x = owner[entry], np.repeat(np.arange(size), hi - lo)
+        known = at < len(row)
+        known[known] = row[at[known]] >= 0
+        # What each shares with the clip, in the order of that.
+        of, x, y = row[at[known]], x[known], place[entry[known]]
+        order = np.argsort(of * size + x)
+        of, x, y = of[order], x[order], y[order]
+        n = np.bincount(of, minlength=len(some))
         rank = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        # As in longest: of shingles in one order, some run of enough of them must be similar enough.
+        # As in longest: of shingles in one order, some run of enough of them must be similar enough; either stretch has LEAST at least.
         back = np.zeros(len(some), bool)
         back[of[1:][(of[1:] == of[:-1]) & (y[1:] < y[:-1])]] = True
-        ends = np.full((len(some), int(n.max())), -np.inf)
+        ends = np.full((len(some), int(n.max(initial=0))), -np.inf)
         ends[of, rank] = rank * (1 + SIMILARITY) - (x + y) * SIMILARITY
-        run = int(np.ceil(LEAST * SIMILARITY)) - 1
-        first = np.minimum.accumulate(ends[:, : ends.shape[1] - run], axis=1)
-        last = ends[:, run:]
-        like = ((last > -np.inf) & (last >= first - (1 + SIMILARITY) + 2 * SIMILARITY - 1e-9)).any(1)
+        run = int(np.ceil(fewest_shared(LEAST, LEAST))) - 1
+        if ends.shape[1] > run:
+            first = np.minimum.accumulate(ends[:, : ends.shape[1] - run], axis=1)
+            last = ends[:, run:]
+            like = ((last > -np.inf) & (last >= first - (1 + SIMILARITY) + 2 * SIMILARITY - 1e-9)).any(1)
+        else:
+            like = np.zeros(len(some), bool)
         may[some] = like | back
     return may
 
