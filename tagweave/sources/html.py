@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..operators.edits import apply, check
 from ..operators.flatten import Columns, from_structs
+from ..operators.many import read_many
 from ..operators.sanitize import Policy, clean_document
 from ..operators.tree import Document, parse
 from ..plans.selector import columns as selector_columns
@@ -99,27 +101,46 @@ def with_documents(df: DataFrame, kept: list[str], inputs: list[Column], documen
     rows = df.select(*[whole_name(c).alias(x) for c, x in zip(kept, names)], *[c.alias(f"in{i}") for i, c in enumerate(inputs)])
     schema = T.StructType([*rows.schema.fields[: len(kept)], T.StructField("dom", dom_type), T.StructField("base_uri", T.StringType()), T.StructField("quirks", T.StringType())])
 
+    def read_each(texts: pa.Array, uris: pa.Array) -> tuple[pa.Array, list, list]:
+        gathered, bases, quirks = Columns(fields, chosen), [], []
+        for given, uri in zip(texts.to_pylist(), uris.to_pylist()):
+            if plain and given is not None and gathered.add_text(given):
+                bases.append(uri or "")
+                quirks.append("no")
+                continue
+            doc = document(given, uri)
+            gathered.add(doc)
+            bases.append(doc.base_uri if doc else None)
+            quirks.append(doc.quirks if doc else None)
+        dom = gathered.array()
+        missing = [b is None for b in bases]
+        if any(missing):
+            dom = pa.ListArray.from_arrays(dom.offsets, dom.values, mask=pa.array(missing))
+        return dom, bases, quirks
+
     def work(batches):
         for batch in batches:
             step = max(1, min(BATCH_ROWS, BATCH_BYTES * batch.num_rows // max(1, batch.nbytes)))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 n = len(names)
-                gathered, bases, quirks = Columns(fields, chosen), [], []
-                for given, uri in zip(part.column(n).to_pylist(), part.column(n + 1).to_pylist()):
-                    if plain and given is not None and gathered.add_text(given):
-                        bases.append(uri or "")
-                        quirks.append("no")
-                        continue
-                    doc = document(given, uri)
-                    gathered.add(doc)
-                    bases.append(doc.base_uri if doc else None)
-                    quirks.append(doc.quirks if doc else None)
-                dom = gathered.array()
-                missing = [b is None for b in bases]
-                if any(missing):
-                    dom = pa.ListArray.from_arrays(dom.offsets, dom.values, mask=pa.array(missing))
-                del gathered  # what it holds need not stand beside the next one's
+                texts, uris = part.column(n), part.column(n + 1)
+                done, at_once = read_many(texts.cast(pa.string()), fields, chosen) if plain else (None, np.zeros(len(part), bool))
+                rest = np.flatnonzero(~at_once)
+                if not len(rest):
+                    dom, bases, quirks = done, uris.fill_null(""), ["no"] * len(part)
+                else:
+                    if done is not None:
+                        texts, uris = texts.take(pa.array(rest)), uris.take(pa.array(rest))
+                    dom, bases, quirks = read_each(texts, uris)
+                    if done is not None:
+                        order = np.empty(len(part), int)
+                        order[at_once], order[rest] = np.arange(len(done)), len(done) + np.arange(len(rest))
+                        order = pa.array(order)
+                        dom = pa.concat_arrays([done, dom]).take(order)
+                        bases = pa.concat_arrays([part.column(n + 1).filter(pa.array(at_once)).fill_null("").cast(pa.string()), pa.array(bases, pa.string())]).take(order)
+                        quirks = pa.concat_arrays([pa.array(["no"] * len(done), pa.string()), pa.array(quirks, pa.string())]).take(order)
+                del done  # what it holds need not stand beside the next one's
                 yield pa.record_batch([*part.columns[:n], dom, pa.array(bases, pa.string()), pa.array(quirks, pa.string())], [*names, "dom", "base_uri", "quirks"])
 
     return rows.mapInArrow(work, schema).toDF(*kept, "dom", "base_uri", "quirks")
