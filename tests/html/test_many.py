@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tagweave.operators.flatten import Columns
 from tagweave.operators.many import read_many
 from tagweave.operators.plain import read
+from tagweave.plans.queries import QUERIES
 from tagweave.schema import OPTIONAL
 from tagweave.sources.html import parse_html
 
@@ -88,3 +89,18 @@ def test_a_batch_takes_a_fraction_of_the_time():
             best = min(best, time.process_time() - began)
         took.append(best)
     assert took[0] < took[1] / 2, took
+
+
+def plan(spark, name):
+    return QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["orders_each_text", "orders_has", "orders_not_has", "orders_own_text", "orders_text", "joined_text", "sibling_nodes", "types_nth_of_type"])
+def test_rows_are_dealt_before_their_markup_is_made(spark, name):
+    """Arrays of markup in the exchange were twice as long as rows."""
+    below = plan(spark, name).split("Exchange hashpartitioning(l_orderkey")[-1]
+    assert "concat" not in below and "Aggregate" not in below and "FileScan" in below
+
+
+def test_each_document_is_searched_once(spark):
+    assert plan(spark, "orders_each_text").count("has_text") == 1
