@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import re
 import sys
 import tempfile
@@ -70,6 +71,15 @@ def modest_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+@functools.cache
+def hold_memory() -> None:
+    """Has a worker's C library keep some freed memory until release_memory: the system clears each page that it gives anew."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None) if sys.platform == "linux" else None
+    if mallopt is not None:
+        for option, size in ((-1, 64 << 20), (-3, 32 << 20)):  # M_TRIM_THRESHOLD, M_MMAP_THRESHOLD
+            mallopt(option, size)
+
+
 def release_memory() -> None:
     """Gives a worker's freed memory back to the system, where the C library can: workers are kept for later tasks."""
     pa.default_memory_pool().release_unused()

@@ -44,6 +44,8 @@ ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -51,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import modest_batches, partitions
+from .common import hold_memory, modest_batches, partitions
 
 SHINGLE, LEAST_WORDS, SIMILARITY = 5, 50, 0.8
 #: Hash functions, how many of them must cover a stretch, and how many link it to a candidate.
@@ -72,7 +74,7 @@ LOW = np.uint64((1 << PLACE_BITS) - 1)
 #: Shingles whose hashes are computed at once.
 STEP = 1 << 14
 #: Bytes of texts whose words are told apart at once.
-AT_ONCE = 1 << 15
+AT_ONCE = 1 << 17
 IS_SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32)).astype(np.int8)
 LOWER = np.arange(256, dtype=np.uint64) + np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), 33, 1).astype(np.uint64)
 #: Windows of a minimum that are all paired.
@@ -91,6 +93,7 @@ class Shingled:
 
     def __init__(self, f: pd.DataFrame, only: set[int] | None = None):
         """only: the rows to compute besides those that have copies, if not all."""
+        hold_memory()
         self.block = B.Block(f)
         first: dict[bytes, int] = {}
         self.copies = [(d, k) for d, t in enumerate(self.block.texts) if (k := first.setdefault(t, d)) != d]
@@ -100,7 +103,7 @@ class Shingled:
         text_ends = np.cumsum([len(self.block.texts[d]) + 1 for d in rows], dtype=np.int64)
         # Some texts at a time, so that what is computed for them stays in the processor's cache.
         cuts = np.append(0, text_ends[np.searchsorted(text_ends, np.arange(AT_ONCE, len(data) + AT_ONCE, AT_ONCE).clip(max=len(data)))]) if len(rows) else np.zeros(1, np.int64)
-        begins, hashed = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        counts, shingles = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if a == b:
                 continue
@@ -110,23 +113,21 @@ class Shingled:
             power, back = (powers(p, b - a + 1) for p in POWERS)
             sums = np.zeros(b - a + 1, np.uint64)
             np.cumsum(LOWER[data[a:b]] * power[:-1], out=sums[1:])
-            begins.append(start + a)
-            hashed.append(mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64)))
-        start, word = np.concatenate(begins), np.concatenate(hashed)
-        # Shingles, document after document.
-        words = np.diff(np.searchsorted(start, text_ends), prepend=0) if len(rows) else np.zeros(0, np.int64)
-        x = np.zeros(max(0, len(word) - SHINGLE + 1), np.uint64)
-        for i in range(SHINGLE):
-            x *= np.uint64(0x9E3779B97F4A7C15)
-            x += word[i : i + len(x)]
-        x = mix(x)
-        n = np.maximum(words - SHINGLE + 1, 0)
-        word_starts = np.cumsum(words) - words
+            word = mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
+            # Shingles, document after document.
+            words = np.diff(np.searchsorted(start, text_ends[slice(*np.searchsorted(text_ends, (a, b), side="right"))] - a), prepend=0)
+            x = np.zeros(max(0, len(word) - SHINGLE + 1), np.uint64)
+            for i in range(SHINGLE):
+                x *= np.uint64(0x9E3779B97F4A7C15)
+                x += word[i : i + len(x)]
+            n = np.maximum(words - SHINGLE + 1, 0)
+            counts.append(n)
+            shingles.append(mix(x)[np.arange(n.sum()) + np.repeat(np.cumsum(words) - words - np.cumsum(n) + n, n)])
+        n = np.concatenate(counts)
         #: Row of each compared text, where its shingles start, and all shingles.
         self.rows = np.array(rows, np.int64)
         self.starts = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-        keep = np.arange(self.starts[-1]) - np.repeat(self.starts[:-1], n) + np.repeat(word_starts, n)
-        self.x = x[keep]
+        self.x = np.concatenate(shingles)
         self.text = np.repeat(np.arange(len(rows)), n)
         self.at = {int(d): i for i, d in enumerate(rows)}
         self.kept: dict[int, tuple] = {}
@@ -137,16 +138,21 @@ class Shingled:
         i = self.at[row]
         return self.x[self.starts[i] : self.starts[i + 1]]
 
+    def spots(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places in the text as their PLACE_BITS lower bits, ends of texts by place, places that LEAST shingles follow, with them)."""
+        if self.places is None:
+            n = np.diff(self.starts)
+            place = (np.arange(len(self.x)) - np.repeat(self.starts[:-1], n)).astype(np.uint64) & LOW
+            ends = np.repeat(self.starts[1:], n)
+            n = max(0, len(place) - LEAST + 1)
+            self.places = place, ends, np.flatnonzero(np.arange(n) + LEAST <= ends[:n])
+        return self.places
+
     def minima(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash of every shingle, its place in the text as the PLACE_BITS lower bits, over again in longer texts; places that are the smallest of some LEAST in a row; ends of texts by place)."""
         if k in self.kept:
             return self.kept[k]
-        if self.places is None:
-            place = (np.arange(len(self.x)) - self.starts[self.text]).astype(np.uint64) & LOW
-            ends = self.starts[self.text + 1]
-            n = max(0, len(place) - LEAST + 1)
-            self.places = place, ends, np.flatnonzero(np.arange(n) + LEAST <= ends[:n])
-        place, ends, whole = self.places
+        place, ends, whole = self.spots()
         keys = np.empty(len(self.x), np.uint64)
         if len(keys) < LEAST:
             whole = whole[:0]
@@ -159,11 +165,7 @@ class Shingled:
         far = np.empty(max(0, len(keys) - LEAST + 1), np.int64)
         for a in range(0, len(far), STEP):
             n = min(STEP, len(far) - a)
-            size, least = 1, keys[a : a + n + LEAST - 1]
-            while 2 * size <= LEAST:
-                least = np.minimum(least[:-size], least[size:])
-                size *= 2
-            least = np.minimum(least[:n], least[LEAST - size :][:n])
+            least = runs(np.minimum, keys[a : a + n + LEAST - 1], LEAST)
             least -= place[a : a + n]
             least &= LOW
             far[a : a + n] = least
@@ -182,25 +184,31 @@ class Shingled:
         none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if len(self.x) < LEAST:
             return none
-        # Of 2^n shingles, by doubling; a piece is put together from the bits of its length.
-        power, size, value, done = self.x, 1, None, 0
-        while size <= PIECE:
-            if PIECE & size:
-                value = power if value is None else value[: len(power) - done] * np.uint64(0x9E3779B97F4A7C15) + power[done:]
-                done += size
-            power = power[:-size] * np.uint64(0xD1342543DE82EF95 + 2 * size) + power[size:]
-            size *= 2
-        value = mix(value)
-        at = np.arange(len(value) - APART + 1)
-        at = at[at + LEAST <= self.starts[self.text[at] + 1]]
-        least, place = value[at], at.copy()
-        for i in range(1, APART):
-            other = value[at + i]
-            less = other < least
-            least, place = np.where(less, other, least), np.where(less, at + i, place)
-        place = place[np.append(True, place[1:] != place[:-1])[: len(place)]]
+        value = np.empty(len(self.x) - PIECE + 1, np.uint64)
+        chosen = np.zeros(len(value), bool)
+        # Step by step, as in minima.
+        for a in range(0, len(value), STEP):
+            # Of 2^n shingles, by doubling; a piece is put together from the bits of its length.
+            power, size, part, done = self.x[a : a + STEP + PIECE - 1], 1, None, 0
+            while size <= PIECE:
+                if PIECE & size:
+                    part = power if part is None else part[: len(power) - done] * np.uint64(0x9E3779B97F4A7C15) + power[done:]
+                    done += size
+                if 2 * size <= PIECE:
+                    power = power[:-size] * np.uint64(0xD1342543DE82EF95 + 2 * size) + power[size:]
+                size *= 2
+            value[a : a + STEP] = mix(part)
+        # A piece is the smallest of some APART if the greatest of their smallest ones, as far as they stand in one text, is its own.
+        n, (_, ends, _) = len(value) - APART + 1, self.spots()
+        for a in range(0, len(value), STEP):
+            lo, hi = max(0, a - APART + 1), min(n, a + STEP)
+            least = np.zeros(min(a + STEP, len(value)) - a + APART - 1, np.uint64)
+            if lo < hi:
+                least[lo - a + APART - 1 :][: hi - lo] = np.where(np.arange(lo, hi) + LEAST <= ends[lo:hi], runs(np.minimum, value[lo : hi + APART - 1], APART), 0)
+            chosen[a : a + STEP] = runs(np.maximum, least, APART) == value[a : a + STEP]
+        place = np.flatnonzero(chosen)
         value = value[place]
-        order = np.lexsort((place, value, self.text[place]))
+        order = np.argsort(value, kind="stable")
         v, text = value[order], self.text[place[order]]
         order = np.sort(order[np.append(True, (v[1:] != v[:-1]) | (text[1:] != text[:-1]))[: len(v)]])
         self.kept[HASHES] = value[order], place[order]
@@ -223,15 +231,15 @@ class Shingled:
         out = [np.zeros(0, WINDOW)]
         ids = np.array(self.block.order_ids, np.int64)
         for k in range(HASHES):
-            keys, at, ends = self.minima(k)
-            v = self.values(k, at)
-            chosen = B.is_in(v, shared)
-            at, v = at[chosen], v[chosen]
+            keys, every, ends = self.minima(k)
+            v = self.values(k, every)
+            chosen = np.flatnonzero(B.is_in(v, shared))
+            at, v = every[chosen], v[chosen]
             if not len(at):
                 continue
-            left, right = subtree(keys, at, self.starts[self.text[at]], ends[at])
-            w = np.zeros(len(at), WINDOW)
             base = self.starts[self.text[at]]
+            left, right = among_minima(keys, every, chosen, base, ends[at])
+            w = np.zeros(len(at), WINDOW)
             w["v"], w["row"], w["k"], w["block"] = v, self.rows[self.text[at]], k, key
             w["doc"] = ids[w["row"]]
             w["l"], w["c"], w["r"] = left - base, at - base, right - base
@@ -319,6 +327,25 @@ def subtree(keys: np.ndarray, at: np.ndarray, first: np.ndarray, end: np.ndarray
     return left, right
 
 
+def among_minima(keys: np.ndarray, every: np.ndarray, chosen: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As subtree, of the places every[chosen], where every holds the smallest of each LEAST in a row.
+
+    The next smaller key beside one of these is the smallest of the LEAST that end, or begin, with it: no other place is looked at.
+    """
+    a, b = np.searchsorted(every, first), np.searchsorted(every, end)
+    left, right = subtree(keys[every], chosen, a, b)
+    return np.where(left > a, every[left - 1] + 1, first), np.where(right + 1 < b, every[np.minimum(right + 1, len(every) - 1)], end) - 1
+
+
+def runs(least, x: np.ndarray, n: int) -> np.ndarray:
+    """The least (or greatest) of each n values in a row, by doubling."""
+    m, size = len(x) - n + 1, 1
+    while 2 * size <= n:
+        x = least(x[:-size], x[size:])
+        size *= 2
+    return least(x[:m], x[n - size :][:m])
+
+
 def to_first(w: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(which windows stand for all: all of FEW of a minimum or piece, of more those of each class; links).
 
@@ -600,73 +627,115 @@ def send_candidates(key: int, f: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
     """Stretches of a block's documents, and where in other documents they are looked for."""
     links = rows_of(g["links"], LINK)
     s = Shingled(f, set(np.unique(links["row"]).tolist()))
-    offset = links["to_c"] - links["c"]
-    order = np.lexsort((offset, links["to_row"], links["to_block"], links["to_doc"], links["row"]))
-    links, offset = links[order], offset[order]
+    order = np.lexsort((links["to_c"] - links["c"], links["to_row"], links["to_block"], links["to_doc"], links["row"]))
+    # By columns from here on, which lie side by side.
+    links = {c: np.ascontiguousarray(links[c][order]) for c in LINK.names if c != "block"}
+    links["off"] = links["to_c"] - links["c"]
+    kind, sizes = links["k"], {row: len(s.shingles(row)) for row in np.unique(links["row"]).tolist()}
+    by_kind = [{c: x[some] for c, x in links.items()} for some in (kind == HUB, kind < HASHES, kind == SURE)]
+    members = members_of(by_kind[0], sizes)
+    stretches: dict[int, list[tuple]] = {}
+    for a, b in row_parts(by_kind[1]["row"]):
+        stretches[int(by_kind[1]["row"][a])] = stretches_of({c: x[a:b] for c, x in by_kind[1].items()})
+    own = by_kind[2]
+    sure: dict[int, list[tuple[int, int]]] = {}
+    new = changes(own["row"], own["to_doc"], own["to_block"], own["to_row"])
+    new[1:] |= np.diff(own["off"]) > SLACK
+    parts = np.append(np.flatnonzero(new), len(new)).tolist()
+    for x, y in zip(parts[:-1], parts[1:]):
+        sure.setdefault(int(own["row"][x]), []).append((x, y))
     out = []
-    edges = np.flatnonzero(np.diff(links["row"], prepend=-1, append=-1))
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        row = int(links["row"][a])
-        shingles = s.shingles(row)
+    for row in sizes:
+        shingles = narrow(s.shingles(row))
         #: By other document: (stretch, least and greatest distance) that are candidates already.
         known: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
 
-        def send(to, lo: int, hi: int, least: int, most: int, members: bytes = b"") -> None:
-            known.setdefault((int(to["to_block"]), int(to["to_row"])), []).append((lo, hi, least - SLACK, most + SLACK))
-            out.append((int(to["to_block"]), int(to["to_row"]), max(0, lo + least - SLACK), max(0, hi + most + SLACK), s.block.order_ids[row], key << 32 | row, lo, narrow(shingles[lo:hi]).tobytes(), members))
-
-        to_hub = links["k"][a:b] == HUB
-        send_members(links[a:b][to_hub], offset[a:b][to_hub], len(shingles), send)
-        by_minima = links["k"][a:b] < HASHES
-        send_stretches(links[a:b][by_minima], offset[a:b][by_minima], send)
-        own, off = links[a:b][links["k"][a:b] == SURE], offset[a:b][links["k"][a:b] == SURE]
-        parts = np.append(np.flatnonzero(np.append(True, (np.diff(own["to_doc"]) != 0) | (np.diff(own["to_block"]) != 0) | (np.diff(own["to_row"]) != 0) | (np.diff(off) > SLACK))[: len(own)]), len(own))
-        for x, y in zip(parts[:-1].tolist(), parts[1:].tolist()):
+        def send(to_block: int, to_row: int, lo: int, hi: int, least: int, most: int, members: bytes = b"") -> None:
+            known.setdefault((to_block, to_row), []).append((lo, hi, least - SLACK, most + SLACK))
+            out.append((to_block, to_row, max(0, lo + least - SLACK), max(0, hi + most + SLACK), s.block.order_ids[row], key << 32 | row, lo, shingles[lo:hi].tobytes(), members))
+
+        for x in members.get(row, []) + stretches.get(row, []):
+            send(*x)
+        for x, y in sure.get(row, []):
             # Pieces that no candidate holds, with room for a passage around them.
-            l, r, o = own["l"][x:y], own["r"][x:y], off[x:y]
-            lo, hi, left = np.maximum(0, l - LEAST + PIECE), np.minimum(len(shingles), r + 1 + LEAST - PIECE), np.ones(y - x, bool)
-            for at, end, least, most in known.get((int(own["to_block"][x]), int(own["to_row"][x])), ()):
-                left &= (lo < at) | (hi > end) | (o < least) | (o > most)
-            if left.any():
-                send(own[x], max(0, int(l[left].min()) - LEAST), min(len(shingles), int(r[left].max()) + 1 + LEAST), int(o[left].min()), int(o[left].max()))
+            to = int(own["to_block"][x]), int(own["to_row"][x])
+            l, r, o = own["l"][x:y], own["r"][x:y], own["off"][x:y]
+            if to in known:
+                lo, hi, left = np.maximum(0, l - LEAST + PIECE), np.minimum(len(shingles), r + 1 + LEAST - PIECE), np.ones(y - x, bool)
+                for at, end, least, most in known[to]:
+                    left &= (lo < at) | (hi > end) | (o < least) | (o > most)
+                l, r, o = l[left], r[left], o[left]
+            if len(l):
+                send(*to, max(0, int(l.min()) - LEAST), min(len(shingles), int(r.max()) + 1 + LEAST), int(o.min()), int(o.max()))
     return pd.DataFrame(out, columns=[x.split()[0] for x in CANDIDATES.split(", ")])
 
 
-def send_members(own: np.ndarray, off: np.ndarray, n: int, send) -> None:
-    """Sends a document's stretches (n shingles in all) of large groups to their hubs, each time with its places there and here."""
-    if not len(own):
-        return
-    new = np.append(True, (np.diff(own["to_block"]) != 0) | (np.diff(own["to_row"]) != 0) | (np.diff(off) > SLACK))
-    order = np.lexsort((own["l"], np.cumsum(new)))
-    of, own, off = (np.cumsum(new))[order], own[order], off[order]
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before; the first does."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
+def row_parts(rows: np.ndarray) -> list[tuple[int, int]]:
+    starts = np.flatnonzero(changes(rows)).tolist()
+    return list(zip(starts, [*starts[1:], len(rows)]))
+
+
+def members_of(own: dict[str, np.ndarray], sizes: dict[int, int]) -> dict[int, list[tuple]]:
+    """What documents of so many shingles send of large groups to their hubs, each time with its places there and here. own: links by row, other text and distance."""
+    found: dict[int, list[tuple]] = {}
+    if not len(own["row"]):
+        return found
+    new = changes(own["row"], own["to_block"], own["to_row"])
+    new[1:] |= np.diff(own["off"]) > SLACK
+    of = np.cumsum(new)
+    order = np.lexsort((own["l"], of))
+    of, own = of[order], {c: x[order] for c, x in own.items()}
     # What lies far apart in the text goes by itself.
     reach = np.maximum.accumulate(own["r"] + of * (1 << 40)) - of * (1 << 40)
-    new = np.append(True, (of[1:] != of[:-1]) | (own["l"][1:] > reach[:-1] + LEAST))
-    parts = np.append(np.flatnonzero(new), len(own))
-    for x, y in zip(parts[:-1].tolist(), parts[1:].tolist()):
-        part = own[x:y]
-        members = np.stack([part[c] for c in ("c", "e", "to_c", "to_e")], 1).astype("<i4")
-        send(part[0], max(0, int(part["l"].min()) - ASIDE), min(n, int(part["r"].max()) + 1 + ASIDE), int(off[x:y].min()), int(off[x:y].max()), np.unique(members, axis=0).tobytes())
-
-
-def send_stretches(own: np.ndarray, off: np.ndarray, send) -> None:
-    """Sends a document's candidates by minima. own: its links, by other text and distance (off)."""
-    if len(own) and (stretches := covered(own["l"], own["r"], own["k"])):
-        # The stretch of each link; windows outside them have none.
-        at = np.searchsorted([x for x, _ in stretches], own["c"], side="right") - 1
-        inside = (at >= 0) & (own["c"] < np.array([e for _, e in stretches])[at])
-        own, off, at = own[inside], off[inside], at[inside]
-        order = np.lexsort((off, own["to_row"], own["to_block"], own["to_doc"], at))
-        own, off, at = own[order], off[order], at[order]
-        new = np.append(True, (np.diff(at) != 0) | (np.diff(own["to_doc"]) != 0) | (np.diff(own["to_block"]) != 0) | (np.diff(own["to_row"]) != 0) | (np.diff(off) > SLACK))[: len(own)]
-        parts = np.append(np.flatnonzero(new), len(own))
-        for x, y in zip(parts[:-1].tolist(), parts[1:].tolist()):
-            part, to = own[x:y], own[x]
-            if np.bitwise_count(np.bitwise_or.reduce(1 << part["k"].astype(np.uint64))) < EACH:
-                continue
-            lo, hi = stretches[at[x]]
-            lo, hi = max(lo, int(part["l"].min()) - ASIDE), min(hi, int(part["r"].max()) + 1 + ASIDE)
-            send(to, lo, hi, int(off[x]), int(off[y - 1]))
+    new = changes(of)
+    new[1:] |= own["l"][1:] > reach[:-1] + LEAST
+    starts = np.flatnonzero(new)
+    columns = [*(own[c][starts].tolist() for c in ("row", "to_block", "to_row")), *(f.reduceat(own[c], starts).tolist() for f, c in ((np.minimum, "l"), (np.maximum, "r"), (np.minimum, "off"), (np.maximum, "off")))]
+    # The places of each part in order, each once.
+    places, part = [own[c] for c in ("c", "e", "to_c", "to_e")], np.cumsum(new) - 1
+    order = np.lexsort((*places[::-1], part))
+    once = order[changes(part[order], *(x[order] for x in places))]
+    places, ends = np.stack([x[once] for x in places], 1).astype("<i4"), np.cumsum(np.bincount(part[once])).tolist()
+    for row, to_block, to_row, l, r, least, most, a, b in zip(*columns, [0, *ends], ends):
+        found.setdefault(row, []).append((to_block, to_row, max(0, l - ASIDE), min(sizes[row], r + 1 + ASIDE), least, most, places[a:b].tobytes()))
+    return found
+
+
+def stretches_of(own: dict[str, np.ndarray]) -> list[tuple]:
+    """What a document sends of candidates by minima. own: its links, by other text and distance."""
+    stretches = covered(own["l"], own["r"], own["k"])
+    if not stretches:
+        return []
+    # The stretch of each link; windows outside them have none.
+    at = np.searchsorted([x for x, _ in stretches], own["c"], side="right") - 1
+    inside = (at >= 0) & (own["c"] < np.array([e for _, e in stretches])[at])
+    if not inside.all():
+        own, at = {c: x[inside] for c, x in own.items()}, at[inside]
+    if not len(at):
+        return []
+    if len(stretches) > 1:
+        order = np.argsort(at, kind="stable")
+        own, at = {c: x[order] for c, x in own.items()}, at[order]
+    off = own["off"]
+    new = changes(at, own["to_doc"], own["to_block"], own["to_row"])
+    new[1:] |= np.diff(off) > SLACK
+    starts = np.flatnonzero(new)
+    enough = np.bitwise_count(np.bitwise_or.reduceat(1 << own["k"].astype(np.uint64), starts)) >= EACH
+    ends = np.append(starts[1:], len(at)) - 1
+    found = []
+    for x, y, l, r in zip(starts[enough].tolist(), ends[enough].tolist(), np.minimum.reduceat(own["l"], starts)[enough].tolist(), np.maximum.reduceat(own["r"], starts)[enough].tolist()):
+        lo, hi = stretches[at[x]]
+        found.append((int(own["to_block"][x]), int(own["to_row"][x]), max(lo, l - ASIDE), min(hi, r + 1 + ASIDE), int(off[x]), int(off[y])))
+    return found
 
 
 def narrow(x: np.ndarray) -> np.ndarray:
@@ -676,11 +745,14 @@ def narrow(x: np.ndarray) -> np.ndarray:
 
 def covered(l: np.ndarray, r: np.ndarray, k: np.ndarray) -> list[tuple[int, int]]:
     """Joined stretches [at, end) in which windows of ENOUGH hash functions overlap; each is as long as the windows over it."""
-    steps = np.zeros((HASHES, int(r.max()) + 2), np.int32)
-    np.add.at(steps, (k, l), 1)
-    np.add.at(steps, (k, r + 1), -1)
-    enough = (np.cumsum(steps, axis=1) > 0).sum(0) >= ENOUGH
-    edges = np.flatnonzero(np.diff(enough.astype(np.int8), prepend=0, append=0)).tolist()
+    first, n = int(l.min()), int(r.max()) - int(l.min()) + 2
+    k = k.astype(np.int64) * n - first
+    steps = np.bincount(k + l, minlength=HASHES * n)
+    steps -= np.bincount(k + r + 1, minlength=HASHES * n)
+    # Each hash function's steps add up to none.
+    over = (np.cumsum(steps, out=steps) > 0).view(np.int8).reshape(HASHES, n)
+    enough = np.concatenate([[False], np.add.reduce(over, axis=0, dtype=np.int8) >= ENOUGH, [False]])
+    edges = (np.flatnonzero(enough[1:] != enough[:-1]) + first).tolist()
     out: list[tuple[int, int]] = []
     for at, end in zip(edges[::2], edges[1::2]):
         if out and at - out[-1][1] <= GAP:
@@ -698,16 +770,23 @@ def verify(key: int, f: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         if n >= LEAST and (s.block.order_ids[d] != s.block.order_ids[k] or s.block.order_ids[d] == B.NO_ID):
             out.append((s.block.order_ids[d], 0, n + SHINGLE - 1, s.block.order_ids[k], 0, n + SHINGLE - 1, 1.0))
     hubs: dict[int, list[Sent]] = {}
-    for row, at, end, doc_id, text, own_at, data, members in zip(*(g[x] for x in ("to_row", "to_at", "to_end", "doc_id", "text", "at", "shingles", "members"))):
-        sent = Sent(int(doc_id), int(text), int(own_at), np.frombuffer(data, np.uint32))
-        hub = Sent(s.block.order_ids[int(row)], key << 32 | int(row), int(at), narrow(s.shingles(int(row))[int(at) : int(end)]))
-        sent.found = [] if sent.alike(hub) else sent.passages(hub)
-        out += [sent.result(hub, x) for x in sent.found]
+    x = narrow(s.x)
+    starts = {row: (int(s.starts[i]), int(s.starts[i + 1])) for row, i in s.at.items()}
+    pairs = []
+    for row, at, end, doc_id, text, own_at, data, members in zip(*(g[c].tolist() for c in ("to_row", "to_at", "to_end", "doc_id", "text", "at", "shingles", "members"))):
+        sent = Sent(doc_id, text, own_at, np.frombuffer(data, np.uint32))
+        first, last = starts[row]
+        hub = Sent(s.block.order_ids[row], key << 32 | row, at, x[first + at : min(first + end, last)])
+        if not sent.alike(hub):
+            pairs.append((sent, hub))
         if len(members):
             sent.members = np.frombuffer(members, "<i4").reshape(-1, 4)
-            hubs.setdefault(int(row), []).append(sent)
+            hubs.setdefault(row, []).append(sent)
+    for (sent, hub), found in zip(pairs, passages_of([(a.shingles, b.shingles) for a, b in pairs])):
+        sent.found = sent.places(hub, found)
+        out += [sent.result(hub, x) for x in sent.found]
     for row, sent in hubs.items():
-        out += among(Sent(s.block.order_ids[row], key << 32 | row, 0, narrow(s.shingles(row))), sent)
+        out += among(Sent(s.block.order_ids[row], key << 32 | row, 0, x[slice(*starts[row])]), sent)
     return pd.DataFrame(out, columns=[x.split()[0] for x in RESULT.split(", ")])
 
 
@@ -730,8 +809,10 @@ class Sent:
 
     def passages(self, other: Sent) -> list[tuple]:
         """Passages in places of the two documents."""
-        a, b = self.shingles.astype(np.uint64), other.shingles.astype(np.uint64)
-        return [(self.at + i, self.at + j, other.at + p, other.at + q, similarity) for i, j, p, q, similarity in passages(a, b)]
+        return self.places(other, passages(self.shingles, other.shingles))
+
+    def places(self, other: Sent, found: list[tuple]) -> list[tuple]:
+        return [(self.at + i, self.at + j, other.at + p, other.at + q, similarity) for i, j, p, q, similarity in found]
 
     def result(self, other: Sent, x: tuple) -> tuple:
         i, j, p, q, similarity = x
@@ -781,26 +862,67 @@ def passages(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, flo
     if len(b) < LEAST * SIMILARITY or np.count_nonzero(B.is_in(a, known := np.sort(b))) < LEAST * SIMILARITY:
         return []
     hit, in_b = aligned(a, b)
-    steps = np.diff(in_b)
-    gap = np.maximum(np.diff(hit), np.abs(steps))
     # Without repeats and in one order, the longest run that is similar enough tells whether there is any.
-    plain = bool((steps > 0).all()) and not (known[1:] == known[:-1]).any() and len(B.distinct(a)) == len(a)
+    return among_hits(a, b, hit, in_b, bool((in_b[1:] > in_b[:-1]).all()) and not (known[1:] == known[:-1]).any() and len(B.distinct(a)) == len(a))
+
+
+def passages_of(pairs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[list[tuple]]:
+    """As passages, of shingles of 32 bits, for each pair; what two texts share is found for some pairs at once."""
+    size = np.cumsum([len(a) + len(b) for a, b in pairs], dtype=np.int64)
+    cuts = np.unique(np.searchsorted(size, np.arange(0, size[-1] + 4 * STEP, 4 * STEP), side="left")) if pairs else [0]
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        some = pairs[lo:hi]
+        own, of = pair_keys([a for a, _ in some])
+        other, to = pair_keys([b for _, b in some])
+        order = np.argsort(other)
+        known = other[order]
+        spot = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+        same = known[spot] == own if len(known) else np.zeros(len(own), bool)
+        shared, sizes = np.bincount(of[same], minlength=len(some)), np.bincount(to, minlength=len(some))
+        again = lambda keys: np.bincount((keys[1:][keys[1:] == keys[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(some)) > 0  # noqa: B023, E731
+        twice, twice_in_own = again(known), again(np.sort(own))
+        hits, found = np.flatnonzero(same), order[spot[same]]
+        hit_ends, starts, to_starts = np.cumsum(shared), np.searchsorted(of, np.arange(len(some))), np.cumsum(sizes) - sizes
+        for k, (a, b) in enumerate(some):
+            if min(shared[k], sizes[k]) < LEAST * SIMILARITY:
+                yield []
+            elif twice[k]:
+                yield among_hits(a, b, *aligned(a, b), False)
+            else:
+                x = slice(hit_ends[k] - shared[k], hit_ends[k])
+                hit, in_b = hits[x] - starts[k], found[x] - to_starts[k]
+                yield among_hits(a, b, hit, in_b, not twice_in_own[k] and bool((in_b[1:] > in_b[:-1]).all()))
+
+
+def pair_keys(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles of all parts, each with its part's number before it, the numbers)"""
+    of = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    return of.astype(np.uint64) << np.uint64(32) | np.concatenate(parts), of
+
+
+def among_hits(a: np.ndarray, b: np.ndarray, hit: np.ndarray, in_b: np.ndarray, plain: bool) -> list[tuple[int, int, int, int, float]]:
+    """Passages by the places in a that b has, and their places in b. plain: none repeats, and all are in one order."""
+    gap, sets = None, None
+    score = run_score(hit, in_b)
     todo, out = [(0, len(hit))], []
     while todo:
         x, y = todo.pop()
         if y - x < LEAST * SIMILARITY:
             continue
         found = None
-        for u, v in [(x, y)] * (not plain) + [longest(hit, in_b, x, y)]:
-            i, j, p, q = int(hit[u]), int(hit[v - 1]) + 1, int(in_b[u:v].min()), int(in_b[u:v].max()) + 1
-            i, j, p, q = extended(i, j, p, q, len(a), len(b))
+        u, v = longest_run(score, x, y)
+        for u, v in [(x, y)] * (not plain and (u, v) != (x, y)) + [(u, v)]:
+            part = in_b[u:v]
+            p, q = (part[0], part[-1]) if plain else (part.min(), part.max())
+            i, j, p, q = extended(int(hit[u]), int(hit[v - 1]) + 1, int(p), int(q) + 1, len(a), len(b))
             if min(j - i, q - p) < LEAST:
                 continue
             if plain:
-                both = int(((hit >= i) & (hit < j) & (in_b >= p) & (in_b < q)).sum())
+                both = int(np.count_nonzero((hit >= i) & (hit < j) & (in_b >= p) & (in_b < q)))
                 similarity = both / (j - i + q - p - both)
             else:
-                similarity = jaccard(a[i:j], b[p:q])
+                sets = sets or Distinct(a, b)
+                similarity = sets.jaccard(i, j, p, q)
             if similarity >= SIMILARITY:
                 found = u, v
                 out.append((i, j, p, q, similarity))
@@ -809,23 +931,60 @@ def passages(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, flo
             todo += [(x, found[0]), (found[1], y)]
         elif y - x > 1 and not (plain and v - u < LEAST * SIMILARITY):
             # Either side of its widest break may do.
-            z = x + int(np.argmax(gap[x : y - 1])) + 1
+            gap = np.maximum(np.diff(hit), np.abs(np.diff(in_b))) if gap is None else gap
+            z = x + int(gap[x : y - 1].argmax()) + 1
             todo += [(x, z), (z, y)]
     return out
 
 
+class Distinct:
+    """Which shingles of two texts are equal, to compare many stretches of them."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        x = np.concatenate([a, b])
+        order = np.argsort(x, kind="stable")
+        same = x[order[1:]] == x[order[:-1]]
+        kind = np.empty(len(x), np.int64)
+        kind[order] = np.cumsum(np.append(False, ~same))
+        #: The place of the like one before each in its text, if there is any.
+        before = np.full(len(x), -1)
+        before[order[1:][same]] = order[:-1][same]
+        self.a, self.b, self.before_a, self.before_b = kind[: len(a)], kind[len(a) :], before[: len(a)], before[len(a) :] - len(a)
+        self.held = np.zeros(len(x), bool)
+
+    def jaccard(self, i: int, j: int, p: int, q: int) -> float:
+        """Of [i, j) in a and [p, q) in b."""
+        new = self.before_a[i:j] < i
+        n, m = np.count_nonzero(new), np.count_nonzero(self.before_b[p:q] < p)
+        self.held[self.b[p:q]] = True
+        both = np.count_nonzero(self.held[self.a[i:j]] & new)
+        self.held[self.b[p:q]] = False
+        return both / (n + m - both)
+
+
 def longest(hit: np.ndarray, in_b: np.ndarray, x: int, y: int) -> tuple[int, int]:
     """The longest run of hits within [x, y) that would be similar enough if all were distinct and in order."""
+    return longest_run(run_score(hit, in_b), x, y)
+
+
+def run_score(hit: np.ndarray, in_b: np.ndarray) -> np.ndarray:
     # hits / (both lengths - hits) >= SIMILARITY, as a difference of what stands at the run's two ends.
-    at = np.arange(x, y) * (1 + SIMILARITY) - (hit[x:y] + in_b[x:y]) * SIMILARITY
+    return np.arange(len(hit)) * (1 + SIMILARITY) - (hit + in_b) * SIMILARITY
+
+
+def longest_run(score: np.ndarray, x: int, y: int) -> tuple[int, int]:
+    at = score[x:y]
+    # The whole, if it is similar enough.
+    if at[-1] >= at[0] - (1 + SIMILARITY) + 2 * SIMILARITY - 1e-9:
+        return x, y
     least = np.minimum.accumulate(at)
-    most = np.maximum.accumulate(at[::-1])[::-1]
+    most = np.maximum.accumulate(at[::-1])
     # For each last hit that no later one beats, the earliest first one; most falls, so each start has one farthest end.
     bound = least - (1 + SIMILARITY) + 2 * SIMILARITY - 1e-9
-    ends = len(most) - np.searchsorted(most[::-1], bound, side="left")
+    ends = len(most) - np.searchsorted(most, bound, side="left")
     size = ends - np.arange(len(at))
     size[at > least] = 0
-    u = int(np.argmax(size))
+    u = int(size.argmax())
     return x + u, x + max(u + 1, int(ends[u]))
 
 
